@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harbormill.session import written
+
 #: Spellings of the five standard fields, compared in lower case without marks between words.
 ALIASES = {
     "user_id": ("userid", "user", "reviewerid", "author", "guestref", "member", "memberid", "guestid", "customerid", "reviewer"),
@@ -148,6 +150,8 @@ def infer_paths(dumps: DataFrame) -> DataFrame:
         run, "feed_id string, file_no int, kind string, path string, tag string, looks string, width int, pos int, n long"
     )
     fused = parts.groupBy("feed_id", "file_no", "kind", "path", "tag", "looks", "width", "pos").agg(F.sum("n").alias("n"))
+    # several branches below read it; written once, the lines are parsed once
+    fused = written(fused, "paths")
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,11 +5,31 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors, once per application, through Spark's own file server."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="harbormill-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: lineage is cut, the rows
     survive the loss of any executor, and later joins know the real size."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/harbormill-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
