@@ -103,8 +103,9 @@ def score_blocks(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
     if "bias" not in items.columns:
         pieces = pieces.withColumn("bias", F.lit(0.0))
     slices = max(1, -(-users.count() // 4000))
-    left = asked.withColumn("slice", F.pmod(F.xxhash64("u"), F.lit(slices)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = pieces.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    left = asked.select(F.col("u").alias("u"), F.col("vec").alias("vec"), F.col("seen").alias("seen")).withColumn("slice", F.pmod(F.xxhash64("u"), F.lit(slices)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # new names keep both sides apart where they come from one table
+    right = pieces.select(F.col("i").alias("i"), F.col("vec").alias("ivec"), F.col("bias").alias("ibias"), F.col("part").alias("ipart")).withColumn("islice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -112,7 +113,7 @@ def score_blocks(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
         b = b.sort_values("i")
         ids = b["i"].to_numpy()
         at = {x: j for j, x in enumerate(ids)}
-        s = np.round(np.array(a["vec"].tolist(), dtype=float) @ np.array(b["vec"].tolist(), dtype=float).T + b["bias"].to_numpy(float)[None], digits)
+        s = np.round(np.array(a["vec"].tolist(), dtype=float) @ np.array(b["ivec"].tolist(), dtype=float).T + b["ibias"].to_numpy(float)[None], digits)
         for r, h in enumerate(a["seen"]):
             if h is not None:
                 s[r, [at[x] for x in h if x in at]] = -np.inf
@@ -121,7 +122,7 @@ def score_blocks(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
         out = pd.DataFrame({"u": np.repeat(a["u"].to_numpy(), top.shape[1]), "i": ids[top.ravel()], "score": val})
         return out[np.isfinite(out["score"])]
 
-    found = left.groupBy("slice", "part").cogroup(right.groupBy("slice", "part")).applyInPandas(best, "u string, i string, score double")
+    found = left.groupBy("slice", "part").cogroup(right.groupBy("islice", "ipart")).applyInPandas(best, "u string, i string, score double")
     rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("score"), "i"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -240,6 +240,7 @@ def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: floa
                         yield pd.DataFrame({"u": [u], "vec": [p]})
             if not final:
                 hit = np.flatnonzero(n)
+            if not final and len(hit):
                 yield pd.DataFrame({"i": hit, "n": n[hit], "vec": list(v[hit] * n[hit, None])})
 
         return run
@@ -259,38 +260,58 @@ def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: floa
 STOP_WORDS = "a an and are as at be but by for from had has have he her his i in is it its my no not of on or our she so that the their them then there they this to too very was we were what when which while who will with you your".split()
 
 
-def tfidf_vectors(texts: DataFrame, key: str, text: str, vocabulary: int = 20_000, dims: int = 32) -> DataFrame:
+def tfidf_vectors(texts: DataFrame, key: str, text: str, vocabulary: int = 20_000, dims: int = 32, passes: int = 2, seed: int = 42) -> DataFrame:
     """(key, vec): smoothed TF-IDF of unit length, reduced to ``dims`` by a truncated SVD, and normalised again.
 
-    idf is ln((1 + n) / (1 + df)) + 1.  The SVD works on the vocabulary's side, so rows stay distributed.
+    idf is ln((1 + n) / (1 + df)) + 1 over the ``vocabulary`` most frequent words.  The SVD is a randomised range
+    finder: each pass sends a (vocabulary x dims) matrix to the rows and adds up their answers, so rows stay
+    distributed and only matrices bounded by the vocabulary reach the driver.  A key without known words gets zeros.
     """
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
-    from pyspark.ml.linalg import Vectors
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    words = StopWordsRemover(inputCol="w", outputCol="k", stopWords=STOP_WORDS).transform(RegexTokenizer(inputCol="t", outputCol="w", pattern=r"\W+", minTokenLength=2).transform(rows))
-    counter = CountVectorizer(inputCol="k", outputCol="tf", vocabSize=vocabulary).fit(words)
-    tf = counter.transform(words)
-    idf = IDF(inputCol="tf", outputCol="x").fit(tf)
-    plus_one = tf.sparkSession.sparkContext.broadcast(idf.idf.toArray() + 1)
-    size = len(counter.vocabulary)
-
-    def weigh(row):
-        v = row["tf"]
-        return (row[key], Vectors.sparse(size, v.indices, v.values * plus_one.value[v.indices]))
-
-    weighed = tf.select(key, "tf").rdd.map(weigh).toDF([key, "x"])
-    normal = Normalizer(inputCol="x", outputCol="n").transform(weighed).select(key, "n")
-    k = min(dims, size)
-    matrix = RowMatrix(normal.rdd.map(lambda r: Old.fromML(r["n"])))
-    axes = matrix.computeSVD(k).V.toArray()
-    sent = tf.sparkSession.sparkContext.broadcast(axes)
-
-    def reduce(row):
-        v = row["n"]
-        x = v.values @ sent.value[v.indices]
-        return (row[key], [float(a) for a in x / max(float(np.linalg.norm(x)), 1e-12)])
-
-    return normal.rdd.map(reduce).toDF([key, "vec"])
+    spark = texts.sparkSession
+    rows = texts.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    tokens = rows.select("key", F.explode(F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))).alias("w"))
+    counts = written(tokens.groupBy("key", "w").agg(F.count(F.lit(1)).alias("tf")), "words")
+    n = rows.count()
+    terms = counts.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "w").limit(vocabulary)
+    known = terms.toPandas().sort_values("w").reset_index(drop=True)
+    known["idf"] = np.log((1 + n) / (1 + known["df"])) + 1
+    lut = spark.createDataFrame([(w, k, float(x)) for k, (w, x) in enumerate(zip(known["w"], known["idf"]))], "w string, k int, idf double")
+    cells = counts.join(lut, "w").select("key", "k", (F.col("tf") * F.col("idf")).alias("x"))
+    docs = cells.groupBy("key").agg(F.collect_list(F.struct("k", "x")).alias("c"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
+    docs = written(docs.select("key", F.transform("c", lambda s: s["k"]).alias("k"), F.transform("c", lambda s: s["x"] / F.col("l")).alias("x")), "tfidf")
+    width = min(dims + 8, len(known))
+    base = np.random.default_rng(seed).normal(size=(len(known), width))
+
+    def gather(sent):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros_like(sent.value)
+            for b in batches:
+                for k, x in zip(b["k"], b["x"]):
+                    total[k] += np.asarray(x)[:, None] * (np.asarray(x) @ sent.value[k])[None]
+            hit = np.flatnonzero(total.any(1))
+            if len(hit):
+                yield pd.DataFrame({"k": hit, "v": list(total[hit])})
+
+        return run
+
+    for _ in range(passes + 1):
+        base, _r = np.linalg.qr(base)
+        sent = spark.sparkContext.broadcast(base)
+        parts = docs.select("k", "x").mapInPandas(gather(sent), "k int, v array<double>")
+        sums = parts.groupBy("k").agg(*[F.sum(F.col("v")[j]).alias(f"c{j}") for j in range(width)]).toPandas()
+        new = np.zeros_like(base)
+        new[sums["k"].to_numpy()] = sums[[f"c{j}" for j in range(width)]].to_numpy()
+        gram, base = base.T @ new, new if _ < passes else base
+    # directions of the reduced matrix in order of their strength
+    _, turn = np.linalg.eigh((gram + gram.T) / 2)
+    sent = spark.sparkContext.broadcast((base @ turn)[:, ::-1][:, :dims])
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [np.asarray(x) @ sent.value[k] for k, x in zip(b["k"], b["x"])]
+            yield pd.DataFrame({"key": b["key"], "vec": [v / max(float(np.linalg.norm(v)), 1e-12) for v in out]})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    reduced = docs.mapInPandas(reduce, f"key {kind}, vec array<double>")
+    zeros = F.array_repeat(F.lit(0.0), min(dims, width))
+    return rows.select("key").join(reduced, "key", "left").select(F.col("key").alias(key), F.coalesce("vec", zeros).alias("vec"))
