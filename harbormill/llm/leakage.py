@@ -139,7 +139,9 @@ def _scan(docs: DataFrame, index) -> DataFrame:
             doc = np.searchsorted(ends, at, side="right")
             pairs = np.unique(np.stack([doc, g], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
             who, first = np.unique(pairs[:, 0], return_index=True)
-            return pd.DataFrame({"doc_id": [keys[i] for i in who], "grams": [x.astype(np.int32) for x in np.split(pairs[:, 1], first[1:])] if len(who) else []})
+            if not len(who):
+                return pd.DataFrame({"doc_id": [], "grams": []}, dtype=object)
+            return pd.DataFrame({"doc_id": [keys[i] for i in who], "grams": [x.astype(np.int32) for x in np.split(pairs[:, 1], first[1:])]})
 
         for b in batches:
             keys, parts, held = [], [], 0

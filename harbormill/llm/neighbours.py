@@ -176,7 +176,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
         q = g["q"].to_numpy(dtype=object)
         ask, member = np.array([x is None or x is True or x == True for x in q]), np.array([x is None or x is False or x == False for x in q])  # noqa: E712
         if not ask.any() or not member.any():
-            return pd.DataFrame({"id": [], "near": [], "sims": []})
+            return pd.DataFrame({"id": [], "near": [], "sims": []}, dtype=object)
         near, sims = _top(unit[ask], ids[ask], unit[member], ids[member], k)
         return pd.DataFrame({"id": ids[ask], "near": near, "sims": sims})
 
