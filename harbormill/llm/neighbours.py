@@ -60,13 +60,21 @@ def plan(n: int, bits: int = BITS, radius: int = RADIUS, bucket: int = BUCKET) -
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """(id, vec as doubles) of the vectors that take part: right length, no null, NaN or infinite component, not all zero."""
+    """(id, vec as floats or else doubles) of the vectors that take part: right length, no null, NaN or infinite component, not all zero."""
     v = F.col("vec")
-    slim = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
+    narrow = "float" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    slim = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{narrow}>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return slim.filter(fine).filter(F.exists(v, lambda x: x != 0))
 
 
+def to_units(raw: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in doubles; no row is all zero."""
+    v = raw.astype(float)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -sims))[:k]
     return ids[order], sims[order]
@@ -109,20 +117,21 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     x /= np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
     mean, projection = learn_rotation(x)
     model = spark.sparkContext.broadcast((mean, projection))
+    # components travel in their own width and become unit vectors in doubles where they are compared
+    kind = np.dtype("<f4" if vecs.schema["vec"].dataType.simpleString() == "array<float>" else "<f8")
 
     def encode(batches):
         mean, projection = model.value
         for b in batches:
             if not len(b):
                 continue
-            v = np.array(b["vec"].tolist(), dtype=float).reshape(len(b), dim)
-            v /= np.abs(v).max(1, keepdims=True)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            raw = np.array(b["vec"].tolist(), dtype=kind).reshape(len(b), dim)
+            v = to_units(raw)
             code = np.packbits((v - mean) @ projection > 0, axis=1)
             flat = np.round(v, DIGITS - 1) + 0.0
-            yield pd.DataFrame({"id": b["id"], "unit": [r.tobytes() for r in v], "code": [r.tobytes() for r in code], "direction": [r.tobytes() for r in flat]})
+            yield pd.DataFrame({"id": b["id"], "raw": [r.tobytes() for r in raw], "code": [r.tobytes() for r in code], "direction": [r.tobytes() for r in flat]})
 
-    coded = vecs.mapInPandas(encode, "id long, unit binary, code binary, direction binary")
+    coded = vecs.mapInPandas(encode, "id long, raw binary, code binary, direction binary")
     coded = written(coded.withColumn("class", F.xxhash64("direction")).drop("direction"), "codes")
     # of rows with one direction only the k + 1 smallest ids can be anyone's neighbours
     sizes = coded.groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
@@ -131,7 +140,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     rank = F.row_number().over(W.partitionBy("class").orderBy("id"))
     # the filter right behind the number lets each partition keep k + 1 rows of a class before the shuffle
     first = written(doubled.withColumn("rk", rank).filter(F.col("rk") <= k + 1), "firsts")
-    heads = coded.join(plural, "class", "left_anti").select("id", "unit", "code").unionByName(first.select("id", "unit", "code"))
+    heads = coded.join(plural, "class", "left_anti").select("id", "raw", "code").unionByName(first.select("id", "raw", "code"))
     n = coded.count()
     length, m, flips = plan(n, dim, radius, bucket)
 
@@ -146,13 +155,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
 
     masks = [sum(1 << i for i in c) for f in range(flips + 1) for c in combinations(range(length), f)]
     subs = F.array(*[F.struct(F.lit(j).alias("j"), bits(j).alias("v")) for j in range(m)])
-    index = heads.select("id", "unit", F.inline(subs))
+    index = heads.select("id", "raw", F.inline(subs))
     # bucket sizes from the codes alone
     counts = index.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
     pieces = counts.select("j", "v", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
     placed = index.join(pieces, ["j", "v"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     if flips:
-        ask = heads.select("id", "unit", F.inline(subs)).withColumn("v", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in masks]))).join(pieces, ["j", "v"])
+        ask = heads.select("id", "raw", F.inline(subs)).withColumn("v", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in masks]))).join(pieces, ["j", "v"])
     else:
         ask = placed.drop("piece")
     if flips:
@@ -160,18 +169,18 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     else:
         asked = placed.withColumn("mine", F.col("piece")).drop("piece")
     # task = (bucket, piece of askers, piece of members); with one piece it is the bucket itself
-    as_query = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("j", "v", "mine", "other", "id", "unit", F.lit(True).alias("q"))
-    as_member = placed.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("j", "v", "mine", F.col("piece").alias("other"), "id", "unit", F.lit(False).alias("q"))
+    as_query = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("j", "v", "mine", "other", "id", "raw", F.lit(True).alias("q"))
+    as_member = placed.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("j", "v", "mine", F.col("piece").alias("other"), "id", "raw", F.lit(False).alias("q"))
     if flips:
         work = as_query.unionByName(as_member)
     else:
         # a row that asks in its own piece is a member there too and travels once
-        single = placed.filter("pieces = 1").select("j", "v", F.lit(0).alias("mine"), F.lit(0).alias("other"), "id", "unit", F.lit(None).cast("boolean").alias("q"))
+        single = placed.filter("pieces = 1").select("j", "v", F.lit(0).alias("mine"), F.lit(0).alias("other"), "id", "raw", F.lit(None).cast("boolean").alias("q"))
         many = as_query.join(pieces.filter("pieces > 1").select("j", "v"), ["j", "v"], "left_semi").unionByName(as_member.join(pieces.filter("pieces > 1").select("j", "v"), ["j", "v"], "left_semi"))
         work = single.unionByName(many)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        unit = np.frombuffer(b"".join(g["unit"]), dtype=float).reshape(len(g), dim)
+        unit = to_units(np.frombuffer(b"".join(g["raw"]), dtype=kind).reshape(len(g), dim))
         ids = g["id"].to_numpy()
         q = g["q"].to_numpy(dtype=object)
         ask, member = np.array([x is None or x is True or x == True for x in q]), np.array([x is None or x is False or x == False for x in q])  # noqa: E712
