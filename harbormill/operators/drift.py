@@ -35,11 +35,11 @@ TAGS = ("string", "integer", "decimal", "boolean", "object", "array")
 #: A .json file has a field if this share of its parsable lines holds the key.
 PRESENT = 0.2
 
+#: Shapes that only a standard field's values have; plain numbers fit too many fields to tell.
 _SHAPES = {
-    "hotel_id": re.compile(r"/Hotel_Review-\S+|[0-9]{4,7}(?:\.0)?"),
-    "user_id": re.compile(r"[A-Za-z]{0,6}[-_]?[0-9]{5,9}(?:\.0)?"),
-    "rating": re.compile(r"[0-5](?:\.[05])?(?: ?stars|/5)?"),
-    "timestamp": re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ].*|1[0-9]{9}|1[0-9]{12}"),
+    "hotel_id": re.compile(r"/Hotel_Review-\S+"),
+    "user_id": re.compile(r"[A-Za-z]{1,6}[-_][0-9]{5,9}"),
+    "timestamp": re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:.*"),
     "review_text": re.compile(r"\S+(?: \S+){5,}", re.S),
 }
 _INT, _DEC = re.compile(r"[0-9]+"), re.compile(r"[0-9]+\.[0-9]+")
@@ -163,7 +163,8 @@ def infer_paths(dumps: DataFrame) -> DataFrame:
                     if x not in seen:
                         out.append((feed, no, x, i, len(names)))
                     seen.add(x)
-            yield pd.DataFrame(out, columns=["feed_id", "file_no", "path", "pos", "width"])
+            if out:
+                yield pd.DataFrame(out, columns=["feed_id", "file_no", "path", "pos", "width"])
 
     key = ["feed_id", "file_no"]
     heads = fused.filter("kind = 'header'").select(*key, "path").mapInPandas(name, "feed_id string, file_no int, path string, pos int, width int")
@@ -274,7 +275,8 @@ def unified(dumps: DataFrame) -> DataFrame:
                 elif ln != 1:
                     v = split_csv(line.rstrip("\r"))
                     out.append((feed, no, ln, None, v, [tag_text(x) for x in v], len(v)))
-            yield pd.DataFrame(out, columns=["feed_id", "file_no", "line_no", "names", "vals", "kinds", "width"])
+            if out:
+                yield pd.DataFrame(out, columns=["feed_id", "file_no", "line_no", "names", "vals", "kinds", "width"])
 
     key = ["feed_id", "file_no"]
     slim = dumps.select(*key, "line_no", "line", _is_json(F.col("file_name")).alias("js"))

@@ -175,6 +175,8 @@ def parse_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ids.append(key)
                     out.append([n, *_row(fields, reason), reason, at])
                     n += 1
+            if not out:
+                continue
             f = pd.DataFrame(out, columns=["record_no", *FIELDS, "reason", "error_at"])
             for c in ("record_no", "image_id", "error_at"):
                 f[c] = f[c].astype("Int64")

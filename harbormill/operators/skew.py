@@ -27,11 +27,13 @@ def number_within_key(df: DataFrame, key: str, stable: bool = False) -> DataFram
 
     The order is that of the input partitions.  ``stable`` says that the input is a
     plain scan, which gives the same partitions when it is computed again; any
-    other input is first written to the shared folder.  Null keys are numbered
+    other input is first written, with its order, to the shared folder.  Null keys are numbered
     as a key of their own.
     """
-    src = df if stable else written(df, "numbering")
-    rows = src.withColumn(_MID, F.monotonically_increasing_id()).withColumn(_PID, F.shiftright(_MID, 33))
+    rows = df.withColumn(_MID, F.monotonically_increasing_id())
+    if not stable:
+        rows = written(rows, "numbering")
+    rows = rows.withColumn(_PID, F.shiftright(_MID, 33))
     counts = rows.groupBy(_PID, key).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(key).orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(

@@ -65,7 +65,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation per group, null for a constant side."""
     r = df.withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
     flat = (F.coalesce(F.stddev_pop("rx"), F.lit(0.0)) < 1e-12) | (F.coalesce(F.stddev_pop("ry"), F.lit(0.0)) < 1e-12)
-    return r.groupBy(*by).agg(F.when(~flat, F.corr("rx", "ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return r.groupBy(*by).agg(F.when(~flat, rho).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def paired(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

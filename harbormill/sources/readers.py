@@ -49,17 +49,23 @@ def standardize(df: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES) ->
     return out.dropna(subset=["user_id", "hotel_id"])
 
 
+def _apart(raw: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    # the reader parses a line only if some data column is asked for
+    parsed = F.coalesce(F.length(columns[0]), F.lit(0)) >= 0
+    return raw.filter(F.col("_broken").isNull() & parsed).drop("_broken"), raw.filter(F.col("_broken").isNotNull() & parsed).select("_broken")
+
+
 def read_csv_dumps(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, broken): headed files with the given columns; lines that don't fit are set apart instead of lost."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_broken", T.StringType())])
     raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(paths)
-    return raw.filter("_broken is null").drop("_broken"), raw.filter("_broken is not null").select("_broken")
+    return _apart(raw, columns)
 
 
 def read_json_dumps(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_broken", T.StringType())])
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(paths)
-    return raw.filter("_broken is null").drop("_broken"), raw.filter("_broken is not null").select("_broken")
+    return _apart(raw, columns)
 
 
 def read_image_lists(spark: SparkSession, headless: str, headed: str | None = None) -> DataFrame:
