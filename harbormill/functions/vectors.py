@@ -22,8 +22,12 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Divided by its length; a zero vector stays zero."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(EPS)))
+    """Divided by its length; a zero vector stays zero.
+
+    The length is bound to a lambda variable, so it is computed once and not once per element.
+    """
+    both = F.array(F.struct(v.alias("v"), F.greatest(norm(v), F.lit(EPS)).alias("l")))
+    return F.transform(both, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["l"]))[0]
 
 
 def usable(v: Column, dim: int) -> Column:

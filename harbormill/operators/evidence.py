@@ -27,21 +27,27 @@ def availability(images: DataFrame, slots: int = SLOTS) -> DataFrame:
     return images.groupBy("item").agg(F.count(F.lit(1)).alias("n_images")).withColumn("availability", F.col("n_images") / slots)
 
 
-def coherence_raw(images: DataFrame) -> DataFrame:
+def vector_sums(df: DataFrame, keys: list[str], vec: str, dim: int, *more: Column) -> DataFrame:
+    """(keys, sums, more): element-wise sums, one partially aggregated buffer a dimension instead of exploded rows."""
+    sums = F.array(*[F.sum(F.col(vec)[d]) for d in range(dim)]).alias("sums")
+    return df.groupBy(*keys).agg(sums, *more)
+
+
+def coherence_raw(images: DataFrame, dim: int = 64, keys: list[str] | None = None) -> DataFrame:
     """(item, n, raw): mean cosine over the pairs of an item's images, 0 with fewer than two.
 
     Closed form over unit vectors: the pairs' cosines add up to (|sum v|^2 - sum |v|^2) / 2, so no pair is ever built:
     one sum per dimension instead of a self-join.
     """
-    units = images.select("item", vectors.unit(F.col("vec")).alias("v"))
-    sizes = units.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum(vectors.dot(F.col("v"), F.col("v"))).alias("own"))
-    sums = units.select("item", F.posexplode("v").alias("d", "x")).groupBy("item", "d").agg(F.sum("x").alias("s")).groupBy("item").agg(F.sum(F.col("s") * F.col("s")).alias("all"))
-    n = F.col("n")
-    return sizes.join(sums, "item").select("item", "n", F.when(n < 2, 0.0).otherwise((F.col("all") - F.col("own")) / (n * (n - 1))).alias("raw"))
+    keys = keys or ["item"]
+    units = images.select(*keys, vectors.unit(F.col("vec")).alias("v"))
+    sums = vector_sums(units, keys, "v", dim, F.count(F.lit(1)).alias("n"), F.sum(vectors.dot(F.col("v"), F.col("v"))).alias("own"))
+    n, total = F.col("n"), vectors.dot(F.col("sums"), F.col("sums"))
+    return sums.select(*keys, "n", F.when(n < 2, 0.0).otherwise((total - F.col("own")) / (n * (n - 1))).alias("raw"))
 
 
-def coherence(images: DataFrame) -> DataFrame:
-    raw = coherence_raw(images).withColumn("raw", numeric.finite(F.col("raw")))
+def coherence(images: DataFrame, dim: int = 64) -> DataFrame:
+    raw = coherence_raw(images, dim).withColumn("raw", numeric.finite(F.col("raw")))
     return numeric.min_max(raw, "raw", "coherence").withColumn("coherence", numeric.clip(F.col("coherence")))
 
 
@@ -52,17 +58,14 @@ def scaled_by(df: DataFrame, col: str, bounds: DataFrame, out: str) -> DataFrame
     return df.crossJoin(F.broadcast(bounds.select("lo", "hi"))).withColumn(out, numeric.clip(scaled)).drop("lo", "hi")
 
 
-def pooled(vecs: DataFrame, key: str, vec: str = "vec", normalize: bool = True) -> DataFrame:
-    """(key, vec): mean vector per key, to unit length.
-
-    Sums run per dimension with partial aggregation; the arrays are put together at the end, from ``dim`` rows a key.
-    """
-    parts = vecs.select(key, F.posexplode(vec).alias("d", "x")).groupBy(key, "d").agg(F.avg("x").alias("m"))
-    out = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("vec"))
+def pooled(vecs: DataFrame, key: str, vec: str = "vec", dim: int = 64, normalize: bool = True) -> DataFrame:
+    """(key, vec): mean vector per key, to unit length."""
+    sums = vector_sums(vecs, [key], vec, dim, F.count(F.lit(1)).alias("n"))
+    out = sums.select(key, F.transform("sums", lambda x: x / F.col("n")).alias("vec"))
     return out.withColumn("vec", vectors.unit(F.col("vec"))) if normalize else out
 
 
-def user_profiles(train: DataFrame, item_vecs: DataFrame) -> DataFrame:
+def user_profiles(train: DataFrame, item_vecs: DataFrame, dim: int = 64) -> DataFrame:
     """(u, vec): normalised mean of the vectors of a user's train items (u, i joined to item, vec)."""
     joined = train.select("u", F.col("i").alias("item")).distinct().join(item_vecs, "item").select("u", "vec")
-    return pooled(joined, "u")
+    return pooled(joined, "u", dim=dim)

@@ -435,11 +435,11 @@ def corrupted_state(s, d):
     im = written(_images(s, d), "images")
     clean = evidence.coherence_raw(im).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     masks = sampling.nested_masks(im.select("item", "slot"), SEEDS, LEVELS)
-    kept = masks.join(im, ["item", "slot"]).withColumn("item", F.concat_ws("~", F.col("seed").cast("string"), F.col("level").cast("string"), "item"))
-    state = evidence.availability(kept).join(evidence.coherence_raw(kept).select("item", "raw"), "item")
+    keys = ["seed", "level", "item"]
+    kept = masks.join(im, ["item", "slot"])
+    state = evidence.coherence_raw(kept, keys=keys).withColumn("availability", F.col("n") / evidence.SLOTS)
     state = evidence.scaled_by(state, "raw", clean, "coherence")
-    part = F.split("item", "~")
-    return state.select(part[0].cast("int").alias("seed"), part[1].cast("double").alias("level"), part[2].alias("item"), "n_images", *_r("availability", "coherence"))
+    return state.select(*keys, F.col("n").alias("n_images"), *_r("availability", "coherence"))
 
 
 def evidence_ablation(s, d):

@@ -58,7 +58,7 @@ def _apart(raw: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
 def read_csv_dumps(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, broken): headed files with the given columns; lines that don't fit are set apart instead of lost."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_broken", T.StringType())])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(paths)
+    raw = spark.read.schema(schema).option("header", True).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(paths)
     return _apart(raw, columns)
 
 

@@ -134,7 +134,7 @@ def images(spark, data):
 def test_coherence(spark):
     rng = np.random.default_rng(3)
     data = [("a", 0, (1, 0)), ("a", 1, (0, 1)), ("a", 2, (1, 0)), ("one", 0, (1, 1))] + [("r", k, rng.normal(size=2)) for k in range(6)]
-    raw = {r["item"]: r["raw"] for r in evidence.coherence_raw(images(spark, data)).collect()}
+    raw = {r["item"]: r["raw"] for r in evidence.coherence_raw(images(spark, data), dim=2).collect()}
     u = [np.array(v) / np.linalg.norm(v) for i, _, v in data if i == "r"]
     want = np.mean([u[i] @ u[j] for i in range(6) for j in range(i)])
     assert raw["a"] == pytest.approx(1 / 3) and raw["one"] == 0.0 and raw["r"] == pytest.approx(want)
@@ -145,7 +145,7 @@ def test_image_slots_and_unusable_vectors(spark):
     df = spark.createDataFrame(rows, "k string, slot int, vec array<double>")
     im = evidence.item_images(df, F.col("k"), dim=4)
     assert im.count() == 32 and evidence.availability(im).first()["availability"] == 1.0
-    assert evidence.pooled(im, "item").first()["vec"] == pytest.approx([0.5] * 4)
+    assert evidence.pooled(im, "item", dim=4).first()["vec"] == pytest.approx([0.5] * 4)
 
 
 def test_nearest_items_and_normalisation(spark):
