@@ -164,14 +164,39 @@ def _scan(docs: DataFrame, index) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, grams array<int>")
 
 
+def _tally(hits: DataFrame, sent, cover: float) -> DataFrame:
+    """(g, df, copied): documents with each n-gram, and those of them that hold enough of an item it belongs to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ix = sent.value
+        df, copied = np.zeros(len(ix.words), np.int64), np.zeros(len(ix.words), np.int64)
+        for b in batches:
+            for grams in b["grams"]:
+                seen: dict[int, set] = {}
+                for g in grams:
+                    df[g] += 1
+                    for i, p in ix.at[g]:
+                        seen.setdefault(i, set()).update(range(p, p + ix.n))
+                leaked = {i for i, s in seen.items() if len(s) >= cover * ix.size[i]}
+                if leaked:
+                    for g in grams:
+                        copied[g] += any(i in leaked for i, _ in ix.at[g])
+        hit = np.flatnonzero(df)
+        if len(hit):
+            yield pd.DataFrame({"g": hit, "df": df[hit], "copied": copied[hit]})
+
+    return hits.select("grams").mapInPandas(run, "g int, df long, copied long").groupBy("g").agg(F.sum("df").alias("df"), F.sum("copied").alias("copied"))
+
+
 def _one_pass(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, n: int, cover: float, everywhere: float) -> DataFrame:
     spark = docs.sparkSession
     index = ItemIndex(items, n)
     sent = spark.sparkContext.broadcast(index)
     hits = written(_scan(docs, sent), "hits")
-    counts = hits.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    # at most as many rows as the items of this pass have n-grams
-    common = {r["g"] for r in counts.filter(F.col("df") > max(2.0, everywhere * n_docs)).collect()}
+    # at most as many rows as the items of this pass have n-grams; an item that many documents copy
+    # as a whole is no text from everywhere, but what stands in several items is
+    often = _tally(hits, sent, cover).filter(F.col("df") > max(2.0, everywhere * n_docs)).collect()
+    common = {r["g"] for r in often if r["copied"] < 0.5 * r["df"] or len({i for i, _ in index.at[r["g"]]}) > 1}
     usual = spark.sparkContext.broadcast(common)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +217,8 @@ def _one_pass(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, n: int
                         for i, p in ix.at[g]:
                             seen.setdefault(i, set()).update(range(p, p + ix.n))
                 out += [(key, ix.items[i], len(s) / total[i], len(s)) for i, s in seen.items() if len(s) >= cover * total[i] and len(s) >= cover * 0.5 * ix.size[i]]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "n_words"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "n_words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return hits.mapInPandas(judge, f"doc_id {kind}, item_id bigint, covered double, n_words int")

@@ -130,18 +130,26 @@ def _measure(docs: list[list[str]], lexicon: _Lexicon) -> np.ndarray:
     lo_all, hi_all = start[doc], start[doc + 1]
     pos = np.arange(n)
     word = kind == _WORD
-    # words in a pair of neighbours that comes again within _NEAR words
-    pair = np.flatnonzero(word[:-1] & word[1:] & (doc[:-1] == doc[1:])) if n > 1 else np.zeros(0, np.int64)
-    repeat = np.zeros(n + 1, dtype=bool)
-    if len(pair):
-        code = (core[pair] << 32) | core[pair + 1]
+    function, ends = a[:, 2] == 1, a[:, 3] == 1
+    # pairs of neighbouring content words that come again within _NEAR words; function words between them don't part a pair
+    content = np.flatnonzero(word & ~function)
+    repeat = np.zeros(n, dtype=bool)
+    if len(content) > 1:
+        left, right = content[:-1], content[1:]
+        pair = (doc[left] == doc[right]) & (right - left <= 3)
+        left, right = left[pair], right[pair]
+        code = (core[left] << 32) | core[right]
         order = np.argsort(code, kind="stable")
-        p, c = pair[order], code[order]
+        p, q, c = left[order], right[order], code[order]
         near = np.flatnonzero((c[1:] == c[:-1]) & (doc[p[1:]] == doc[p[:-1]]) & (p[1:] - p[:-1] <= _NEAR))
-        for x in (p[near], p[near + 1]):
-            repeat[x] = True
-            repeat[x + 1] = True
-    repeat = repeat[:n]
+        for x in (near, near + 1):
+            repeat[p[x]] = True
+            repeat[q[x]] = True
+        # a function word goes with the content words on both of its sides
+        before = np.maximum.accumulate(np.where(word & ~function, pos, -1))
+        after = np.minimum.accumulate(np.where(word & ~function, pos, n)[::-1])[::-1]
+        inner = function & word & (before >= 0) & (after < n)
+        repeat[inner] = repeat[before[inner]] & repeat[after[inner]]
     lo, hi = np.maximum(lo_all, pos - _WIN), np.minimum(hi_all, pos + _WIN + 1)
 
     def around(x: np.ndarray) -> np.ndarray:
@@ -149,7 +157,6 @@ def _measure(docs: list[list[str]], lexicon: _Lexicon) -> np.ndarray:
         return (c[hi] - c[lo]) / np.maximum(1, hi - lo)
 
     strings = kind == _STRING
-    function, ends = a[:, 2] == 1, a[:, 3] == 1
     rep = word & (around(repeat) > 0.5)
     # fewer than five words are no list
     bare = word & ~rep & (hi - lo >= 5) & (around(function) < 0.08) & (around(ends) == 0) & (around(strings) == 0)
