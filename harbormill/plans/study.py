@@ -6,6 +6,7 @@ The base is one chain: valid interactions, positives with images, unique pairs,
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harbormill.functions import names, vectors
@@ -43,6 +44,10 @@ def _images(s: SparkSession, d: str) -> DataFrame:
     return evidence.item_images(table(s, d, "clip_per_image_v4"), clean_id(F.col("img_hotel_id")))
 
 
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
 def _r(*cols: str) -> list[Column]:
     return [F.round(c, 6).alias(c) for c in cols]
 
@@ -81,7 +86,8 @@ def entity_resolution_1to1(s, d):
 
 
 def registry_collect_list(s, d):
-    return interactions.image_lists(table(s, d, "train_set"), clean_id(F.col("hotel_id")), F.trim("image_url"), 200)
+    lists = interactions.image_lists(table(s, d, "train_set"), clean_id(F.col("hotel_id")), F.trim("image_url"), 200)
+    return lists.withColumn("urls", F.array_join("urls", " "))
 
 
 def registry_lookup(s, d):
@@ -181,7 +187,7 @@ def audit_one_to_one(s, d):
 
 def audit_vectors(s, d):
     v = table(s, d, "clip_per_image_v4")
-    return v.filter(~vectors.usable(F.col("vec"), 64)).select("vec_id", F.coalesce(F.size("vec"), F.lit(-1)).alias("n"))
+    return v.filter(~vectors.usable(F.col("vec"), 64)).select("vec_id", F.coalesce(F.size("vec"), F.lit(-1)).cast("long").alias("n"))
 
 
 def dense_index_map(s, d):
@@ -193,7 +199,7 @@ def user_index_map(s, d):
 
 
 def train_history(s, d):
-    return split.histories(_train(s, d)).select("u", F.array_join("items", ",").alias("items"), F.size("items").alias("n"))
+    return split.histories(_train(s, d)).select("u", F.array_join("items", ",").alias("items"), F.size("items").cast("long").alias("n"))
 
 
 def seen_union(s, d):
@@ -202,12 +208,12 @@ def seen_union(s, d):
 
 def negatives_offline(s, d):
     sp = written(_split(s, d), "split")
-    return sampling.negatives(sp.filter("split = 'train'"), sp, split.dense_index(sp, "i"), 4, "neg")
+    return _long(sampling.negatives(sp.filter("split = 'train'"), sp, split.dense_index(sp, "i"), 4, "neg"), "k")
 
 
 def negatives_online(s, d):
     tr = written(_train(s, d), "train")
-    return sampling.negatives(tr, tr, split.dense_index(tr, "i"), 1, "online")
+    return _long(sampling.negatives(tr, tr, split.dense_index(tr, "i"), 1, "online"), "k")
 
 
 def negative_audit(s, d):
@@ -225,7 +231,7 @@ def user_subset(s, d):
 
 
 def popularity_rank(s, d):
-    return rank.popularity(_train(s, d))
+    return _long(rank.popularity(_train(s, d)), "rank")
 
 
 def _popular(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +241,7 @@ def _popular(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def popularity_topk(s, d):
-    return _popular(s, d)[0]
+    return _long(_popular(s, d)[0], "rank")
 
 
 def eval_user_metrics(s, d):
@@ -290,7 +296,7 @@ def _knn(s: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 
 def knn_graph(s, d):
-    return _knn(s, d).select("src", "dst", F.round("sim", 5).alias("sim"), "rank")
+    return _long(_knn(s, d).select("src", "dst", F.round("sim", 5).alias("sim"), "rank"), "rank")
 
 
 def knn_normalized(s, d):
@@ -304,7 +310,7 @@ def graph_max_fusion(s, d):
 
 def embedding_neighbours(s, d):
     e = table(s, d, "embeddings")
-    return graph.nearest_items(e, "vec_id", "embedding", 5).select("src", "dst", F.round("sim", 5).alias("sim"), "rank")
+    return _long(graph.nearest_items(e, "vec_id", "embedding", 5).select("src", "dst", F.round("sim", 5).alias("sim"), "rank"), "rank")
 
 
 def bipartite_adjacency(s, d):
@@ -330,7 +336,7 @@ def lightgcn_score_topk(s, d):
     tr = sp.filter("split = 'train'").select("u", "i")
     u, i = models.light_vectors(tr, DIMS)
     val = sp.filter("split = 'val'").select("u").distinct()
-    return graph.score_blocks(u.join(val, "u", "left_semi"), i, 20, tr)
+    return _long(graph.score_blocks(u.join(val, "u", "left_semi"), i, 20, tr), "rank")
 
 
 def lightgcn_metrics(s, d):
@@ -349,7 +355,7 @@ def vbpr_score(s, d):
     sp = written(_split(s, d), "split")
     tr = sp.filter("split = 'train'").select("u", "i")
     u, i = models.visual_model(tr, _item_table(s, d), 64, DIMS)
-    return graph.score_blocks(u.join(sp.filter("split = 'val'").select("u").distinct(), "u", "left_semi"), i, 20, tr)
+    return _long(graph.score_blocks(u.join(sp.filter("split = 'val'").select("u").distinct(), "u", "left_semi"), i, 20, tr), "rank")
 
 
 def _hashed_text(s: SparkSession, d: str) -> DataFrame:
@@ -491,7 +497,7 @@ def pivot_delta(s, d):
 
 
 def run_completeness(s, d):
-    return audit.missing_runs(_runs(s, d).filter("not (model = 'dump_alpha' and model_seed = 7 and level = 0.5)"), ["model", "model_seed", "corruption_seed", "level"])
+    return audit.missing_runs(_runs(s, d).filter("not (model = 'dump_alpha' and model_seed = 7 and level = 0.5)"), ["model", "model_seed", "corruption_seed", "level"]).withColumn("corruption_seed", F.col("corruption_seed").cast("long"))
 
 
 def _strata(s: SparkSession, d: str) -> DataFrame:
@@ -554,9 +560,7 @@ def trial_best(s, d):
 
 def best_so_far(s, d):
     r = _runs(s, d).filter("model_seed = 42 and level = 0.25")
-    from pyspark.sql import Window as W
-
-    return r.select("model", "corruption_seed", F.round(F.max("value").over(W.partitionBy("model").orderBy("corruption_seed")), 8).alias("best"))
+    return r.select("model", F.col("corruption_seed").cast("long").alias("corruption_seed"), F.round(F.max("value").over(W.partitionBy("model").orderBy("corruption_seed")), 8).alias("best"))
 
 
 QUERIES = {

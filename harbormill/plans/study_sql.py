@@ -192,7 +192,7 @@ SELECT core, ta_hotel_id, id FROM a JOIN b USING (core) WHERE core <> ''""",
     "registry_collect_list": f"""
 WITH r AS (SELECT DISTINCT {_clean('hotel_id')} AS hotel, trim(image_url) AS url FROM train_set WHERE hotel_id IS NOT NULL AND image_url IS NOT NULL),
 p AS (SELECT hotel, CAST(ceil(count(*) / 200) AS BIGINT) AS parts FROM r WHERE hotel IS NOT NULL GROUP BY hotel)
-SELECT hotel, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % parts AS part, count(*) AS n, list(url ORDER BY url) AS urls FROM r JOIN p USING (hotel) GROUP BY 1, 2""",
+SELECT hotel, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % parts AS part, count(*) AS n, string_agg(url, ' ' ORDER BY url) AS urls FROM r JOIN p USING (hotel) GROUP BY 1, 2""",
     "registry_lookup": f"""
 WITH r AS (SELECT {_clean('hotel_id')} AS i, count(DISTINCT trim(image_url)) AS n FROM train_set WHERE hotel_id IS NOT NULL AND image_url IS NOT NULL GROUP BY 1)
 SELECT {_clean('img_hotel_id')} AS img_hotel_id, core_name, coalesce(image_count, 0) AS image_count, coalesce(n, 0) AS n_listed FROM item_images_v3 LEFT JOIN r ON {_clean('img_hotel_id')} = r.i""",
@@ -206,7 +206,7 @@ SELECT CASE WHEN vec IS NULL THEN 'missing' WHEN len(vec) = 0 THEN 'empty' WHEN
     "text_coverage": """
 WITH r AS (SELECT trim(user_id) AS u, trim(hotel_id) AS h, trim(coalesce(review_text, '')) AS t, row_id FROM merged_hotelrec),
 f AS (SELECT u, h, arg_min(t, row_id) AS t FROM r WHERE u IS NOT NULL AND h IS NOT NULL AND t <> '' GROUP BY u, h)
-SELECT h, count(*) AS n_reviews, sum(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> ''))) AS n_words FROM f GROUP BY h""",
+SELECT h, count(*) AS n_reviews, sum(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')))::BIGINT AS n_words FROM f GROUP BY h""",
     "format_metrics": "SELECT ta_city, printf('%.1f', round(avg(image_count), 1)) AS shown, translate(lower(ta_city), ' -', '__') AS slug FROM item_images_v3 WHERE image_count IS NOT NULL GROUP BY ta_city",
     "split_v6": _w(BASE) + "SELECT u, i, split FROM split",
     "split_v3_rows": _w(BASE)
@@ -317,6 +317,25 @@ ORACLE["case_selection"] = _w(
     "b AS (" + _near.format(q=0.5, without="WHERE i NOT IN (SELECT i FROM a)") + ")",
     "c AS (" + _near.format(q=0.9, without="WHERE i NOT IN (SELECT i FROM a) AND i NOT IN (SELECT i FROM b)") + ")",
 ) + "SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"
+ORACLE["vbpr_score"] = _w(
+    BASE,
+    IMAGES,
+    f"""
+nodes AS (SELECT DISTINCT 'u|' || u AS node FROM train UNION SELECT DISTINCT 'i|' || i FROM train),
+st AS (SELECT node, d, {_weight('visual', 'node', 'd')} AS x FROM nodes, range(0, 8) t(d)),
+em AS (SELECT e, s, {_weight('visual-e', 'CAST(e AS VARCHAR)', 's')} AS w FROM range(0, 4) a(e), range(0, 64) b(s)),
+ev AS (SELECT item AS i, e, sum(w * x) AS x FROM pooled JOIN em ON s = d GROUP BY 1, 2),
+bv AS (SELECT item AS i, sum({_weight('visual-b', "'0'", 'd')} * x) AS b FROM pooled GROUP BY 1),
+iv AS (
+  SELECT substr(node, 3) AS i, d, x FROM st WHERE node LIKE 'i|%' AND d < 4
+  UNION ALL SELECT i, e + 4, x FROM ev WHERE i IN (SELECT i FROM train)),
+bias AS (SELECT t.i, ({_h("'visual-bias'", 't.i')} % 20001 - 10000) / 100000.0::DOUBLE + coalesce(b, 0) AS b FROM (SELECT DISTINCT i FROM train) t LEFT JOIN bv ON t.i = bv.i),
+asked AS (SELECT DISTINCT u FROM val WHERE u IN (SELECT u FROM train)),
+scored AS (
+  SELECT a.u, v.i, round(sum(x.x * v.x) + any_value(bias.b), 6) AS score FROM asked a JOIN st x ON x.node = 'u|' || a.u JOIN iv v ON v.d = x.d JOIN bias ON bias.i = v.i GROUP BY 1, 2),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM scored s WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.u = s.u AND t.i = s.i) QUALIFY rank <= 20)""",
+) + "SELECT u, i, score, rank FROM top"
 ORACLE["audit_one_to_one"] = f"""
 WITH er AS ({ORACLE['entity_resolution_1to1']})
 SELECT 'ta_hotel_id' AS side, ta_hotel_id AS id, count(DISTINCT id) AS n FROM er GROUP BY 2 HAVING count(DISTINCT er.id) > 1"""
