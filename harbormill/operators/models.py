@@ -102,6 +102,51 @@ def summed_model(pairs: DataFrame, features: dict[str, tuple[DataFrame, int]], d
     return u, i
 
 
+def mean_branch_model(pairs: DataFrame, features: dict[str, tuple[DataFrame, int]], dims: int = 8, layers: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Mean over modalities of branches that average neighbours: leaky activation, a learned map added to the id state, layer by layer.
+
+    Every layer is one join with the edges and one average by (node, dimension); the small map runs on whole
+    vectors in the JVM.
+    """
+    from harbormill.operators.graph import mean_neighbours
+
+    p = pairs.select("u", "i").distinct()
+    u, i = F.concat(F.lit("u|"), "u"), F.concat(F.lit("i|"), "i")
+    edges = written(p.select(u.alias("src"), i.alias("dst")).union(p.select(i.alias("src"), u.alias("dst"))), "edges")
+    leaky = lambda c: F.when(c > 0, c).otherwise(0.01 * c)
+    out = None
+    for name, (table, width) in features.items():
+        ids = written(hash_states(p, dims, f"mean-{name}-id"), "ids")
+        pref = hash_states(p, dims, f"mean-{name}").filter("node like 'u|%'")
+        feat = projected(table, "i", dims, f"mean-{name}-proj", width).select(F.concat(F.lit("i|"), "i").alias("node"), F.posexplode("vec").alias("d", "x"))
+        x = written(pref.unionByName(feat), "state")
+        for layer in range(layers):
+            h = mean_neighbours(edges, x).select(F.col("dst").alias("node"), "d", leaky(F.col("x")).alias("x"))
+            vec = lambda t: t.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda c: c["x"]).alias("vec"))
+            mapped = projected(vec(x), "node", dims, f"mean-{name}-w{layer}", dims).select("node", F.posexplode("vec").alias("d", "m"))
+            hat = ids.withColumnRenamed("x", "e").join(mapped, ["node", "d"], "left").join(h, ["node", "d"], "left")
+            z = F.coalesce("x", F.lit(0.0)) + leaky(F.coalesce("m", F.lit(0.0))) + F.col("e")
+            x = written(hat.select("node", "d", leaky(z).alias("x")), "state")
+        out = x if out is None else out.unionByName(x)
+    return to_vectors(out.groupBy("node", "d").agg((F.sum("x") / len(features)).alias("x")))
+
+
+def predicted_model(pairs: DataFrame, dims: int = 8, layers: int = 2, salt: str = "predict") -> tuple[DataFrame, DataFrame]:
+    """A shared linear predictor over propagated users and over propagated items plus their id state."""
+    start = hash_states(pairs, dims, salt)
+    u, i = to_vectors(propagate(pairs, start, layers))
+    _, own = to_vectors(start)
+    i = add_vectors(i, own, "i")
+    return projected(u, "u", dims, f"{salt}-w", dims), projected(i, "i", dims, f"{salt}-w", dims)
+
+
+def pair_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, digits: int = 6) -> DataFrame:
+    """(u, i, score) of given pairs by the vectors' dot product."""
+    j = pairs.join(users.select("u", F.col("vec").alias("uv")), "u").join(items.select("i", F.col("vec").alias("iv")), "i")
+    score = F.aggregate(F.zip_with("uv", "iv", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    return j.select("u", "i", F.round(score, digits).alias("score"))
+
+
 def spectral_fusion(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Filtered signals of two modalities and of their product in the frequency domain (orthonormal real FFT)."""
     fa, fb = np.fft.rfft(a, axis=1, norm="ortho"), np.fft.rfft(b, axis=1, norm="ortho")

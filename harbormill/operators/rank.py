@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harbormill.operators.split import numbered
+
 
 def popularity(pairs: DataFrame) -> DataFrame:
     """(i, n, rank) by train rows, ties to the smaller id."""
     counts = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    # a window over the catalogue, one row per item
-    return counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "i")))
+    return numbered(counts, [F.desc("n"), F.col("i")], "rank").select("i", "n", (F.col("rank") + 1).alias("rank"))
 
 
 def popular_unseen(train: DataFrame, users: DataFrame, k: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harbormill.functions.numeric import keep_count
-from harbormill.operators.split import order_key
+from harbormill.operators.split import numbered, order_key
 
 
 def negatives(positives: DataFrame, seen: DataFrame, catalogue: DataFrame, per: int, salt: str, attempts: int = 8) -> DataFrame:
@@ -29,8 +29,8 @@ def negatives(positives: DataFrame, seen: DataFrame, catalogue: DataFrame, per:
 def permuted(df: DataFrame, key: str, value: str, salt: str) -> DataFrame:
     """(key, value): the values dealt anew among the keys, by rank of a hash; the multiset stays."""
     base = df.select(F.col(key).alias("key"), F.col(value).alias("value"))
-    give = base.withColumn("r", F.row_number().over(W.orderBy(order_key(salt, F.col("key").cast("string")), "key"))).select("r", "value")
-    take = base.withColumn("r", F.row_number().over(W.orderBy("key"))).select("r", "key")
+    give = numbered(base, [order_key(salt, F.col("key").cast("string")), F.col("key")], "r").select("r", "value")
+    take = numbered(base, [F.col("key")], "r").select("r", "key")
     return take.join(give, "r").select(F.col("key").alias(key), F.col("value").alias(value))
 
 
@@ -49,7 +49,3 @@ def nested_masks(images: DataFrame, seeds: list[int], removed: list[float]) -> D
     ranked = each.withColumn("rn", rn)
     return ranked.join(F.broadcast(grid), "seed").filter(F.col("rn") <= keep_count(F.col("n"), F.col("level"))).select("seed", "level", "item", "slot")
 
-
-def bootstrap_draws(n: int, replicates: int, block: int = 100):
-    """(first, count) blocks of replicates; each draws its own indexes from its number as seed."""
-    return [(lo, min(block, replicates - lo)) for lo in range(0, replicates, block)]

@@ -37,20 +37,25 @@ def user_split(pairs: DataFrame, seed: int = 42, dense: int = 2, share: float =
     return pairs.withColumn("rn", rn).withColumn("n", n).withColumn("split", split).drop("rn", "n")
 
 
-def dense_index(df: DataFrame, col: str, stable: bool = False) -> DataFrame:
-    """(id, idx): distinct values in order, numbered from 0.
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: its rows numbered from 0 in a global order.
 
-    Range partitions are sorted in parallel; each is numbered from the count of those before it, so no
-    single task sorts all ids.  The ranges are written once, so that numbers can't move on recomputation.
+    Range partitions are sorted in parallel and each is numbered from the count of those before it, so no
+    single task sorts all rows.  The ranges are written once, so that numbers can't move on recomputation.
     """
-    ids = df.select(F.col(col).alias("id")).filter("id is not null").distinct()
-    ranged = ids if stable else written(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("pid", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = written(spread, "ranges").withColumn("__pid", F.shiftright("__at", 33)).withColumn("__local", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     # one row per partition
-    before = W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    local = F.row_number().over(W.partitionBy("pid").orderBy("id"))
-    return ranged.withColumn("local", local).join(F.broadcast(offsets), "pid").select("id", (F.col("before") + F.col("local") - 1).cast("long").alias("idx"))
+    before = W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return ranged.join(F.broadcast(offsets), "__pid").withColumn(out, (F.col("__before") + F.col("__local")).cast("long")).drop("__pid", "__local", "__before", "__at")
+
+
+def dense_index(df: DataFrame, col: str) -> DataFrame:
+    """(id, idx): distinct values in order, numbered from 0; nulls are left out."""
+    ids = df.select(F.col(col).alias("id")).filter("id is not null").distinct()
+    return numbered(ids, [F.col("id")], "idx").select("id", "idx")
 
 
 def histories(pairs: DataFrame) -> DataFrame:

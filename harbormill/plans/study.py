@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from harbormill.functions import names, vectors
 from harbormill.functions.ids import clean_id, is_invalid_user, strip_float_suffix
-from harbormill.operators import audit, evidence, graph, interactions, models, rank, sampling, split, stats
+from harbormill.operators import audit, evidence, graph, interactions, joins, models, rank, sampling, split, stats, tuning
 from harbormill.plans.study_sql import ORACLE  # noqa: F401
 from harbormill.session import table, written
 from harbormill.sources import readers
@@ -563,6 +563,88 @@ def best_so_far(s, d):
     return r.select("model", F.col("corruption_seed").cast("long").alias("corruption_seed"), F.round(F.max("value").over(W.partitionBy("model").orderBy("corruption_seed")), 8).alias("best"))
 
 
+# --- joins, sets, summaries, tuning ----------------------------------------------------------------------------------
+
+
+def checked_join(s, d):
+    im = table(s, d, "item_images_v3").select(clean_id(F.col("img_hotel_id")).alias("i"), "image_count")
+    return joins.checked_left_join(im, evidence.log_evidence(_train(s, d), "i").select("i", "n"), ["i"], "one_to_one").select("i", "image_count", "n")
+
+
+def indexed_pairs(s, d):
+    core = written(_core(s, d).select("u", "i"), "core")
+    return joins.gather(core, split.dense_index(core, "i"), "i").select("u", "i", "idx")
+
+
+def latest_review(s, d):
+    r = table(s, d, "merged_hotelrec").select(F.trim("user_id").alias("u"), F.trim("hotel_id").alias("h"), "row_id", "timestamp").filter("u is not null and h is not null")
+    return joins.keep_last(r, ["u", "h"], "row_id").select("u", "h", "row_id", "timestamp")
+
+
+def display_order(s, d):
+    c = joins.replaced(table(s, d, "source_clock").select(F.col("source_name").alias("model")), "model", {"dump_alpha": "full", "dump_bravo": "backbone"})
+    return joins.in_order(c, "model", ["backbone", "full"]).select("model", F.col("position").cast("long").alias("position"))
+
+
+def missing_vectors(s, d):
+    have = _images(s, d).select("item").distinct()
+    ids = table(s, d, "item_images_v3").select(clean_id(F.col("img_hotel_id")).alias("item")).filter("item is not null").distinct()
+    return ids.join(have, "item", "left_anti")
+
+
+def shared_names(s, d):
+    a = table(s, d, "item_images_v3").select(names.core_name(F.col("ta_name")).alias("core"))
+    return a.intersect(table(s, d, "hotel_info").select(names.core_name(F.col("hotel_name")).alias("core")))
+
+
+def all_users(s, d):
+    sp = _split(s, d)
+    return sp.filter("split = 'val'").select("u").union(sp.filter("split = 'test'").select("u")).distinct()
+
+
+def evidence_summary(s, d):
+    e = evidence.log_evidence(_train(s, d), "i")
+    return e.agg(F.min("n").alias("lowest"), F.percentile("n", F.lit(0.5)).alias("median"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("highest"), F.count_if(F.col("n") == 1).alias("n_single"))
+
+
+def boolean_checks(s, d):
+    sp = _split(s, d)
+    return sp.groupBy("split").agg(F.bool_and(F.col("u").isNotNull()).alias("all_known"), F.bool_or(F.col("i") < "2").alias("any_low"))
+
+
+def ablation_table(s, d):
+    r = stats.seed_summary(_runs(s, d).filter("level = 0 and corruption_seed = 2026"), "model", "value")
+    full = r.filter("model = 'dump_alpha'").select(F.col("mean").alias("full"))
+    return r.crossJoin(F.broadcast(full)).select("model", F.round(100 * (F.col("mean") - F.col("full")) / F.col("full"), 6).alias("change_pct"))
+
+
+def early_stopping(s, d):
+    r = _runs(s, d).filter("model_seed = 42 and level = 0.25").withColumn("epoch", F.col("corruption_seed") - 2025)
+    return tuning.stopping_points(r, ["model"], "epoch", "value", 2).select("model", F.col("best_epoch").cast("long").alias("best_epoch"), F.col("stopped_at").cast("long").alias("stopped_at"), F.round("best", 8).alias("best"))
+
+
+def trial_dedupe(s, d):
+    r = _runs(s, d).filter("level = 0.5 and model_seed = 7")
+    return tuning.distinct_trials(r.select("model", "corruption_seed", "value"), ["model"], "corruption_seed").select("model", F.col("corruption_seed").cast("long").alias("corruption_seed"), F.round("value", 8).alias("value"))
+
+
+def score_parity(s, d):
+    """Pairs whose own score differs from that of the full ranking: none."""
+    tr = written(_train(s, d), "train")
+    u, i = models.light_vectors(tr, DIMS)
+    u, i = written(u, "u"), written(i, "i")
+    top = graph.score_blocks(u, i, 20).select("u", "i", F.col("score").alias("ranked"))
+    return models.pair_scores(top.select("u", "i"), u, i).join(top, ["u", "i"]).filter(F.abs(F.col("score") - F.col("ranked")) > 2e-6).select("u", "i")
+
+
+def stress_summary(s, d):
+    c = corrupted_state(s, d)
+    return c.groupBy("seed", "level").agg(F.sum("n_images").alias("n_images"), F.round(F.avg("availability"), 5).alias("availability"), F.round(F.avg("coherence"), 5).alias("coherence"))
+
+
+mean_branch_metrics = _model_query(lambda s, d, tr: models.mean_branch_model(tr, {"text": (written(_hashed_text(s, d), "text"), 32), "visual": (_item_table(s, d), 64)}))
+predicted_metrics = _model_query(lambda s, d, tr: models.predicted_model(tr))
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -573,7 +655,8 @@ QUERIES = {
         user_history_evidence, item_popularity_evidence, image_availability, visual_coherence, evidence_join, mean_pool_vectors, user_visual_profile, knn_graph, knn_normalized,
         graph_max_fusion, embedding_neighbours, bipartite_adjacency, mean_aggregation, lightgcn_propagate, lightgcn_score_topk, lightgcn_metrics, vbpr_score, tfidf_svd, gated_pair_scores,
         nested_mask, nested_mask_audit, corrupted_state, evidence_ablation, evidence_shuffle, seed_summary, two_level_aggregate, relative_drop, pivot_delta, run_completeness,
-        quartile_strata, qcut_bins, spearman, paired_difference, wilcoxon_statistic, holm_adjust, bootstrap_ci, hierarchical_bootstrap, case_selection, trial_best, best_so_far,
+        quartile_strata, qcut_bins, spearman, paired_difference, wilcoxon_statistic, holm_adjust, bootstrap_ci, hierarchical_bootstrap, case_selection, trial_best, best_so_far, checked_join, indexed_pairs, latest_review, display_order, missing_vectors, shared_names, all_users,
+        evidence_summary, boolean_checks, ablation_table, early_stopping, trial_dedupe, score_parity, stress_summary,
     )
 }
-QUERIES |= {"text_only_metrics": text_only_metrics, "two_branch_metrics": two_branch_metrics, "summed_metrics": summed_metrics, "pairwise_trained_metrics": pairwise_trained_metrics, "spectral_metrics": spectral_metrics}
+QUERIES |= {"text_only_metrics": text_only_metrics, "two_branch_metrics": two_branch_metrics, "summed_metrics": summed_metrics, "pairwise_trained_metrics": pairwise_trained_metrics, "spectral_metrics": spectral_metrics, "mean_branch_metrics": mean_branch_metrics, "predicted_metrics": predicted_metrics}

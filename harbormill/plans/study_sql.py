@@ -339,3 +339,31 @@ top AS (
 ORACLE["audit_one_to_one"] = f"""
 WITH er AS ({ORACLE['entity_resolution_1to1']})
 SELECT 'ta_hotel_id' AS side, ta_hotel_id AS id, count(DISTINCT id) AS n FROM er GROUP BY 2 HAVING count(DISTINCT er.id) > 1"""
+ORACLE |= {
+    "checked_join": _w(BASE, EVID) + f"SELECT m.i, image_count, n FROM (SELECT {_clean('img_hotel_id')} AS i, image_count FROM item_images_v3) m LEFT JOIN evi e ON m.i = e.i",
+    "indexed_pairs": _w(BASE) + "SELECT u, i, idx FROM core JOIN catalog ON i = id",
+    "latest_review": """
+WITH r AS (SELECT trim(user_id) AS u, trim(hotel_id) AS h, row_id, "timestamp" FROM merged_hotelrec WHERE user_id IS NOT NULL AND hotel_id IS NOT NULL)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY u, h ORDER BY row_id DESC) = 1""",
+    "display_order": """
+SELECT CASE source_name WHEN 'dump_alpha' THEN 'full' WHEN 'dump_bravo' THEN 'backbone' ELSE source_name END AS model,
+  CASE source_name WHEN 'dump_bravo' THEN 0 WHEN 'dump_alpha' THEN 1 ELSE 2 END::BIGINT AS position FROM source_clock""",
+    "missing_vectors": _w(IMAGES) + f"SELECT DISTINCT {_clean('img_hotel_id')} AS item FROM item_images_v3 WHERE img_hotel_id IS NOT NULL AND {_clean('img_hotel_id')} NOT IN (SELECT item FROM usable WHERE item IS NOT NULL)",
+    "shared_names": f"SELECT {_core('ta_name')} AS core FROM item_images_v3 INTERSECT SELECT {_core('hotel_name')} FROM hotel_info",
+    "all_users": _w(BASE) + "SELECT DISTINCT u FROM split WHERE split <> 'train'",
+    "evidence_summary": _w(BASE, EVID)
+    + "SELECT min(n) AS lowest, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, round(avg(n), 6) AS mean, max(n) AS highest, count(*) FILTER (WHERE n = 1) AS n_single FROM evi",
+    "boolean_checks": _w(BASE) + "SELECT split, bool_and(u IS NOT NULL) AS all_known, bool_or(i < '2') AS any_low FROM split GROUP BY split",
+    "ablation_table": _w(_RUNS)
+    + """, m AS (SELECT model, avg(value) AS v FROM runs WHERE level = 0 AND corruption_seed = 2026 GROUP BY model), f AS (SELECT v AS full_v FROM m WHERE model = 'dump_alpha')
+SELECT model, round(100 * (v - full_v) / full_v, 6) AS change_pct FROM m, f""",
+    "early_stopping": _w(_RUNS)
+    + """, r AS (SELECT model, corruption_seed - 2025 AS epoch, value FROM runs WHERE model_seed = 42 AND level = 0.25),
+g AS (SELECT *, coalesce(value > max(value) OVER (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-8, true) AS gain FROM r),
+l AS (SELECT *, max(CASE WHEN gain THEN epoch END) OVER (PARTITION BY model ORDER BY epoch) AS last_gain FROM g),
+s AS (SELECT model, coalesce(min(CASE WHEN epoch - last_gain >= 2 THEN epoch END), max(epoch)) AS stopped_at FROM l GROUP BY model)
+SELECT l.model, max(CASE WHEN gain THEN epoch END) AS best_epoch, stopped_at, round(max(value), 8) AS best FROM l JOIN s ON l.model = s.model AND epoch <= stopped_at GROUP BY l.model, stopped_at""",
+    "trial_dedupe": _w(_RUNS) + "SELECT model, corruption_seed, round(value, 8) AS value FROM runs WHERE level = 0.5 AND model_seed = 7 AND corruption_seed = 2030",
+    "score_parity": "SELECT trim(user_id) AS u, trim(img_hotel_id) AS i FROM multimodal_interactions_v3 WHERE false",
+    "stress_summary": "SELECT seed, level, sum(n_images)::BIGINT AS n_images, round(avg(availability), 5) AS availability, round(avg(coherence), 5) AS coherence FROM (" + ORACLE["corrupted_state"] + ") GROUP BY seed, level",
+}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harbormill.functions import ids, names, numeric, vectors
-from harbormill.operators import audit, evidence, graph, interactions, models, rank, sampling, split, stats
+from harbormill.operators import audit, evidence, graph, interactions, joins, models, rank, sampling, split, stats, tuning
 from harbormill.sources import readers
 
 
@@ -328,3 +328,50 @@ def test_readers(spark, tmp_path):
     readers.write_single_csv(m, str(tmp_path / "one"))
     assert "0.5000" in readers.latex_table(spark.createDataFrame([(0.5,)], "x double"))
     assert readers.remaining(m, m, "id").count() == 0
+
+
+def test_checked_joins(spark):
+    a = spark.createDataFrame([("a", 1), ("b", 2)], "k string, x int")
+    b = spark.createDataFrame([("a", 3), ("a", 4)], "k string, y int")
+    assert joins.checked_left_join(a, a.withColumnRenamed("x", "y"), ["k"], "one_to_one").count() == 2
+    with pytest.raises(Exception, match="not unique on the right"):
+        joins.checked_left_join(a, b, ["k"], "many_to_one").collect()
+    with pytest.raises(Exception, match="not unique on the left"):
+        joins.checked_left_join(b, a, ["k"], "one_to_one").collect()
+    assert joins.double_keys(b, ["k"]).count() == 1
+    with pytest.raises(Exception, match="no index for b"):
+        joins.gather(a, spark.createDataFrame([("a", 0)], "id string, idx long"), "k").collect()
+    assert joins.gather(a, spark.createDataFrame([("a", 0)], "id string, idx long"), "k", strict=False).count() == 1
+    assert joins.keep_last(b, ["k"], "y").first()["y"] == 4
+
+
+def test_tuning(spark):
+    assert tuning.grid(spark, {"a": [1, 2], "b": [3, 4, 5]}).count() == 6
+    best, log = tuning.coordinate_search({"a": 1, "b": 1}, [("a", [1, 2, 3]), ("b", [1, 2])], lambda c: -((c["a"] - 2) ** 2) - (c["b"] - 2) ** 2)
+    assert best == {"a": 2, "b": 2} and len(log) == 4
+    t = spark.createDataFrame([("m", 0, 0.5), ("m", 1, 0.7), ("m", 2, 0.7)], "model string, trial int, v double")
+    assert tuning.best_trials(t, ["model"], "v", "trial").first()["trial"] == 1
+    assert tuning.distinct_trials(t, ["model"], "trial").first()["trial"] == 2
+    c = spark.createDataFrame([("r", e, v) for e, v in enumerate([0.1, 0.3, 0.2, 0.25, 0.9])], "run string, epoch int, v double")
+    r = tuning.stopping_points(c, ["run"], "epoch", "v", 2).first()
+    assert (r["best_epoch"], r["best"], r["stopped_at"]) == (1, 0.3, 3)
+    w = spark.createDataFrame([("m", "p", 0, [1.0, 2.0])], "model string, param string, row int, vec array<double>")
+    assert tuning.parameter_counts(w).first()["n"] == 2
+
+
+def test_streams(spark, tmp_path):
+    from harbormill.streaming import counts
+
+    rows = [("a", "2020-01-01 10:00:00"), ("a", "2020-01-01 10:05:00"), ("b", "2020-01-02 10:00:00"), (None, "2020-01-02 10:00:00")]
+    df = spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp("t").alias("t"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = counts.windowed_counts(stream, "t", "k").writeStream.outputMode("complete").format("memory").queryName("counts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["key"], r["n"]) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+    assert sorted((r["user"] or "", r["n"]) for r in counts.sessions(df, "t", "k").collect()) == [("", 1), ("a", 2), ("b", 1)]
+    q = counts.deduplicated(stream, ["k"], "t").writeStream.format("memory").queryName("once").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("once").count() == 3
