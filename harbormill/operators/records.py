@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from harbormill.session import over_keys
+
 REASONS = ("quoting", "column_count", "hotel_id", "image_url")
 FIELDS = ("image_id", "hotel_id", "image_url", "image_source", "upload_timestamp")
 
@@ -145,8 +147,7 @@ def parse_lines(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
             yield f
 
     slim = df.select(df[id_col].alias("id"), df[line_col].alias("line"))
-    kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInPandas(run, f"id {kind}, {_OUT}").withColumnRenamed("id", id_col)
+    return over_keys(slim, "id", run, _OUT).withColumnRenamed("id", id_col)
 
 
 def parse_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -184,5 +185,4 @@ def parse_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield f
 
     slim = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInPandas(run, f"id {kind}, record_no int, {_OUT}").withColumnRenamed("id", id_col)
+    return over_keys(slim, "id", run, f"record_no int, {_OUT}").withColumnRenamed("id", id_col)

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harbormill.session import over_keys
+
 #: Words for a missing time.
 MISSING = frozenset(("", "-", "--", "?", "n/a", "na", "nan", "nat", "none", "null", "nil", "unknown", "missing", "undefined"))
 
@@ -252,6 +254,5 @@ def normalise_times(df: DataFrame, id_col: str, text_col: str, source_col: str,
             f.insert(0, "id", b["id"].to_numpy())
             yield f
 
-    kind = slim.schema["id"].dataType.simpleString()
     cols = rows.select("id", "text", "tz", "w_dmy")
-    return cols.mapInPandas(run, f"id {kind}, epoch_ms bigint, status string, format string, confidence double").withColumnRenamed("id", id_col)
+    return over_keys(cols, "id", run, "epoch_ms bigint, status string, format string, confidence double").withColumnRenamed("id", id_col)

@@ -67,21 +67,11 @@ def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy(F.coalesce("reason", F.lit("loaded")).alias("outcome")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def _times(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "merged_hotelrec").select(
-        F.struct(F.lit("merged_hotelrec").alias("t"), "row_id").alias("id"), F.col("timestamp").alias("text"), F.col("source_dump").alias("source")
-    )
-    b = table(spark, d, "train_set").select(
-        F.struct(F.lit("train_set").alias("t"), "row_id").alias("id"), F.col("upload_timestamp").alias("text"), F.col("image_source").alias("source")
-    )
-    # one number for both tables keeps the Python side to flat columns
-    return a.unionByName(b).select((F.col("id.row_id") * 2 + (F.col("id.t") == "train_set").cast("int")).alias("id"), "text", "source")
-
-
 def _normalised(spark: SparkSession, d: str) -> DataFrame:
-    times = timestamps.normalise_times(_times(spark, d), "id", "text", "source", table(spark, d, "source_clock"))
-    name = F.when(F.pmod("id", F.lit(2)) == 1, "train_set").otherwise("merged_hotelrec")
-    return times.withColumns({"table_name": name, "row_id": F.shiftright("id", 1)})
+    clock = table(spark, d, "source_clock")
+    a = timestamps.normalise_times(table(spark, d, "merged_hotelrec"), "row_id", "timestamp", "source_dump", clock)
+    b = timestamps.normalise_times(table(spark, d, "train_set"), "row_id", "upload_timestamp", "image_source", clock)
+    return a.withColumn("table_name", F.lit("merged_hotelrec")).unionByName(b.withColumn("table_name", F.lit("train_set")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -47,6 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def over_keys(df: DataFrame, key: str, run, schema: str) -> DataFrame:
+    """``df.mapInPandas(run)`` with the key as text in between, since a null among whole numbers would turn
+    them into floats in pandas.  ``schema`` has the columns behind the key."""
+    kind = df.schema[key].dataType.simpleString()
+    out = df.withColumn(key, df[key].cast("string")).mapInPandas(run, f"{key} string, {schema}")
+    return out if kind == "string" else out.withColumn(key, out[key].cast(kind))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: lineage is cut, the rows
     survive the loss of any executor, and later joins know the real size."""

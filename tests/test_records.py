@@ -58,6 +58,12 @@ def test_reading_resumes_behind_a_broken_quote(spark):
     assert list(got["record_no"]) == [0, 1, 2, 3]
 
 
+def test_null_ids_leave_large_ones_exact(spark):
+    big = 9_007_199_254_740_993
+    df = spark.createDataFrame([(big, "bad"), (None, "bad")], "line_id long, line string").coalesce(1)
+    assert sorted((r["line_id"] or 0) for r in parse_lines(df, "line_id", "line").collect()) == [0, big]
+
+
 def test_very_long_line(spark):
     line = "1,22,https://a.b/" + "x" * 1_000_000 + ",s,t"
     assert parse_lines(spark.createDataFrame([(1, line)], "line_id long, line string"), "line_id", "line").first()["reason"] is None
