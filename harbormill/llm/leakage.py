@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbormill.session import written
+from harbormill.session import over_keys, written
 
 N = 5
 #: The share of an item's words that a leak covers.
@@ -160,8 +160,7 @@ def _scan(docs: DataFrame, index) -> DataFrame:
             if keys:
                 yield block(keys, parts)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, grams array<int>")
+    return over_keys(docs.select("doc_id", "text"), "doc_id", run, "grams array<int>")
 
 
 def _tally(hits: DataFrame, sent, cover: float) -> DataFrame:
@@ -220,8 +219,7 @@ def _one_pass(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, n: int
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "n_words"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return hits.mapInPandas(judge, f"doc_id {kind}, item_id bigint, covered double, n_words int")
+    return over_keys(hits, "doc_id", judge, "item_id bigint, covered double, n_words int")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, cover: float = COVER, everywhere: float = EVERYWHERE, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:

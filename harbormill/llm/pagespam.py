@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbormill.session import written
+from harbormill.session import over_keys, written
 
 #: Function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -211,8 +211,7 @@ def page_features(docs: DataFrame) -> DataFrame:
                 yield flush()
 
     slim = docs.select("doc_id", F.coalesce(F.col("host"), F.lit("")).alias("host"), "text")
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(run, f"doc_id {kind}, host string, " + ", ".join(f"{x} double" for x in FEATURES))
+    return over_keys(slim, "doc_id", run, "host string, " + ", ".join(f"{x} double" for x in FEATURES))
 
 
 def weak_label(f: dict[str, object]):
@@ -309,8 +308,7 @@ def score_pages(docs: DataFrame, sample: int = SAMPLE, host_weight: float = HOST
             p[x[:, 0] == 0] = 0.0
             yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "page_score": p})
 
-    kind = feats.schema["doc_id"].dataType.simpleString()
-    pages = feats.mapInPandas(run, f"doc_id {kind}, host string, page_score double")
+    pages = over_keys(feats, "doc_id", run, "host string, page_score double")
     # a prior of 20 pages at the rate of all pages steadies the rates of small hosts
     rates = pages.groupBy("host").agg(F.sum("page_score").alias("s"), F.count(F.lit(1)).alias("m"))
     everywhere = rates.agg((F.sum("s") / F.sum("m")).alias("base"))

@@ -65,6 +65,13 @@ def test_sentences_from_everywhere_do_not_count(spark):
     assert pairs(leakage.find_leaks(d, i, everywhere=0.05)) == [(30, 1)]
 
 
+def test_null_ids_leave_large_ones_exact(spark):
+    big = 9_007_199_254_740_993
+    d = spark.createDataFrame([(big, ITEMS[0][1]), (None, ITEMS[0][1])], "doc_id long, text string").coalesce(1)
+    _, i = frames(spark, [])
+    assert sorted((r["doc_id"] or 0) for r in leakage.find_leaks(d, i).collect()) == [0, big]
+
+
 def test_an_item_that_many_documents_copy_is_no_text_from_everywhere(spark):
     d, i = frames(spark, [ITEMS[2][1] + " " + filler(1) for _ in range(40)])
     assert pairs(leakage.find_leaks(d, i)) == [(k, 2) for k in range(40)]
