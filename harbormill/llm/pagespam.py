@@ -41,7 +41,7 @@ _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a\s*>|\[([^\]\[]{0,300})\]\([^)\s]*\)",
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _URL = re.compile(r"^[\W_]*(?:(?:https?|hxxps?|ftp):/|www\.|(?:[\w-]+(?:\.|\[\.\]))+[a-z]{2,}/|[\w-]+\[\.\]|[a-z0-9-]*[0-9-][a-z0-9-]*\.[a-z]{3,}\W*$)", re.I)
 _END = re.compile(r"[.!?…][\"')\]»]*$")
-_NEAR, _WIN, _LONG = 60, 12, 40
+_NEAR, _WIN, _LONG, _LABEL = 60, 12, 40, 9
 _WORD, _LINK, _HASH, _STRING, _MARK = range(5)
 #: Words kept with their attributes before the memory is emptied.
 _MEMORY = 400_000
@@ -157,12 +157,21 @@ def _measure(docs: list[list[str]], lexicon: _Lexicon) -> np.ndarray:
         return (c[hi] - c[lo]) / np.maximum(1, hi - lo)
 
     strings = kind == _STRING
+    # words between two links close together, without a sentence's end, are the links' labels
+    link = kind == _LINK
+    last = np.maximum.accumulate(np.where(link, pos, -1)) if n else pos
+    following = np.minimum.accumulate(np.where(link, pos, n)[::-1])[::-1] if n else pos
+    closed = np.concatenate([[0], np.cumsum(ends)])
+    label = word & (last >= lo_all) & (following < hi_all) & (following - last <= _LABEL)
+    label[label] = closed[following[label]] == closed[last[label]]
+    link = link | label
+    word = word & ~label
     rep = word & (around(repeat) > 0.5)
     # fewer than five words are no list
     bare = word & ~rep & (hi - lo >= 5) & (around(function) < 0.08) & (around(ends) == 0) & (around(strings) == 0)
     per = lambda x: np.bincount(doc, weights=x, minlength=len(docs))
     total = np.maximum(1.0, count - per(strings))
-    links, tags = per(kind == _LINK) / total, per(kind == _HASH) / total
+    links, tags = per(link) / total, per(kind == _HASH) / total
     repeats, bares = per(rep) / total, per(bare) / total
     once = np.unique((doc.astype(np.int64) << 32) | core) >> 32 if n else np.zeros(0, np.int64)
     distinct = np.bincount(once, minlength=len(docs)) / np.maximum(1, count)

@@ -56,6 +56,12 @@ def test_spam_is_found(spark):
     assert flagged == want
 
 
+def test_labels_of_links_belong_to_the_links(spark):
+    text = " | ".join(f"oferta de habitación y spa: http://deal-{k}.example/x" for k in range(30)) + " " + sentence()
+    x = pagespam._measure([pagespam._words(text), pagespam._words("We saw http://a.b/c on the way. It was nice. See http://a.b/d for more.")], pagespam._Lexicon())
+    assert x[0][1] > 0.8 and x[1][1] < 0.2
+
+
 def test_without_labels_and_without_rows(spark):
     assert pagespam.score_pages(frame(spark, [])).count() == 0
     only = pagespam.score_pages(frame(spark, [honest()] * 3))
