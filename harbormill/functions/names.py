@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Filler words that a core name leaves out.
-FILLERS = ("hotel", "hotels", "resort", "resorts", "inn", "suites", "suite", "the", "by", "at", "lodge", "motel", "spa")
+FILLERS = ("hotel", "motel", "resort", "suites", "suite", "inn", "by", "the", "of", "at", "llc", "inc", "lodge")
 
 
 def core_name(c: Column, fillers: tuple[str, ...] = FILLERS, min_tokens: int = 0) -> Column:
@@ -15,7 +15,7 @@ def core_name(c: Column, fillers: tuple[str, ...] = FILLERS, min_tokens: int = 0
     Words of one letter are dropped, single digits stay.  With fewer than ``min_tokens`` words the result is ''.
     """
     t = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    t = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit(" and ")), F.lit("st."), F.lit("saint ")), F.lit("/"), F.lit(" "))
+    t = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit(" and ")), F.lit("st."), F.lit("saint")), F.lit("/"), F.lit(" "))
     words = F.split(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+")
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*fillers) & ((F.length(w) > 1) | w.rlike("^[0-9]$")))
     return F.when(F.size(kept) >= min_tokens, F.array_join(kept, " ")).otherwise("")
@@ -25,7 +25,7 @@ def parse_slug(url: Column) -> Column:
     """struct(name, loc) of the part behind ``-Reviews-``; both '' without the marker, loc '' without a second part."""
     tail = F.split(F.coalesce(url, F.lit("")), "-Reviews-", 2)
     has = F.size(tail) > 1
-    parts = F.split(F.regexp_replace(F.element_at(tail, -1), r"\.html?", ""), "-")
+    parts = F.split(F.regexp_replace(F.element_at(tail, -1), r"\.html?$", ""), "-")
     name = F.when(has, F.replace(parts[0], F.lit("_"), F.lit(" "))).otherwise("")
     loc = F.when(has & (F.size(parts) > 1), F.replace(F.element_at(parts, -1), F.lit("_"), F.lit(" "))).otherwise("")
     return F.struct(name.alias("name"), loc.alias("loc"))

@@ -360,3 +360,21 @@ def tfidf_vectors(texts: DataFrame, key: str, text: str, vocabulary: int = 20_00
     reduced = docs.mapInPandas(reduce, f"key {kind}, vec array<double>")
     zeros = F.array_repeat(F.lit(0.0), min(dims, width))
     return rows.select("key").join(reduced, "key", "left").select(F.col("key").alias(key), F.coalesce("vec", zeros).alias("vec"))
+
+
+def make_model(name: str, pairs: DataFrame, features: dict[str, tuple[DataFrame, int]], dims: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Users and items of the named model; ``features`` holds the text and visual item tables with their widths."""
+    text, visual = features.get("text"), features.get("visual")
+    build = {
+        "light": lambda: light_vectors(pairs, dims),
+        "text": lambda: text_model(pairs, *text, dims),
+        "visual": lambda: visual_model(pairs, *visual, dims),
+        "two_branch": lambda: two_branch_model(pairs, features, dims),
+        "mean_branch": lambda: mean_branch_model(pairs, features, dims),
+        "summed": lambda: summed_model(pairs, features, dims),
+        "predicted": lambda: predicted_model(pairs, dims),
+        "pairwise": lambda: train_pairwise(pairs, dims),
+    }
+    if name not in build:
+        raise ValueError(f"unknown model {name}")
+    return build[name]()

@@ -9,11 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Models by name; each builds (users, items) vectors from train pairs and item features.
-REGISTRY: dict[str, str] = {
-    "light": "light_vectors", "text": "text_model", "visual": "visual_model", "two_branch": "two_branch_model", "summed": "summed_model", "pairwise": "train_pairwise",
-}
-
 
 def grid(spark: SparkSession, axes: dict[str, list[float]]) -> DataFrame:
     """(trial, one column per axis): the Cartesian product in the order of the axes."""

@@ -13,7 +13,7 @@ from harbormill.functions import names, vectors
 from harbormill.functions.ids import clean_id, is_invalid_user, strip_float_suffix
 from harbormill.operators import audit, evidence, graph, interactions, joins, models, rank, sampling, split, stats, tuning
 from harbormill.plans.study_sql import ORACLE  # noqa: F401
-from harbormill.session import table, written
+from harbormill.session import scratch, table, written
 from harbormill.sources import readers
 
 DIMS = 4
@@ -642,6 +642,98 @@ def stress_summary(s, d):
     return c.groupBy("seed", "level").agg(F.sum("n_images").alias("n_images"), F.round(F.avg("availability"), 5).alias("availability"), F.round(F.avg("coherence"), 5).alias("coherence"))
 
 
+# --- sources and sinks: written by one function, read by its counterpart ---------------------------------------------
+
+
+def csv_source(s, d):
+    """Review rows through headed CSV files and the alias mapping."""
+    path, rows = scratch(s, "csv"), table(s, d, "merged_hotelrec")
+    rows.select(F.col("user_id").alias("userId"), F.col("hotel_id").alias("hotel"), F.col("rating").cast("string").alias("overall")).write.option("header", True).option("emptyValue", "").csv(path)
+    good, _ = readers.read_csv_dumps(s, [path], ["userId", "hotel", "overall"])
+    return readers.standardize(good).groupBy("hotel_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rating"), 4).alias("total"))
+
+
+def json_source(s, d):
+    """Review rows through JSON lines and the alias mapping."""
+    path, rows = scratch(s, "json"), table(s, d, "merged_hotelrec")
+    rows.select(F.col("user_id").alias("reviewerID"), F.col("hotel_id").alias("itemID"), F.col("rating").cast("string").alias("stars"), F.col("review_text").alias("content")).write.json(path)
+    good, _ = readers.read_json_dumps(s, [path], ["reviewerID", "itemID", "stars", "content"])
+    return readers.standardize(good).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("review_text")).alias("n_chars"))
+
+
+def headless_csv_source(s, d):
+    """Image rows through a headerless list and a headed one."""
+    a, b = scratch(s, "train"), scratch(s, "test")
+    rows = table(s, d, "train_set").select(F.col("image_id").cast("string").alias("image_id"), "hotel_id", "image_url", "image_source", "upload_timestamp")
+    odd = F.substring(F.md5("image_url"), 1, 1) < "8"
+    rows.filter(odd).write.csv(a)
+    rows.filter(~odd).write.option("header", True).csv(b)
+    return readers.read_image_lists(s, a, b).groupBy("image_source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image_url").alias("n_urls"))
+
+
+def id_map_source(s, d):
+    path = scratch(s, "map")
+    readers.write_id_map(split.dense_index(_core(s, d), "i"), path)
+    return readers.read_id_map(s, path)
+
+
+def append_source(s, d):
+    """A table appended to twice."""
+    path, rows = scratch(s, "append"), table(s, d, "source_clock").select("source_name")
+    for _ in range(2):
+        readers.append_manifest(rows, path)
+    return s.read.parquet(path).groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_discovery(s, d):
+    """Names found below the table folder, without the excluded ones."""
+    return readers.discover(s, d, "*.parquet").select(F.regexp_extract("path", r"/(\w+)\.parquet", 1).alias("name")).distinct().filter("name in ('documents', 'hotel_info', 'nation')")
+
+
+# --- further audits --------------------------------------------------------------------------------------------------
+
+
+def audit_index(s, d):
+    return audit.index_faults(split.dense_index(_core(s, d), "i"))
+
+
+def audit_unmapped(s, d):
+    sp = written(_split(s, d), "split")
+    return audit.unmapped(sp, "i", split.dense_index(sp, "i"))
+
+
+def audit_evidence_range(s, d):
+    return audit.out_of_range(evidence_join(s, d), ["popularity", "availability", "coherence"]).select("item")
+
+
+def audit_metrics_range(s, d):
+    ranked, val = _popular(s, d)
+    return audit.out_of_range(rank.user_metrics(ranked, val), list(rank.METRICS)).select("u")
+
+
+def audit_run_keys(s, d):
+    """Runs that stand twice in a table with one run too many."""
+    r = _runs(s, d).select("model", "model_seed", "corruption_seed", "level")
+    twice = r.unionByName(r.filter("model = 'dump_alpha' and model_seed = 7 and corruption_seed = 2026 and level = 0.25"))
+    out = audit.double_runs(twice, ["model", "model_seed", "corruption_seed", "level"])
+    return _long(out, "corruption_seed")
+
+
+def audit_alignment(s, d):
+    """Catalogue positions whose indexed vector differs from the item's own: none."""
+    own = written(evidence.pooled(_images(s, d), "item").withColumnRenamed("item", "id"), "pooled")
+    index = split.dense_index(own, "id")
+    again = joins.gather(own, index, "id").select("idx", F.col("vec").alias("at")).join(index, "idx").join(own, "id")
+    return again.filter(F.abs(vectors.dot(F.col("at"), F.col("vec")) - 1) > 1e-6).select("id")
+
+
+def benchmark_sizes(s, d):
+    sp = _split(s, d)
+    targets = sp.filter("split = 'val'").groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sp.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("u").alias("n_users"), F.count_distinct("i").alias("n_items"))
+    return sizes.crossJoin(targets.agg(F.count_if(F.col("n") > 1).alias("n_many_targets")))
+
+
 mean_branch_metrics = _model_query(lambda s, d, tr: models.mean_branch_model(tr, {"text": (written(_hashed_text(s, d), "text"), 32), "visual": (_item_table(s, d), 64)}))
 predicted_metrics = _model_query(lambda s, d, tr: models.predicted_model(tr))
 
@@ -656,7 +748,8 @@ QUERIES = {
         graph_max_fusion, embedding_neighbours, bipartite_adjacency, mean_aggregation, lightgcn_propagate, lightgcn_score_topk, lightgcn_metrics, vbpr_score, tfidf_svd, gated_pair_scores,
         nested_mask, nested_mask_audit, corrupted_state, evidence_ablation, evidence_shuffle, seed_summary, two_level_aggregate, relative_drop, pivot_delta, run_completeness,
         quartile_strata, qcut_bins, spearman, paired_difference, wilcoxon_statistic, holm_adjust, bootstrap_ci, hierarchical_bootstrap, case_selection, trial_best, best_so_far, checked_join, indexed_pairs, latest_review, display_order, missing_vectors, shared_names, all_users,
-        evidence_summary, boolean_checks, ablation_table, early_stopping, trial_dedupe, score_parity, stress_summary,
+        evidence_summary, boolean_checks, ablation_table, early_stopping, trial_dedupe, score_parity, stress_summary, csv_source, json_source, headless_csv_source, id_map_source,
+        append_source, file_discovery, audit_index, audit_unmapped, audit_evidence_range, audit_metrics_range, audit_run_keys, audit_alignment, benchmark_sizes,
     )
 }
 QUERIES |= {"text_only_metrics": text_only_metrics, "two_branch_metrics": two_branch_metrics, "summed_metrics": summed_metrics, "pairwise_trained_metrics": pairwise_trained_metrics, "spectral_metrics": spectral_metrics, "mean_branch_metrics": mean_branch_metrics, "predicted_metrics": predicted_metrics}

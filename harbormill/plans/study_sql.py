@@ -19,7 +19,7 @@ def _h(*parts: str) -> str:
 
 
 def _core(c: str) -> str:
-    t = f"replace(replace(replace(lower(coalesce({c}, '')), '&', ' and '), 'st.', 'saint '), '/', ' ')"
+    t = f"replace(replace(replace(lower(coalesce({c}, '')), '&', ' and '), 'st.', 'saint'), '/', ' ')"
     return (
         f"array_to_string(list_filter(regexp_split_to_array(regexp_replace({t}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), "
         f"lambda w: w <> '' AND w NOT IN ({_FILL}) AND (length(w) > 1 OR regexp_full_match(w, '[0-9]'))), ' ')"
@@ -167,7 +167,7 @@ img AS (SELECT item, slot, count(*) OVER (PARTITION BY item) AS n FROM usable),
 mr AS (SELECT seed, item, slot, n, row_number() OVER (PARTITION BY seed, item ORDER BY md5(concat_ws('|', CAST(seed AS VARCHAR), item, CAST(slot AS VARCHAR))), slot) AS rn FROM img, (VALUES (2026), (2027)) s(seed)),
 masks AS (SELECT seed, level, item, slot FROM mr, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) l(level) WHERE rn <= greatest(1, least(n, CAST(round_even(n * (1 - level), 0) AS INT))))
 """
-_SLUG = "CASE WHEN contains(url, '-Reviews-') THEN regexp_replace(substr(url, strpos(url, '-Reviews-') + 9), '\\.html?', '', 'g') END"
+_SLUG = "CASE WHEN contains(url, '-Reviews-') THEN regexp_replace(substr(url, strpos(url, '-Reviews-') + 9), '\\.html?$', '') END"
 _TEXT = "SELECT u, i FROM split WHERE split = 'train'"
 
 ORACLE = {
@@ -185,7 +185,7 @@ FROM merged_hotelrec WHERE user_id IS NOT NULL AND hotel_id IS NOT NULL GROUP BY
 WITH t AS (SELECT DISTINCT trim(hotel_id) AS url FROM merged_hotelrec), p AS (SELECT url, string_split({_SLUG}, '-') AS parts FROM t)
 SELECT url, coalesce(replace(parts[1], '_', ' '), '') AS name, CASE WHEN len(parts) > 1 THEN replace(parts[-1], '_', ' ') ELSE '' END AS loc FROM p""",
     "entity_resolution_1to1": f"""
-WITH s AS (SELECT ta_hotel_id, coalesce(replace(string_split(regexp_replace(substr(ta_hotel_id, strpos(ta_hotel_id, '-Reviews-') + 9), '\\.html?', '', 'g'), '-')[1], '_', ' '), '') AS name FROM item_images_v3),
+WITH s AS (SELECT ta_hotel_id, coalesce(replace(string_split(regexp_replace(substr(ta_hotel_id, strpos(ta_hotel_id, '-Reviews-') + 9), '\\.html?$', ''), '-')[1], '_', ' '), '') AS name FROM item_images_v3),
 a AS (SELECT {_core('name')} AS core, min(ta_hotel_id) AS ta_hotel_id FROM s GROUP BY 1 HAVING count(DISTINCT ta_hotel_id) = 1),
 b AS (SELECT {_core('hotel_name')} AS core, min(id) AS id FROM hotel_info GROUP BY 1 HAVING count(DISTINCT id) = 1)
 SELECT core, ta_hotel_id, id FROM a JOIN b USING (core) WHERE core <> ''""",
@@ -367,3 +367,21 @@ SELECT l.model, max(CASE WHEN gain THEN epoch END) AS best_epoch, stopped_at, ro
     "score_parity": "SELECT trim(user_id) AS u, trim(img_hotel_id) AS i FROM multimodal_interactions_v3 WHERE false",
     "stress_summary": "SELECT seed, level, sum(n_images)::BIGINT AS n_images, round(avg(availability), 5) AS availability, round(avg(coherence), 5) AS coherence FROM (" + ORACLE["corrupted_state"] + ") GROUP BY seed, level",
 }
+_STD = "SELECT trim(user_id) AS user_id, trim(hotel_id) AS hotel_id, CASE WHEN NOT isnan(rating) THEN CAST(rating AS DOUBLE) END AS rating, trim(coalesce(review_text, '')) AS review_text FROM merged_hotelrec"
+ORACLE |= {
+    # an empty field of a CSV file is null
+    "csv_source": f"SELECT hotel_id, count(*) AS n, round(sum(rating), 4) AS total FROM ({_STD} WHERE user_id <> '' AND hotel_id <> '') GROUP BY 1",
+    "json_source": f"SELECT user_id, count(*) AS n, sum(length(review_text))::BIGINT AS n_chars FROM ({_STD} WHERE user_id IS NOT NULL AND hotel_id IS NOT NULL) GROUP BY 1",
+    "headless_csv_source": "SELECT nullif(image_source, '') AS image_source, count(*) AS n, count(DISTINCT image_url) AS n_urls FROM train_set WHERE image_url IS NOT NULL GROUP BY 1",
+    "id_map_source": ORACLE["dense_index_map"],
+    "append_source": "SELECT source_name, 2::BIGINT AS n FROM source_clock",
+    "file_discovery": "SELECT unnest(['documents', 'nation']) AS name",
+    "audit_index": "SELECT source_name AS fault, 0::BIGINT AS n FROM source_clock WHERE false",
+    "audit_unmapped": _w(BASE) + "SELECT DISTINCT i AS id FROM split WHERE i NOT IN (SELECT id FROM catalog)",
+    "audit_evidence_range": "SELECT item FROM (" + ORACLE["evidence_join"] + ") WHERE popularity NOT BETWEEN 0 AND 1 OR availability NOT BETWEEN 0 AND 1 OR coherence NOT BETWEEN 0 AND 1",
+    "audit_metrics_range": "SELECT u FROM (" + ORACLE["eval_user_metrics"] + ") WHERE hr10 NOT BETWEEN 0 AND 1 OR hr20 NOT BETWEEN 0 AND 1 OR ndcg10 NOT BETWEEN 0 AND 1 OR ndcg20 NOT BETWEEN 0 AND 1 OR mrr20 NOT BETWEEN 0 AND 1",
+    "audit_run_keys": "SELECT 'dump_alpha' AS model, 7::INT AS model_seed, 2026::BIGINT AS corruption_seed, 0.25::DOUBLE AS level, 2::BIGINT AS n",
+    "audit_alignment": "SELECT source_name AS id FROM source_clock WHERE false",
+    "benchmark_sizes": _w(BASE)
+    + """SELECT count(*) AS n_rows, count(DISTINCT u) AS n_users, count(DISTINCT i) AS n_items, (SELECT count(*) FROM (SELECT u FROM val GROUP BY u HAVING count(*) > 1)) AS n_many_targets FROM split""",
+}

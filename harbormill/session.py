@@ -55,14 +55,20 @@ def over_keys(df: DataFrame, key: str, run, schema: str) -> DataFrame:
     return out if kind == "string" else out.withColumn(key, out[key].cast(kind))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/harbormill-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: lineage is cut, the rows
     survive the loss of any executor, and later joins know the real size."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/harbormill-{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.parquet(path)
 
 

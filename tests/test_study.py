@@ -18,7 +18,7 @@ def one(spark, expr, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize("text,want", [("The St. Regis Hotel & Spa", "saint regis and"), ("Hotel 7 / B", "7"), (None, ""), ("Café Élan", "caf lan"), ("", "")])
+@pytest.mark.parametrize("text,want", [("The St. Regis Hotel & Spa", "saint regis and spa"), ("Hotel 7 / B", "7"), (None, ""), ("Café Élan", "caf lan"), ("", ""), ("Inn of Court LLC", "court")])
 def test_core_name(spark, text, want):
     assert one(spark, names.core_name, text) == want
 
