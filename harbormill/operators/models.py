@@ -30,8 +30,9 @@ def hash_states(pairs: DataFrame, dims: int, salt: str) -> DataFrame:
 
 
 def to_vectors(states: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((u, vec), (i, vec)) of node states."""
+    """((u, vec), (i, vec)) of node states; written once, since rankings count and read them several times."""
     v = states.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
+    v = written(v, "vectors")
     split = lambda side: v.filter(F.substring("node", 1, 2) == f"{side}|").select(F.expr("substring(node, 3)").alias(side), "vec")
     return split("u"), split("i")
 
