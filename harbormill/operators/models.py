@@ -242,6 +242,23 @@ def gated_scores(pairs: DataFrame, scorer: GatedScorer, slots: int = 32) -> Data
     return pairs.select("u", "i", "tu", "vu", "ti", "vi", "images", "ev").mapInPandas(run, "u string, i string, score double, gate double")
 
 
+def _whole_users(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[str, list[str]]]]:
+    """(user, items) of rows sorted by user, also where a user's rows go over the edge of a batch."""
+    held: tuple[str, list[str]] | None = None
+    for b in batches:
+        done = []
+        for u, i in zip(b["u"], b["i"]):
+            if held is not None and held[0] == u:
+                held[1].append(i)
+                continue
+            if held is not None:
+                done.append(held)
+            held = (u, [i])
+        yield done
+    if held is not None:
+        yield [held]
+
+
 def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: float = 0.05, decay: float = 1e-4, seed: int = 42, parts: int = 8) -> tuple[DataFrame, DataFrame]:
     """((u, vec), (i, vec)) of a factor model trained by Bayesian personalised ranking.
 
@@ -250,7 +267,9 @@ def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: floa
     their weighted mean starts the next round.  One negative is drawn for each positive, from unseen items.
     """
     spark = train.sparkSession
-    users = written(train.select("u", "i").distinct().withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).repartition(parts, "part"), "bpr")
+    distinct = written(train.select("u", "i").distinct(), "pairs")
+    parts = max(parts, -(-distinct.count() // 250_000))
+    users = written(distinct.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("u", "i"), "bpr")
     names = [r["i"] for r in users.select("i").distinct().orderBy("i").toLocalIterator()]
     at = {x: k for k, x in enumerate(names)}
     items = np.random.default_rng(seed).normal(scale=0.1, size=(len(names), dims))
@@ -260,9 +279,9 @@ def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: floa
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lut, v = index.value, sent.value.copy()
             n = np.zeros(len(v))
-            for b in batches:
-                for u, own in b.groupby("u"):
-                    mine = np.array([lut[x] for x in own["i"]])
+            for group in _whole_users(batches):
+                for u, own in group:
+                    mine = np.array([lut[x] for x in own])
                     seen = set(mine.tolist())
                     if len(seen) >= len(v):
                         continue
@@ -291,14 +310,17 @@ def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: floa
 
         return run
 
+    def by_user() -> DataFrame:
+        return users.repartition(parts, "part").sortWithinPartitions("u", "i")
+
     for no in range(rounds):
         sent = spark.sparkContext.broadcast(items)
-        out = users.repartition(parts, "part").mapInPandas(run_round(sent, no, False), "i int, n double, vec array<double>")
+        out = by_user().mapInPandas(run_round(sent, no, False), "i int, n double, vec array<double>")
         sums = out.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("vec")[d]).alias(f"d{d}") for d in range(dims)]).toPandas()
         items = items.copy()
         items[sums["i"]] = sums[[f"d{d}" for d in range(dims)]].to_numpy() / sums[["n"]].to_numpy()
     sent = spark.sparkContext.broadcast(items)
-    user_vecs = users.repartition(parts, "part").mapInPandas(run_round(sent, rounds - 1, True), "u string, vec array<double>")
+    user_vecs = by_user().mapInPandas(run_round(sent, rounds - 1, True), "u string, vec array<double>")
     return written(user_vecs, "users"), spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, items)], "i string, vec array<double>")
 
 
@@ -309,6 +331,8 @@ STOP_WORDS = "a an and are as at be but by for from had has have he her his i in
 def tfidf_vectors(texts: DataFrame, key: str, text: str, vocabulary: int = 20_000, dims: int = 32, passes: int = 2, seed: int = 42) -> DataFrame:
     """(key, vec): smoothed TF-IDF of unit length, reduced to ``dims`` by a truncated SVD, and normalised again.
 
+    A key's texts may stand in many rows; their words are counted together and the texts never meet.
+
     idf is ln((1 + n) / (1 + df)) + 1 over the ``vocabulary`` most frequent words.  The SVD is a randomised range
     finder: each pass sends a (vocabulary x dims) matrix to the rows and adds up their answers, so rows stay
     distributed and only matrices bounded by the vocabulary reach the driver.  A key without known words gets zeros.
@@ -317,7 +341,8 @@ def tfidf_vectors(texts: DataFrame, key: str, text: str, vocabulary: int = 20_00
     rows = texts.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     tokens = rows.select("key", F.explode(F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))).alias("w"))
     counts = written(tokens.groupBy("key", "w").agg(F.count(F.lit(1)).alias("tf")), "words")
-    n = rows.count()
+    keys = rows.select("key").distinct()
+    n = keys.count()
     terms = counts.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "w").limit(vocabulary)
     known = terms.toPandas().sort_values("w").reset_index(drop=True)
     known["idf"] = np.log((1 + n) / (1 + known["df"])) + 1
@@ -360,7 +385,7 @@ def tfidf_vectors(texts: DataFrame, key: str, text: str, vocabulary: int = 20_00
     kind = rows.schema["key"].dataType.simpleString()
     reduced = docs.mapInPandas(reduce, f"key {kind}, vec array<double>")
     zeros = F.array_repeat(F.lit(0.0), min(dims, width))
-    return rows.select("key").join(reduced, "key", "left").select(F.col("key").alias(key), F.coalesce("vec", zeros).alias("vec"))
+    return keys.join(reduced, "key", "left").select(F.col("key").alias(key), F.coalesce("vec", zeros).alias("vec"))
 
 
 def make_model(name: str, pairs: DataFrame, features: dict[str, tuple[DataFrame, int]], dims: int = 8) -> tuple[DataFrame, DataFrame]:

@@ -264,7 +264,8 @@ def test_pick_cases_does_not_take_a_row_twice(spark):
 
 def test_tfidf_equals_exact_reduction(spark):
     texts = ["sun sea sand", "sun sun hill", "sea sand boat", "hill lake boat", "", None]
-    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "k string, t string")
+    split_up = [(str(k), t) for k, t in enumerate(texts) if k] + [("0", "sun sea"), ("0", "sand")]
+    df = spark.createDataFrame(split_up, "k string, t string")
     got = {r["k"]: np.array(r["vec"]) for r in models.tfidf_vectors(df, "k", "t", 100, 3).collect()}
     words = sorted({w for t in texts if t for w in t.split()})
     tf = np.array([[(t or "").split().count(w) for w in words] for t in texts], float)
@@ -287,6 +288,14 @@ def test_training_beats_chance(spark):
     assert sum(same) > 0.6 * len(same)
 
 
+def test_users_over_batch_edges_stay_whole():
+    rows = [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1"), ("c", "2"), ("c", "3")]
+    for size in (1, 2, 4, 6):
+        parts = [pd.DataFrame(rows[k : k + size], columns=["u", "i"]) for k in range(0, 6, size)]
+        got = [x for g in models._whole_users(iter(parts)) for x in g]
+        assert got == [("a", ["1", "2"]), ("b", ["1"]), ("c", ["1", "2", "3"])]
+
+
 def test_gate_and_attention():
     rng = np.random.default_rng(1)
     q, t = rng.normal(size=(2, 8)), rng.normal(size=(2, 3, 8))
