@@ -37,6 +37,8 @@ PIECE = 4096
 SAMPLE = 20_000
 #: Decimals up to which cosines count as tied.
 DIGITS = 6
+#: Roles of a row in a task: compared with all, or one of two pieces that meet, or asking or being asked only.
+_SELF, _FIRST, _SECOND, _ASKS, _HOLDS = range(5)
 
 
 def learn_rotation(x: np.ndarray, rounds: int = 40, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -159,37 +161,32 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     # bucket sizes from the codes alone
     counts = index.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
     pieces = counts.select("j", "v", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
+    # at most m * 2^length rows of a few numbers, so vectors need no shuffle to meet their bucket's size
+    pieces = F.broadcast(pieces)
     placed = index.join(pieces, ["j", "v"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    # a task is a pair of pieces of one bucket; a bucket of one piece is its own pair
     if flips:
         ask = heads.select("id", "raw", F.inline(subs)).withColumn("v", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in masks]))).join(pieces, ["j", "v"])
+        ask = ask.withColumn("a", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("b", every).select("j", "v", "a", "b", "id", "raw", F.lit(_ASKS).alias("side"))
+        work = ask.unionByName(placed.withColumn("a", every).select("j", "v", "a", F.col("piece").alias("b"), "id", "raw", F.lit(_HOLDS).alias("side")))
     else:
-        ask = placed.drop("piece")
-    if flips:
-        asked = ask.withColumn("mine", F.pmod(F.xxhash64("id"), F.ceil(F.col("pieces"))).cast("int"))
-    else:
-        asked = placed.withColumn("mine", F.col("piece")).drop("piece")
-    # task = (bucket, piece of askers, piece of members); with one piece it is the bucket itself
-    as_query = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("j", "v", "mine", "other", "id", "raw", F.lit(True).alias("q"))
-    as_member = placed.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("j", "v", "mine", F.col("piece").alias("other"), "id", "raw", F.lit(False).alias("q"))
-    if flips:
-        work = as_query.unionByName(as_member)
-    else:
-        # a row that asks in its own piece is a member there too and travels once
-        single = placed.filter("pieces = 1").select("j", "v", F.lit(0).alias("mine"), F.lit(0).alias("other"), "id", "raw", F.lit(None).cast("boolean").alias("q"))
-        many = as_query.join(pieces.filter("pieces > 1").select("j", "v"), ["j", "v"], "left_semi").unionByName(as_member.join(pieces.filter("pieces > 1").select("j", "v"), ["j", "v"], "left_semi"))
-        work = single.unionByName(many)
+        # both pieces ask each other
+        side = F.when(F.col("piece") == F.col("x"), _SELF).when(F.col("piece") < F.col("x"), _FIRST).otherwise(_SECOND)
+        work = placed.withColumn("x", every).select("j", "v", F.least("piece", "x").alias("a"), F.greatest("piece", "x").alias("b"), "id", "raw", side.alias("side"))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         unit = to_units(np.frombuffer(b"".join(g["raw"]), dtype=kind).reshape(len(g), dim))
-        ids = g["id"].to_numpy()
-        q = g["q"].to_numpy(dtype=object)
-        ask, member = np.array([x is None or x is True or x == True for x in q]), np.array([x is None or x is False or x == False for x in q])  # noqa: E712
-        if not ask.any() or not member.any():
-            return pd.DataFrame({"id": [], "near": [], "sims": []}, dtype=object)
-        near, sims = _top(unit[ask], ids[ask], unit[member], ids[member], k)
-        return pd.DataFrame({"id": ids[ask], "near": near, "sims": sims})
-
-    found = work.groupBy("j", "v", "mine", "other").applyInPandas(compare, "id long, near array<long>, sims array<double>")
+        ids, s = g["id"].to_numpy(), g["side"].to_numpy()
+        out = []
+        for asks, holds in ((_SELF, _SELF), (_FIRST, _SECOND), (_SECOND, _FIRST), (_ASKS, _HOLDS)):
+            q, c = s == asks, s == holds
+            if q.any() and c.any():
+                near, sims = _top(unit[q], ids[q], unit[c], ids[c], k)
+                out.append(pd.DataFrame({"id": ids[q], "near": near, "sims": sims}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "near": [], "sims": []}, dtype=object)
+
+    found = work.groupBy("j", "v", "a", "b").applyInPandas(compare, "id long, near array<long>, sims array<double>")
     # at most k from each substring, probe and piece
     pairs = found.select("id", F.inline(F.arrays_zip("near", "sims"))).toDF("id", "neighbour", "cosine").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     order = [F.desc("cosine"), "neighbour"]
