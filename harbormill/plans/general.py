@@ -52,6 +52,13 @@ def p3_hotel_ratings(spark: SparkSession, d: str) -> DataFrame:
     return s.select("img_hotel_id", "n", "n_values", F.round("total", 4).alias("total"), F.col("low").alias("lowest"), F.col("high").alias("highest"))
 
 
+def p3_hotel_images(spark: SparkSession, d: str) -> DataFrame:
+    """Per-hotel results over all listed images, of which a few hotels hold most."""
+    lists = table(spark, d, "item_images_v3").select(clean_id(F.col("img_hotel_id")).alias("img_hotel_id"), F.explode("available_images").alias("url"))
+    s = skew.per_key_stats(lists.withColumn("size", F.length("url")), "img_hotel_id", "size", stable=True)
+    return s.select("img_hotel_id", "n", "n_values", F.col("total").cast("long").alias("n_chars"), F.col("low").cast("long").alias("shortest"), F.col("high").cast("long").alias("longest"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     parsed = records.parse_lines(table(spark, d, "train_set_lines"), "line_id", "line")
     return parsed.filter("reason is not null").select("line_id", "reason").distinct()
@@ -84,7 +91,7 @@ def p6_status(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_alternatives, p2_unified, p3_found, p3_hotel_ratings, p5_found, p5_loaded, p5_reasons, p6_found, p6_status)
+    for f in (p2_found, p2_alternatives, p2_unified, p3_found, p3_hotel_ratings, p3_hotel_images, p5_found, p5_loaded, p5_reasons, p6_found, p6_status)
 }
 
 _ID = "regexp_replace(nullif(trim({0}), ''), '^([0-9]+)\\.0+$', '\\1')"
@@ -121,6 +128,9 @@ WHERE {_ID.format('img_hotel_id')} IS NOT NULL AND image_count >= {IMAGE_FACTOR}
 WITH r AS ({_RATED})
 SELECT img_hotel_id, count(*) AS n, count(rating) AS n_values, round(sum(rating), 4) AS total, min(rating) AS lowest, max(rating) AS highest
 FROM r WHERE img_hotel_id IS NOT NULL GROUP BY 1""",
+    "p3_hotel_images": f"""
+WITH r AS (SELECT {_ID.format('img_hotel_id')} AS img_hotel_id, unnest(available_images) AS url FROM item_images_v3)
+SELECT img_hotel_id, count(*) AS n, count(url) AS n_values, sum(length(url))::BIGINT AS n_chars, min(length(url)) AS shortest, max(length(url)) AS longest FROM r WHERE img_hotel_id IS NOT NULL GROUP BY 1""",
     "p5_found": _LINES + "SELECT DISTINCT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p5_reasons": _LINES + "SELECT coalesce(reason, 'loaded') AS outcome, count(*) AS n_lines FROM judged GROUP BY 1",
 }
