@@ -3,8 +3,9 @@
 The normalised n-grams of the evaluation items are a broadcast hash set; every training
 document is scanned once, window by window.  Hits are checked word by word, n-grams
 that a notable share of all documents contains are counted over the whole corpus and do
-not count as copying, and a document leaks an item if the rest of its hits covers half
-of the item's remaining words.
+not count as copying unless most of these documents copy one of their items as a whole or
+enough of each, and a document leaks an item if the rest of its hits covers half of the
+item's remaining words.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ N = 5
 COVER = 0.5
 #: n-grams in more than this share of all documents stand everywhere.
 EVERYWHERE = 0.002
+#: An item is copied as a whole even if this share of its words stands in no popular copy.
+REST = 0.1
 #: Items per pass; their n-grams are broadcast, so a larger set takes several passes over the corpus.
 ITEMS_PER_PASS = 20_000
 
@@ -163,40 +166,61 @@ def _scan(docs: DataFrame, index) -> DataFrame:
     return over_keys(docs.select("doc_id", "text"), "doc_id", run, "grams array<int>")
 
 
-def _tally(hits: DataFrame, sent, cover: float) -> DataFrame:
-    """(g, df, copied): documents with each n-gram, and those of them that hold enough of an item it belongs to."""
+def _copies(hits: DataFrame, sent, often: set[int], cover: float) -> DataFrame:
+    """(g, whole, either): for n-grams of ``often``, the documents that hold one of its items as a whole, and those that
+    do so or else hold enough of every item it belongs to."""
+    asked = hits.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = sent.value
-        df, copied = np.zeros(len(ix.words), np.int64), np.zeros(len(ix.words), np.int64)
+        ix, often_known = sent.value, asked.value
+        # the words of these items that no n-gram of ``often`` covers
+        within: dict[int, set] = {}
+        for g in often_known:
+            for i, p in ix.at[g]:
+                within.setdefault(i, set()).update(range(p, p + ix.n))
+        rest = {i: set(range(ix.size[i])) - s for i, s in within.items()}
+        owners = {g: {i for i, _ in ix.at[g]} for g in often_known}
+        n_whole, n_either = dict.fromkeys(often_known, 0), dict.fromkeys(often_known, 0)
         for b in batches:
             for grams in b["grams"]:
+                asked_here = [g for g in grams.tolist() if g in often_known]
+                if not asked_here:
+                    continue
                 seen: dict[int, set] = {}
                 for g in grams:
-                    df[g] += 1
                     for i, p in ix.at[g]:
                         seen.setdefault(i, set()).update(range(p, p + ix.n))
-                leaked = {i for i, s in seen.items() if len(s) >= cover * ix.size[i]}
-                if leaked:
-                    for g in grams:
-                        copied[g] += any(i in leaked for i, _ in ix.at[g])
-        hit = np.flatnonzero(df)
-        if len(hit):
-            yield pd.DataFrame({"g": hit, "df": df[hit], "copied": copied[hit]})
+                enough = {i for i, s in seen.items() if len(s) >= cover * ix.size[i]}
+                whole = {i for i in enough if i in rest and (len(rest[i]) <= REST * ix.size[i] or len(rest[i] & seen[i]) >= cover * len(rest[i]))}
+                for g in asked_here:
+                    one = not owners[g].isdisjoint(whole)
+                    n_whole[g] += one
+                    n_either[g] += one or owners[g] <= enough
+        if n_either:
+            yield pd.DataFrame({"g": list(n_either), "whole": list(n_whole.values()), "either": list(n_either.values())})
 
-    return hits.select("grams").mapInPandas(run, "g int, df long, copied long").groupBy("g").agg(F.sum("df").alias("df"), F.sum("copied").alias("copied"))
+    counts = hits.select("grams").mapInPandas(run, "g int, whole long, either long")
+    return counts.groupBy("g").agg(F.sum("whole").alias("whole"), F.sum("either").alias("either"))
 
 
-def _one_pass(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, n: int, cover: float, everywhere: float) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[int, str]], limit: float, n: int, cover: float):
+    """(hits, index, often) of one pass; ``often`` has (text, df, whole, either) by number of the n-grams in more than ``limit`` documents."""
     spark = docs.sparkSession
     index = ItemIndex(items, n)
     sent = spark.sparkContext.broadcast(index)
     hits = written(_scan(docs, sent), "hits")
-    # at most as many rows as the items of this pass have n-grams; an item that many documents copy
-    # as a whole is no text from everywhere, but what stands in several items is
-    often = _tally(hits, sent, cover).filter(F.col("df") > max(2.0, everywhere * n_docs)).collect()
-    common = {r["g"] for r in often if r["copied"] < 0.5 * r["df"] or len({i for i, _ in index.at[r["g"]]}) > 1}
-    usual = spark.sparkContext.broadcast(common)
+    # at most as many rows as the items of this pass have n-grams
+    df = hits.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > limit)
+    df = {r["g"]: r["df"] for r in df.collect()}
+    if not df:
+        return hits, sent, {}
+    word = {k: w for w, k in index.vocabulary.items()}
+    copies = {r["g"]: r for r in _copies(hits, sent, set(df), cover).collect()}
+    return hits, sent, {g: (" ".join(word[k] for k in index.words[g]), df[g], copies[g]["whole"], copies[g]["either"]) for g in df}
+
+
+def _judged(hits: DataFrame, sent, common: set[int], cover: float) -> DataFrame:
+    usual = hits.sparkSession.sparkContext.broadcast(common)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix, everywhere_known = sent.value, usual.value
@@ -231,7 +255,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, cover: float = COV
     """
     docs = docs.select("doc_id", "text")
     items = items.select("item_id", "text").filter("text is not null")
-    n_docs, n_items, found = docs.count(), items.count(), None
+    n_docs, n_items, passes, found = docs.count(), items.count(), [], None
     if n_items <= items_per_pass:
         blocks = iter([items])
     else:
@@ -241,7 +265,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, cover: float = COV
         blocks = (items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts))
     for block in blocks:
         rows = [(r["item_id"], r["text"]) for r in block.toLocalIterator()]
-        part = _one_pass(docs, sorted(rows), n_docs, n, cover, everywhere)
+        passes.append(_pass(docs, sorted(rows), max(2.0, everywhere * n_docs), n, cover))
+    # an item that many documents copy as a whole is no text from everywhere; an n-gram may stand in items of several passes
+    whole: dict[str, int] = {}
+    either: dict[str, int] = {}
+    for _, _, often in passes:
+        for text, _, w, e in often.values():
+            whole[text], either[text] = max(w, whole.get(text, 0)), min(e, either.get(text, e))
+    for hits, sent, often in passes:
+        common = {g for g, (text, df, _, _) in often.items() if max(whole[text], either[text]) < 0.5 * df}
+        part = _judged(hits, sent, common, cover)
         found = part if found is None else found.unionByName(part)
     return found
 

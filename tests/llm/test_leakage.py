@@ -77,6 +77,29 @@ def test_an_item_that_many_documents_copy_is_no_text_from_everywhere(spark):
     assert pairs(leakage.find_leaks(d, i)) == [(k, 2) for k in range(40)]
 
 
+def test_repeated_and_overlapping_items_that_many_documents_copy_are_found(spark):
+    a, b, c, e, g = (ITEMS[k][1] for k in (0, 1, 2, 3, 4))
+    items = [
+        (1, a), (2, a.upper()),  # repeated
+        (3, b + " " + sentence()), (4, sentence() + " " + b),  # largely overlapping
+        (5, c), (6, c + " " + " ".join(sentence() for _ in range(30))),  # one stands inside the other
+        (7, e), (8, e[: len(e) // 2] + " " + filler(6)), (9, filler(6) + " " + e[len(e) // 2 :]),  # its halves stand in others
+        (10, g),
+    ]
+    docs = [t + " " + filler(1) for t in (a, b, c, e) for _ in range(10)] + [filler(3) for _ in range(80)]
+    want = sorted([(k, i) for k in range(10) for i in (1, 2)] + [(k, i) for k in range(10, 20) for i in (3, 4)] + [(k, 5) for k in range(20, 30)] + [(k, 7) for k in range(30, 40)])
+    d, i = frames(spark, docs, items)
+    assert pairs(leakage.find_leaks(d, i)) == want
+    assert pairs(leakage.find_leaks(d, i, items_per_pass=4)) == want
+
+
+def test_sentences_from_everywhere_do_not_count_in_any_pass(spark):
+    items = [(1, SLOGAN + " " + SLOGAN + " " + sentence()), (2, ITEMS[0][1] + " " + SLOGAN), *((k, ITEMS[k][1]) for k in range(3, 8))]
+    d, i = frames(spark, [filler(2) + " " + SLOGAN + " " + SLOGAN for _ in range(30)] + [items[0][1]], items)
+    for k in (100, 4, 2):
+        assert pairs(leakage.find_leaks(d, i, everywhere=0.05, items_per_pass=k)) == [(30, 1)]
+
+
 def test_empty_tables_nulls_and_short_items(spark):
     d, i = frames(spark, [filler()], [(1, None), (2, ""), (3, "one two")])
     assert leakage.find_leaks(d, i).count() == 0
