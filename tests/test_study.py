@@ -207,6 +207,22 @@ def test_negatives_end_and_are_unseen(spark):
     assert {r["u"] for r in n} == {"u"} and all(r["negative"] != "i0" for r in n) and len(n) >= 3
 
 
+def test_users_who_have_seen_nearly_everything_get_all_their_negatives(spark):
+    cat = spark.createDataFrame([(f"i{k:03d}", k) for k in range(200)], "id string, idx long")
+    of = {"u": set(range(200)) - {0, 7, 100, 199}, "v": set(range(180)), "w": {3}, "x": set(range(1, 200)), "y": set(range(200))}
+    pos = spark.createDataFrame([(u, f"i{k:03d}") for u, s in of.items() for k in s], "u string, i string")
+    seen = pos.unionByName(spark.createDataFrame([("u", "elsewhere")], "u string, i string"))
+    got = sampling.negatives(pos, seen, cat, 4, "s").collect()
+    n = Counter((r["u"], r["i"]) for r in got)
+    assert n == {(u, f"i{k:03d}"): 4 for u, s in of.items() if u != "y" for k in s}
+    drawn = Counter((r["u"], int(r["negative"][1:])) for r in got)
+    assert not any(k in of[u] for u, k in drawn)
+    for u in ("u", "v"):  # uniform over the unseen items
+        free = set(range(200)) - of[u]
+        want = 4 * len(of[u]) / len(free)
+        assert {k for v, k in drawn if v == u} == free and all(abs(drawn[u, k] - want) < 5 * want**0.5 for k in free)
+
+
 def test_permutation_and_masks(spark):
     df = spark.createDataFrame([(f"k{k}", float(k % 3)) for k in range(20)], "k string, v double")
     p = sampling.permuted(df, "k", "v", "s")
