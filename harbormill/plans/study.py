@@ -541,11 +541,11 @@ def holm_adjust(s, d):
 
 
 def bootstrap_ci(s, d):
-    return stats.bootstrap_mean(_diffs(s, d), 2000).select("n", *_r("mean", "lo", "hi"))
+    return stats.bootstrap_mean(_diffs(s, d)).select("n", *_r("mean", "lo", "hi"))
 
 
 def hierarchical_bootstrap(s, d):
-    return stats.hierarchical_bootstrap(_runs(s, d).filter("level = 0.75 and model = 'dump_alpha'"), "value", replicates=4000).select(*_r("mean", "lo", "hi"))
+    return stats.hierarchical_bootstrap(_runs(s, d).filter("level = 0.75 and model = 'dump_alpha'"), "value").select(*_r("mean", "lo", "hi"))
 
 
 def case_selection(s, d):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from harbormill.functions import ids, names, numeric, vectors
 from harbormill.operators import audit, evidence, graph, interactions, joins, models, rank, sampling, split, stats, tuning
+from harbormill.plans import study
 from harbormill.sources import readers
 
 
@@ -278,6 +279,18 @@ def test_pick_cases_does_not_take_a_row_twice(spark):
     assert sorted(r["k"] for r in stats.pick_cases(df, "v", ["k"]).collect()) == ["a", "b", "c"]
 
 
+def test_bootstrap_queries_run_the_replicates_of_their_operators(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    diffs = spark.createDataFrame([(f"u{k}", float(x)) for k, x in enumerate(rng.normal(size=60))], "u string, diff double")
+    runs = spark.createDataFrame([("dump_alpha", a, b, 0.75, float(rng.normal())) for a in range(3) for b in range(5)], "model string, model_seed int, corruption_seed int, level double, value double")
+    monkeypatch.setattr(study, "_diffs", lambda s, d: diffs)
+    monkeypatch.setattr(study, "_runs", lambda s, d: runs)
+    pairs = [(study.bootstrap_ci, stats.bootstrap_mean(diffs, 10_000)), (study.hierarchical_bootstrap, stats.hierarchical_bootstrap(runs, "value", replicates=20_000))]
+    for query, want in pairs:
+        got, want = query(spark, "").first(), want.first()
+        assert [got[c] for c in ("mean", "lo", "hi")] == pytest.approx([want[c] for c in ("mean", "lo", "hi")], abs=1e-6)
+
+
 def test_tfidf_equals_exact_reduction(spark):
     texts = ["sun sea sand", "sun sun hill", "sea sand boat", "hill lake boat", "", None]
     split_up = [(str(k), t) for k, t in enumerate(texts) if k] + [("0", "sun sea"), ("0", "sand")]
