@@ -72,6 +72,35 @@ def normal_words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+#: Pieces of a text that have the same words alone as in it; the first of these that does is used.
+_PIECES = [re.compile(p) for p in (r"[^\s,.:;!?()\[\]\"/|_–—…«»“”-]+", r"[^ \t\r\n\f\v,.:;!?()\[\]\"/|_-]+", r"\S+")]
+
+
+def _placed_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """``normal_words`` of the text and the pieces of it that they stand in; the whole text if no cut into pieces keeps the words."""
+    words = normal_words(text)
+    blank = _TAG.sub(lambda m: " " * len(m[0]), text)
+    for piece in _PIECES:
+        found, spans = [], []
+        for m in piece.finditer(blank):
+            w = normal_words(m[0])
+            found += w
+            spans += [m.span()] * len(w)
+        if found == words:
+            return words, spans
+    return words, [(0, len(text))] * len(words)
+
+
+def _without(text: str, spans: list[tuple[int, int]], covered: np.ndarray) -> str:
+    """The text without the pieces that hold a covered word."""
+    left, end = [], 0
+    for a, b in sorted({spans[k] for k in np.flatnonzero(covered)}):
+        left.append(text[end:a].strip())
+        end = b
+    left.append(text[end:].strip())
+    return " ".join(x for x in left if x)
+
+
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -280,35 +309,46 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, cover: float = COV
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, leaks: DataFrame, mode: str = "documents", n: int = N) -> DataFrame:
-    """``docs`` without the leaking documents, or (``mode`` "spans") without their sentences that stand in a leaked item.
+    """``docs`` without the leaking documents, or (``mode`` "spans") without their sentences that stand in an item
+    and without the words elsewhere that n-grams of the items they leak cover, over sentence ends too.
 
     In ``spans`` mode the items must fit the driver, as in one pass of ``find_leaks``.
     """
-    bad = leaks.select("doc_id").distinct()
     if mode == "documents":
-        return docs.join(bad, "doc_id", "left_anti")
+        return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+    bad = leaks.groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("__leaks"))
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.select("item_id", "text").collect()], n))
 
-    def cut(texts: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, leaked: pd.Series) -> pd.Series:
         ix = index.value
+        named = [str(i) for i in ix.items]
+
+        def mark(ids: np.ndarray, mine=None) -> np.ndarray:
+            covered = np.zeros(len(ids), dtype=bool)
+            for a, g in zip(*ix.hits(ids)):
+                if mine is None or any(named[i] in mine for i, _ in ix.at[g]):
+                    covered[a : a + ix.n] = True
+            return covered
 
-        def one(text: str | None) -> str | None:
+        def one(text: str | None, mine: set) -> str | None:
             if not isinstance(text, str):
                 return None
+            sentences = re.split(r"(?<=[.!?;])\s+|\n+", text)
+            placed = [_placed_words(s) for s in sentences]
+            ids = [np.array([ix.vocabulary.get(w, 0) for w in words], dtype=np.int64) for words, _ in placed]
+            own = np.split(mark(np.concatenate(ids), mine), np.cumsum([len(x) for x in ids])[:-1])
             keep = []
-            for s in re.split(r"(?<=[.!?;])\s+|\n+", text):
-                ids = np.array([ix.vocabulary.get(w, 0) for w in normal_words(s)], dtype=np.int64)
-                at, _ = ix.hits(ids)
-                covered = np.zeros(len(ids), dtype=bool)
-                for a in at:
-                    covered[a : a + ix.n] = True
-                if not len(ids) or covered.mean() < 0.5:
-                    keep.append(s)
+            for s, (_, spans), x, covered in zip(sentences, placed, ids, own):
+                if len(x) and mark(x).mean() >= 0.5:
+                    continue
+                left = _without(s, spans, covered) if covered.any() else s
+                if left == s or _WORD.search(left):
+                    keep.append(left)
             return " ".join(keep)
 
-        return texts.map(one)
+        return pd.Series([one(t, set(m)) for t, m in zip(texts, leaked)], index=texts.index, dtype=object)
 
     cut_udf = F.pandas_udf(cut, "string")
-    flagged = docs.join(bad.withColumn("__leaks", F.lit(True)), "doc_id", "left")
+    flagged = docs.join(bad, "doc_id", "left")
     clean = flagged.filter("__leaks is null").drop("__leaks")
-    return clean.unionByName(flagged.filter("__leaks").drop("__leaks").withColumn("text", cut_udf("text")))
+    return clean.unionByName(flagged.filter("__leaks is not null").withColumn("text", cut_udf("text", "__leaks")).drop("__leaks"))

@@ -117,6 +117,27 @@ def test_removal(spark):
     assert left[1] == keep and left[2] is None and left[0].split() == (keep + " " + keep).split()
 
 
+def test_removal_without_sentence_marks_and_of_short_sentences(spark):
+    bare = lambda t: t.lower().replace(".", "")
+    before, after, item = bare(filler(8)), bare(filler(8)), bare(ITEMS[3][1])
+    words = item.split()
+    short = ". ".join(" ".join(words[k : k + 3]) for k in range(0, len(words), 3)) + "."
+    texts = {
+        0: f"{before} {item} {after}",
+        1: f"{before}. {short} {after}",
+        2: f"{before} <p>{item.replace(' ', '&nbsp;')}</p> {after}",
+        3: f"{before}\xa0{item}\xa0{after}".replace(" ", "\xa0"),
+        4: f"{before},{item},{after}".replace(" ", ","),
+    }
+    d, i = frames(spark, list(texts.values()))
+    leaks = leakage.find_leaks(d, i)
+    assert pairs(leaks) == [(k, 3) for k in texts]
+    clean = leakage.remove_leaks(d, i, leaks, "spans")
+    assert leakage.find_leaks(clean, i).count() == 0
+    for r in clean.collect():
+        assert leakage.normal_words(r["text"]) == (before + " " + after).split(), r["doc_id"]
+
+
 @pytest.mark.parametrize("a,b", [("Café—Élan", "cafe elan"), ("CafÃ© ﬁn", "cafe fin"), ("<b>Big</b> day", "big day"), ("so​ft", "soft"), ("Straße", "strasse"), ("саfe", "cafe")])
 def test_normal_words(a, b):
     assert leakage.normal_words(a) == b.split()
