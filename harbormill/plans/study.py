@@ -363,7 +363,7 @@ def _hashed_text(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").filter("hotel_id is not null and text is not null")
     reg = table(s, d, "item_images_v3").select(F.col("ta_hotel_id").alias("h"), clean_id(F.col("img_hotel_id")).alias("i"))
     joined = docs.join(reg, docs["hotel_id"] == reg["h"]).select("i", "text").filter("i is not null")
-    return models.tfidf_vectors(joined, "i", "text", 5000, 32)
+    return models.tfidf_vectors(joined, "i", "text")
 
 
 def tfidf_svd(s, d):

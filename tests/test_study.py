@@ -291,6 +291,17 @@ def test_bootstrap_queries_run_the_replicates_of_their_operators(spark, monkeypa
         assert [got[c] for c in ("mean", "lo", "hi")] == pytest.approx([want[c] for c in ("mean", "lo", "hi")], abs=1e-6)
 
 
+def test_text_vectors_of_queries_know_rare_words(spark, monkeypatch):
+    words = [f"w{k:04d}" for k in range(5200)]
+    texts = {"1": " ".join(words[:2600] * 2), "2": " ".join(words[2600:] * 2), "3": "rare words only"}
+    tables = {
+        "documents": spark.createDataFrame([("h" + k, t) for k, t in texts.items()], "hotel_id string, text string"),
+        "item_images_v3": spark.createDataFrame([("h" + k, k) for k in texts], "ta_hotel_id string, img_hotel_id string"),
+    }
+    monkeypatch.setattr(study, "table", lambda s, d, name: tables[name])
+    assert {r["i"]: round(r["norm"], 3) for r in study.tfidf_svd(spark, "").collect()} == {"1": 1.0, "2": 1.0, "3": 1.0}
+
+
 def test_tfidf_equals_exact_reduction(spark):
     texts = ["sun sea sand", "sun sun hill", "sea sand boat", "hill lake boat", "", None]
     split_up = [(str(k), t) for k, t in enumerate(texts) if k] + [("0", "sun sea"), ("0", "sand")]
