@@ -1,15 +1,21 @@
 """Keyword-stuffed and link-list pages: bagged decision trees on content and link features.
 
-1. Each text is read once into a dozen shares and rates (links, tags, repeated phrases,
-   lists without function words, sentence ends ...), all measured in words.
-2. Weak labels come from votes of simple rules that abstain when unsure.
-3. Bagged trees are fitted on a bounded sample of weakly labelled pages and predict all pages.
-4. Predictions are smoothed by the spam rate of the page's host.
+1. Words that join others (articles, prepositions ...) are learned from the corpus, in any language: they are
+   frequent and hardly ever stand before a mark or a line's end.
+2. Each text is read once into content and link features (shares of links, tags, repeated phrases and lists ...) and,
+   apart from these, into five signals for weak labels: words in sentences, compressed size, phrases that come
+   again, anchors a word, characters that are no letters.  The trees see none of the signals.
+3. Each signal votes spam, honest or not at all.  Expectation-maximisation over the patterns of votes learns how far
+   each vote is to be trusted; pages whose posterior is not clear have no label.
+4. Bagged trees are fitted on a bounded sample of labelled pages and predict all pages.
+5. Predictions are smoothed by the spam rate of the page's host, its own prediction left out.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,29 +25,26 @@ from pyspark.sql import functions as F
 
 from harbormill.session import over_keys, written
 
-#: Function words of English, French, German and Spanish.
-FUNCTION_WORDS = frozenset(
-    (
-        "the a an and or but of to in on at by for with from my our your his her their this that no every one another was were is are be been it its as so if "
-        "while though although because since than then very not we i you he she they when whenever even after before more most any all has have had will can may "
-        "le la les un une des du de d et ou mais à au aux en dans sur pour par avec sans chez vers sous mon ma mes notre votre son sa ses leur ce cette était fut a est "
-        "car que qui ne pas si quand près côté alors tandis malgré l "
-        "der die das den dem ein eine einen einem einer und oder aber von zu im am auf für mit aus bei nach vor über unter mein meine meiner unser sein ihr war ist wurde "
-        "blieb weil denn dass nicht als wie zwei sobald obwohl während trotz zum zur "
-        "el los las una unos y o pero del al con sin por para sobre mi mis su sus era fue está estaba quedó porque no como hasta desde junto tras pues ya"
-    ).split()
-)
-FEATURES = ("n", "links", "tags", "repeats", "bare", "spam_share", "function_rate", "ends_rate", "distinct_rate", "numbers_rate", "separators_rate", "mean_length")
+#: Joining words have at least this share of all words (so there are at most its inverse), and at most this share of them stands before a mark.
+JOIN_SHARE, JOIN_MARKED = 2e-4, 0.02
+FEATURES = ("n", "links", "tags", "repeats", "bare", "function_rate", "ends_rate", "distinct_rate", "numbers_rate", "separators_rate", "mean_length")
+SIGNALS = ("sentences", "squeezed", "again", "anchors", "marks")
+#: From where on a signal votes spam, and from where on honest; between them it abstains.
+VOTES = {"sentences": (0.3, 0.7), "squeezed": (0.7, 0.9), "again": (0.5, 0.1), "anchors": (0.4, 0.02), "marks": (0.16, 0.08)}
+#: Texts of fewer words are too short to miss sentences in, or to count marks.
+SHORT = 8
+#: A page is labelled if the posterior of its votes is at least this far from even.
+CLEAR = 0.95
 #: Weakly labelled pages of each kind that the trees are fitted on, at most.
-SAMPLE = 2_000
-#: Weight of the host's log-odds against those of all pages.
-HOST_WEIGHT = 0.15
+SAMPLE = 10_000
+#: Weight of the host's log-odds against those of all pages, and pages by which a host's rate is drawn to that of all.
+HOST_WEIGHT, HOST_PRIOR = 0.4, 20
 
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a\s*>|\[([^\]\[]{0,300})\]\([^)\s]*\)", re.S | re.I)
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _URL = re.compile(r"^[\W_]*(?:(?:https?|hxxps?|ftp):/|www\.|(?:[\w-]+(?:\.|\[\.\]))+[a-z]{2,}/|[\w-]+\[\.\]|[a-z0-9-]*[0-9-][a-z0-9-]*\.[a-z]{3,}\W*$)", re.I)
 _END = re.compile(r"[.!?…][\"')\]»]*$")
-_NEAR, _WIN, _LONG, _LABEL = 60, 12, 40, 9
+_NEAR, _GAP, _WIN, _LONG, _LABEL, _PHRASE = 60, 6, 12, 40, 9, 5
 _WORD, _LINK, _HASH, _STRING, _MARK = range(5)
 #: Words kept with their attributes before the memory is emptied.
 _MEMORY = 400_000
@@ -50,14 +53,15 @@ _MEMORY = 400_000
 class _Lexicon:
     """Attributes of words, read once per distinct word."""
 
-    def __init__(self):
+    def __init__(self, joining: frozenset = frozenset()):
+        self.joining = joining
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.core: dict[str, int] = {}
         self.rows: list[tuple] = []
-        self.table = np.zeros((0, 7), dtype=np.int64)
+        self.table = np.zeros((0, 9), dtype=np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.ids) > _MEMORY:
@@ -84,7 +88,7 @@ class _Lexicon:
             kind = _HASH
         elif len(core) > _LONG:
             kind = _STRING
-        elif not core:
+        elif not core or w == "\x02":
             kind = _MARK
         else:
             kind = _WORD
@@ -92,11 +96,13 @@ class _Lexicon:
         row = (
             kind,
             self.core.setdefault(core, len(self.core)),
-            any(p in FUNCTION_WORDS for p in parts),
+            any(p in self.joining for p in parts),
             bool(_END.search(w)) and kind == _WORD,
             any(c.isdigit() for c in core),
             w[-1] in ",;|/>•·*" and kind != _LINK,
             len(core),
+            sum(not c.isalpha() for c in w) if kind == _WORD else 0,
+            w == "\x02",
         )
         self.ids[w] = len(self.rows)
         self.rows.append(row)
@@ -110,20 +116,28 @@ def _words(text: str) -> list[str]:
         text = _ANCHOR.sub(lambda m: " " + "\x01 " * max(1, len((m[1] or m[2] or "").split())), text)
     if "<" in text:
         text = _TAG.sub(" ", text)
+    if "\n" in text:
+        text = text.replace("\n", " \x02 ")
     if "&nbsp;" in text:
         text = text.replace("&nbsp;", " ")
     return text.split()
 
 
 def _measure(docs: list[list[str]], lexicon: _Lexicon) -> np.ndarray:
-    """Features of several documents at once; one row each."""
+    """Features and signals (but for the compressed size) of several documents at once; one row each."""
     size = np.array([len(d) for d in docs], dtype=np.int64)
     a = lexicon.of([w for d in docs for w in d])
     doc = np.repeat(np.arange(len(docs)), size)
     keep = a[:, 0] != _MARK  # bullets and dashes aren't words
-    marks = np.bincount(doc[~keep], minlength=len(docs))
+    lines = a[:, 8] == 1
+    marks = np.bincount(doc[~keep & ~lines], minlength=len(docs))
+    # a line's end closes what stands before it
+    closing = np.flatnonzero(lines)
+    before_line = np.cumsum(keep)[closing] - 1
     a, doc = a[keep], doc[keep]
     n = len(a)
+    line_end = np.zeros(n, dtype=bool)
+    line_end[before_line[before_line >= 0]] = True
     kind, core = a[:, 0], a[:, 1]
     count = np.bincount(doc, minlength=len(docs)).astype(float)
     start = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
@@ -136,7 +150,7 @@ def _measure(docs: list[list[str]], lexicon: _Lexicon) -> np.ndarray:
     repeat = np.zeros(n, dtype=bool)
     if len(content) > 1:
         left, right = content[:-1], content[1:]
-        pair = (doc[left] == doc[right]) & (right - left <= 3)
+        pair = (doc[left] == doc[right]) & (right - left <= _GAP)
         left, right = left[pair], right[pair]
         code = (core[left] << 32) | core[right]
         order = np.argsort(code, kind="stable")
@@ -159,81 +173,163 @@ def _measure(docs: list[list[str]], lexicon: _Lexicon) -> np.ndarray:
     strings = kind == _STRING
     # words between two links close together, without a sentence's end, are the links' labels
     link = kind == _LINK
+    anchor = link | (kind == _HASH)
     last = np.maximum.accumulate(np.where(link, pos, -1)) if n else pos
     following = np.minimum.accumulate(np.where(link, pos, n)[::-1])[::-1] if n else pos
     closed = np.concatenate([[0], np.cumsum(ends)])
     label = word & (last >= lo_all) & (following < hi_all) & (following - last <= _LABEL)
     label[label] = closed[following[label]] == closed[last[label]]
     link = link | label
-    word = word & ~label
+    plain, word = word, word & ~label
     rep = word & (around(repeat) > 0.5)
     # fewer than five words are no list
     bare = word & ~rep & (hi - lo >= 5) & (around(function) < 0.08) & (around(ends) == 0) & (around(strings) == 0)
     per = lambda x: np.bincount(doc, weights=x, minlength=len(docs))
     total = np.maximum(1.0, count - per(strings))
-    links, tags = per(link) / total, per(kind == _HASH) / total
-    repeats, bares = per(rep) / total, per(bare) / total
     once = np.unique((doc.astype(np.int64) << 32) | core) >> 32 if n else np.zeros(0, np.int64)
     distinct = np.bincount(once, minlength=len(docs)) / np.maximum(1, count)
+    twice = _twice(doc, core)
     return np.stack(
         [
             count,
-            links,
-            tags,
-            repeats,
-            bares,
-            links + tags + repeats + bares,
+            per(link) / total,
+            per(kind == _HASH) / total,
+            per(rep) / total,
+            per(bare) / total,
             per(function) / total,
             per(ends) / total,
             distinct,
             per(a[:, 4] == 1) / total,
             (per(a[:, 5] == 1) + marks) / total,
             per(a[:, 6] * word) / np.maximum(1.0, per(word)),
+            per(_sentences(doc, plain & ~twice, function, anchor, ends, line_end)) / total,
+            per(twice) / np.maximum(1.0, count),
+            per(anchor) / total,
+            per(a[:, 7]) / np.maximum(1.0, per(a[:, 6] * plain) + per(a[:, 7])),
         ],
         1,
     )
 
 
-def page_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, features...) for every document; an unreadable or empty text has zeros."""
+def _sentences(doc, word, joining, anchor, ends, line_end) -> np.ndarray:
+    """Which of the words stand in sentences: four words or more, joining words (more of them without an end mark), hardly any links or tags."""
+    if not len(doc):
+        return word
+    stop = ends | line_end
+    stop[:-1] |= doc[1:] != doc[:-1]
+    stop[-1] = True
+    close = np.flatnonzero(stop)
+    part = np.concatenate([[0], np.cumsum(stop)[:-1]])
+    held = np.bincount(part, minlength=len(close))
+    joins = np.bincount(part, weights=joining) / held
+    sound = (held >= 4) & (joins >= np.where(ends[close], 0.1, 0.35)) & (np.bincount(part, weights=anchor) <= 0.2 * held)
+    return sound[part] & word
+
+
+def _twice(doc, core) -> np.ndarray:
+    """Which words stand in a phrase of ``_PHRASE`` words that their document has more than once."""
+    twice = np.zeros(len(doc), dtype=bool)
+    m = len(doc) - _PHRASE + 1
+    if m < 1:
+        return twice
+    code = doc[:m] * 6_364_136_223_846_793_005
+    for k in range(_PHRASE):
+        code = (code + core[k : m + k]) * 1_442_695_040_888_963_407
+    _, back, often = np.unique(code, return_inverse=True, return_counts=True)
+    at = np.flatnonzero((often[back.ravel()] > 1) & (doc[:m] == doc[_PHRASE - 1 :]))
+    for k in range(_PHRASE):
+        twice[at + k] = True
+    return twice
+
+
+def joining_words(docs: DataFrame) -> frozenset:
+    """Words that join others, from counts over all texts: at least ``JOIN_SHARE`` of all words and three times in all, and
+    seldom before a mark.  At most 1 / ``JOIN_SHARE`` words fulfil this, whatever the corpus."""
+    lines = F.regexp_replace(F.lower("text"), r"\s*[\r\n]+\s*", ", ")
+    lines = F.regexp_replace(lines, r"\s+([^\p{L}\p{N}\s#]+)(?=\s|$)", "$1")  # a mark on its own belongs to the word before it
+    words = docs.select(F.explode(F.split(lines, r"[\s\x{2019}']+")).alias("w"))
+    core = F.regexp_extract("w", r"^[^\p{L}#]*(\p{L}{1,12})[^\p{L}\p{N}]*$", 1)
+    counts = words.select(core.alias("core"), F.col("w").rlike(r"[^\p{L}]$").alias("marked")).filter("core != ''")
+    counts = written(counts.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.count_if("marked").alias("before_mark")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    fit = counts.filter((F.col("n") >= max(3, JOIN_SHARE * total)) & (F.col("before_mark") <= JOIN_MARKED * F.col("n")))
+    return frozenset(r["core"] for r in fit.select("core").collect())
+
+
+_READ = FEATURES + ("sentences", "again", "anchors", "marks")
+
+
+def page_features(docs: DataFrame, joining: frozenset = frozenset()) -> DataFrame:
+    """(doc_id, host, features..., signals...) for every document; an unreadable or empty text has zeros.
+
+    ``squeezed`` is still the plain ratio of the compressed size.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = _Lexicon()
+        lexicon = _Lexicon(joining)
         for b in batches:
-            keys, hosts, group, held = [], [], [], 0
+            keys, hosts, group, sizes, held = [], [], [], [], 0
 
             def flush() -> pd.DataFrame:
-                f = pd.DataFrame(_measure(group, lexicon), columns=list(FEATURES))
+                f = pd.DataFrame(_measure(group, lexicon), columns=list(_READ))
+                f["squeezed"] = sizes
                 f.insert(0, "host", hosts)
                 f.insert(0, "doc_id", keys)
-                return f
+                return f[["doc_id", "host", *FEATURES, *SIGNALS]]
 
             for key, host, text in zip(b["doc_id"], b["host"], b["text"]):
                 keys.append(key)
                 hosts.append(host)
-                group.append(_words(text) if isinstance(text, str) else [])
+                text = text if isinstance(text, str) else ""
+                group.append(_words(text))
+                raw = text.casefold().encode("utf-8", "replace")
+                sizes.append(len(zlib.compress(raw, 1)) / len(raw) if raw else 1.0)
                 held += len(group[-1])
                 if held > 500_000:
                     yield flush()
-                    keys, hosts, group, held = [], [], [], 0
+                    keys, hosts, group, sizes, held = [], [], [], [], 0
             if keys:
                 yield flush()
 
     slim = docs.select("doc_id", F.coalesce(F.col("host"), F.lit("")).alias("host"), "text")
-    return over_keys(slim, "doc_id", run, "host string, " + ", ".join(f"{x} double" for x in FEATURES))
+    return over_keys(slim, "doc_id", run, "host string, " + ", ".join(f"{x} double" for x in FEATURES + SIGNALS))
+
+
+def with_votes(feats: DataFrame) -> DataFrame:
+    """``feats`` with one vote a signal: 1 spam, 0 honest, -1 none.  The compressed size is set against the median of texts of like length."""
+    length = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n")))).cast("int")
+    usual = feats.filter("n > 0").groupBy(length.alias("l")).agg(F.percentile_approx("squeezed", F.lit(0.5), F.lit(1000)).alias("usual"))
+    # one row for each doubling of the length
+    rows = feats.join(F.broadcast(usual), length == F.col("l"), "left").withColumn("squeezed", F.coalesce(F.col("squeezed") / F.col("usual"), F.lit(1.0))).drop("l", "usual")
+    votes = {}
+    for x in SIGNALS:
+        spam, honest = VOTES[x]
+        c = F.col(x)
+        c = F.when(F.col("n") >= SHORT, c) if x == "sentences" else F.when(F.col("n") * (1 - F.col("links") - F.col("tags")) >= SHORT, c) if x == "marks" else c
+        votes["vote_" + x] = F.when(c <= spam, 1).when(c >= honest, 0).otherwise(-1) if spam < honest else F.when(c >= spam, 1).when(c <= honest, 0).otherwise(-1)
+    return rows.withColumns(votes)
+
 
+def trust_votes(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """The posterior of spam for each pattern of votes (rows of 1, 0, -1), by expectation-maximisation over their counts.
 
-def weak_label(f: dict[str, object]):
-    """1, 0 or null from the votes of simple rules; works on columns."""
-    votes = [
-        F.when(f["links"] > 0.6, 1).when(f["links"] < 0.3, 0),
-        F.when(f["repeats"] > 0.6, 1).when(f["repeats"] < 0.3, 0),
-        F.when((f["tags"] + f["bare"]) > 0.6, 1).when((f["tags"] + f["bare"]) < 0.3, 0),
-        F.when(f["spam_share"] > 0.6, 1).when(f["spam_share"] < 0.4, 0),
-    ]
-    any_spam = F.coalesce(F.greatest(*votes), F.lit(0)) == 1
-    all_honest = F.coalesce(votes[3] == 0, F.lit(False))
-    return F.when(any_spam & (f["spam_share"] > 0.6), 1).when(all_honest, 0)
+    Votes are independent given the page's kind; an abstention says nothing.  Ten pseudo-pages of either kind keep small corpora
+    near plain voting: a tenth of the votes on honest pages and half of those on spam pages, which rarely have all symptoms, are wrong.
+    """
+    if not len(patterns):
+        return np.zeros(0)
+    right = np.array([[0.9, 0.1], [0.5, 0.5]])  # votes honest, spam of honest pages, of spam pages
+    hot = np.stack([patterns == v for v in (0, 1)], 2).astype(float)  # pattern, signal, vote
+    prior, chance = np.array([0.75, 0.25]), np.repeat(right[:, None, :], patterns.shape[1], 1)
+    for _ in range(rounds):
+        logs = np.log(prior)[None, :] + np.einsum("psv,ksv->pk", hot, np.log(chance))
+        post = np.exp(logs - logs.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        mass = post * n[:, None]
+        prior = (mass.sum(0) + [7.5, 2.5]) / (n.sum() + 10)
+        chance = np.einsum("pk,psv->ksv", mass, hot) + 10 * right[:, None, :]
+        chance /= chance.sum(2, keepdims=True)
+    return post[:, 1]
 
 
 class Tree:
@@ -285,7 +381,7 @@ class Tree:
 
 
 def fit_bag(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 6, least: int = 5, seed: int = 7) -> list[Tree]:
-    """Bagged trees; half of the features are tried at each split, the summed share among them by chance only."""
+    """Bagged trees; half of the features are tried at each split."""
     rng, out = np.random.default_rng(seed), []
     for _ in range(trees):
         pick = rng.integers(0, len(y), len(y))
@@ -293,18 +389,33 @@ def fit_bag(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 6, least
     return out
 
 
+def label_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, host, features..., signals..., votes..., belief, label): every document with the posterior of its votes and, where this is clear, its weak label."""
+    feats = written(page_features(docs, joining_words(docs)), "pages")
+    voted = with_votes(feats)
+    names = ["vote_" + x for x in SIGNALS]
+    # at most 3 ** len(SIGNALS) rows
+    counts = voted.filter("n > 0").groupBy(*names).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts["belief"] = trust_votes(counts[names].to_numpy(), counts["n"].to_numpy(float))
+    known = docs.sparkSession.createDataFrame(counts[[*names, "belief"]].values.tolist() or [], ", ".join([*(f"{v} double" for v in names), "belief double"]))
+    known = known.select(*[F.col(v).cast("int").alias(v) for v in names], "belief")
+    joined = voted.join(F.broadcast(known), names, "left")
+    belief = F.when(F.col("n") > 0, F.col("belief")).otherwise(0.0)
+    label = F.when(F.col("n") == 0, F.lit(None)).when(belief >= CLEAR, 1).when(belief <= 1 - CLEAR, 0)
+    return written(joined.withColumn("belief", belief).withColumn("label", label), "labels")
+
+
 def score_pages(docs: DataFrame, sample: int = SAMPLE, host_weight: float = HOST_WEIGHT) -> DataFrame:
-    """(doc_id, host, page_score, host_rate, score) for every document.
+    """(doc_id, host, label, page_score, host_rate, score) for every document.
 
     ``docs`` needs doc_id, host and text.  Null and empty texts score 0; null hosts are one host; repeated
     rows stay repeated; without any weak label of one kind the votes alone decide.  ``sample`` bounds the
     labelled pages of each kind that the trees are fitted on, taken in the order of a hash of doc_id.
     """
     spark = docs.sparkSession
-    feats = written(page_features(docs), "pages")
-    label = weak_label({c: F.col(c) for c in FEATURES})
-    labelled = feats.withColumn("label", label).filter("label is not null and n > 0")
-    by = [F.xxhash64("doc_id"), "doc_id"]
+    pages = label_pages(docs)
+    labelled = pages.filter("label is not null")
+    by = [F.xxhash64("doc_id"), "doc_id", *FEATURES]
     pick = [labelled.filter(F.col("label") == y).orderBy(*by).limit(sample).select("label", *FEATURES) for y in (0, 1)]
     rows = pick[0].unionByName(pick[1]).toPandas()
     x, y = rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float)
@@ -313,21 +424,25 @@ def score_pages(docs: DataFrame, sample: int = SAMPLE, host_weight: float = HOST
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = b[list(FEATURES)].to_numpy(float)
-            p = np.mean([t.predict(x) for t in bag.value], axis=0) if bag.value else (x[:, FEATURES.index("spam_share")] > 0.5).astype(float)
-            p[x[:, 0] == 0] = 0.0
-            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "page_score": p})
-
-    pages = over_keys(feats, "doc_id", run, "host string, page_score double")
-    # a prior of 20 pages at the rate of all pages steadies the rates of small hosts
-    rates = pages.groupBy("host").agg(F.sum("page_score").alias("s"), F.count(F.lit(1)).alias("m"))
+            p = np.mean([t.predict(x) for t in bag.value], axis=0) if bag.value else b["belief"].to_numpy(float)
+            # two words have no shares to speak of; their votes decide
+            p = np.where(x[:, 0] < 3, b["belief"].to_numpy(float), p)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "label": b["label"], "page_score": p})
+
+    slim = pages.select("doc_id", "host", F.col("label").cast("double").alias("label"), "belief", *FEATURES)
+    scored = written(over_keys(slim, "doc_id", run, "host string, label double, page_score double"), "scores")
+    rates = scored.groupBy("host").agg(F.sum("page_score").alias("s"), F.count(F.lit(1)).alias("m"))
     everywhere = rates.agg((F.sum("s") / F.sum("m")).alias("base"))
-    hosts = rates.crossJoin(F.broadcast(everywhere)).select(F.col("host").alias("h"), ((F.col("s") + 20 * F.col("base")) / (F.col("m") + 20)).alias("host_rate"), "base")
+    hosts = rates.crossJoin(F.broadcast(everywhere)).withColumnRenamed("host", "h")
 
     def logit(c):
         p = F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
         return F.log(p / (1 - p))
 
-    joined = pages.join(hosts, F.col("host") == F.col("h"))
+    joined = scored.join(hosts, F.col("host") == F.col("h"))
+    # the page's own score is left out, so that no page speaks for itself
+    rate = (F.col("s") - F.col("page_score") + HOST_PRIOR * F.col("base")) / (F.col("m") - 1 + HOST_PRIOR)
+    joined = joined.withColumn("host_rate", rate)
     odds = logit(F.col("page_score")) + host_weight * (logit(F.col("host_rate")) - logit(F.col("base")))
     score = F.when(F.col("page_score") == 0, 0.0).otherwise(1 / (1 + F.exp(-odds)))
-    return joined.select("doc_id", "host", "page_score", "host_rate", score.alias("score"))
+    return joined.select("doc_id", "host", F.col("label").cast("int").alias("label"), "page_score", "host_rate", score.alias("score"))
