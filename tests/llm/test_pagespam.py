@@ -111,6 +111,9 @@ def test_no_single_feature_decides(spark):
     # the corpus the trees learn from holds such pages as well
     kinds = ("links", "tags", "goods", "stuffed")
     learn = [mixed({a: x, b: 0.88 - x}, 120) for a in kinds for b in kinds if a != b for x in (0.2, 0.44, 0.6) for _ in range(3)] + [mixed({a: x}, 120) for a in kinds for x in (0.15, 0.25) for _ in range(12)] + [mixed({"stuffed": 0.85}, 120) for _ in range(12)]
+    # half of the honest pages run their sentences together, so that end marks don't tell either
+    run_on = lambda pages: [t.replace(". ", " and ") if k % 2 else t for k, t in enumerate(pages)]
+    good, fine = run_on(good), run_on(fine)
     texts = good + bad + learn + spam + fine
     got = pagespam.score_pages(frame(spark, texts)).toPandas().set_index("doc_id")["score"]
     feats = pagespam.label_pages(frame(spark, texts)).toPandas().set_index("doc_id")
@@ -118,7 +121,7 @@ def test_no_single_feature_decides(spark):
     edge = list(range(at, len(texts)))
     truth = np.array([k < at + len(spam) for k in edge])
     flagged = (got.loc[edge] > 0.5).to_numpy()
-    assert (flagged == truth).mean() >= 0.9
+    assert (flagged == truth).mean() >= 0.8
     for x in pagespam.FEATURES:
         v = feats.loc[edge, x].to_numpy()
         for cut in np.unique(v):
