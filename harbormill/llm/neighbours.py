@@ -1,22 +1,21 @@
 """Most similar vectors for every vector: multi-index hashing.
 
-1. A rotation learned on a bounded sample (iterative quantisation) turns every vector
-   into a binary code whose Hamming distance follows the angle.
-2. The code is split into m substrings and each is indexed.  By the pigeonhole
-   principle two codes within Hamming radius r agree, in at least one substring, up to
-   floor(r / m) bits, so probing each substring's bucket (and the buckets that many
-   flipped bits away) retrieves every code within r.
-3. A bucket is compared as blocks of floats, and each row keeps its k best; buckets
-   larger than a block are cut into pieces and every pair of pieces is compared, so
-   a crowded region is neither capped nor held in one task.
-4. The k best of all substrings are merged.  Vectors of one direction are one class;
-   a class is searched once and its rows share the answer.
+1. Rotations learned on a bounded sample (iterative quantisation) turn every vector into a binary code whose Hamming
+   distance follows the angle.
+2. The code is split into m substrings and each is indexed.  By the pigeonhole principle two codes within Hamming
+   radius m - 1 agree in at least one substring, so a row's m buckets hold every code within that radius.  The length
+   of a substring follows log2(n / bucket) and so does their number, so that buckets stay as large, and a vector is
+   looked up m times, at any n.
+3. In a bucket the Hamming distances of the whole codes come first: each row takes the smallest radius that holds
+   ``keep`` others, all of that radius, and only these are compared as floats.  Buckets larger than a piece are cut and
+   every pair of pieces is compared, so a crowded region is neither capped nor held in one task.
+4. The k best of all substrings are merged.  Vectors of one direction are one class; a class is searched once and its
+   rows share the answer.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,21 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harbormill.session import written
+from harbormill.session import ship, written
 
-BITS = 64
-#: Hamming radius that probing covers completely.
-RADIUS = 7
 #: Rows that a bucket is meant to hold; sets the length of a substring.
 BUCKET = 1024
+#: Bits of a substring, and substrings, at least.
+LEAST = 8
+#: Others that a row's Hamming radius in a bucket has to hold.
+KEEP = 128
 #: Rows of one piece of a bucket.
 PIECE = 4096
 #: Vectors that the rotation is learned on, at most, in the order of a hash of their id.
 SAMPLE = 20_000
 #: Decimals up to which cosines count as tied.
 DIGITS = 6
-#: Roles of a row in a task: compared with all, or one of two pieces that meet, or asking or being asked only.
-_SELF, _FIRST, _SECOND, _ASKS, _HOLDS = range(5)
+#: Roles of a row in a task: compared with all, or one of two pieces that meet.
+_SELF, _FIRST, _SECOND = range(3)
+
+
+def learn_rotations(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) for a code of ``bits``: as many rotations as it takes, learned from different starts."""
+    turns = [learn_rotation(x, seed=11 + t) for t in range(-(-bits // x.shape[1]))]
+    return turns[0][0], np.concatenate([r for _, r in turns], 1)[:, :bits]
 
 
 def learn_rotation(x: np.ndarray, rounds: int = 40, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +60,10 @@ def learn_rotation(x: np.ndarray, rounds: int = 40, seed: int = 11) -> tuple[np.
     return mean, axes @ r
 
 
-def plan(n: int, bits: int = BITS, radius: int = RADIUS, bucket: int = BUCKET) -> tuple[int, int, int]:
-    """(bits of a substring, substrings, bits to flip) for n vectors."""
-    length = min(16, bits, max(8, math.ceil(math.log2(max(1, n / bucket)))))
-    m = bits // length
-    return length, m, radius // m
+def plan(n: int, bucket: int = BUCKET) -> tuple[int, int]:
+    """(bits of a substring, substrings) for n vectors."""
+    length = max(LEAST, math.ceil(math.log2(max(1, n / bucket))))
+    return length, length
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -77,35 +82,43 @@ def to_units(raw: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -sims))[:k]
-    return ids[order], sims[order]
-
-
-def _top(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> tuple[list, list]:
-    """The k best of ``c`` for each row of ``q`` by rounded cosine, then id; a vector is not its own neighbour."""
-    out_i, out_s = [], []
-    c32 = c.astype(np.float32)
-    wide = min(len(cid), 3 * k + 2)
-    for lo in range(0, len(qid), 1024):
-        rough = q[lo : lo + 1024].astype(np.float32) @ c32.T
-        rough[qid[lo : lo + 1024, None] == cid[None, :]] = -2
-        pick = np.argpartition(rough, -wide, axis=1)[:, -wide:] if wide < len(cid) else np.broadcast_to(np.arange(len(cid)), rough.shape)
-        edge = np.take_along_axis(rough, pick, 1).min(1) if wide < len(cid) else np.full(len(rough), -3.0)
-        for i in range(len(rough)):
-            at = pick[i]
-            kth = np.partition(rough[i, at], -k)[-k] if len(at) >= k else -3.0
-            if edge[i] > -2 and kth - edge[i] < 1e-5:  # ties may reach beyond the picked ones
-                at = np.flatnonzero(rough[i] >= kth - 1e-5)
-            at = at[cid[at] != qid[lo + i]]
-            s = np.round(c[at] @ q[lo + i], DIGITS)
-            ids, sims = _best(cid[at], s, k)
-            out_i.append(ids)
-            out_s.append(sims)
-    return out_i, out_s
-
-
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int = 5, dim: int = 64, radius: int = RADIUS, bucket: int = BUCKET, piece: int = PIECE, sample: int = SAMPLE) -> DataFrame:
+def _top(q: np.ndarray, qid: np.ndarray, qcode: np.ndarray, c: np.ndarray, cid: np.ndarray, ccode: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, cosine) of the k best of ``c`` for each row of ``q`` by rounded cosine, then id, among the codes within the
+    smallest Hamming radius of a ladder that holds ``keep`` of them; a vector is not its own neighbour."""
+    bits = 64 * qcode.shape[1]
+    wide = np.uint16 if bits > 250 else np.uint8
+    none = np.iinfo(wide).max
+    ladder = np.unique((bits * np.array([0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.18, 0.22, 0.27, 0.33, 0.4, 1.0])).astype(int)).astype(wide)
+    out: list[tuple] = []
+    for lo in range(0, len(qid), 512):
+        at = slice(lo, lo + 512)
+        far = np.zeros((len(qid[at]), len(cid)), dtype=wide)
+        for w in range(qcode.shape[1]):
+            far += np.bitwise_count(qcode[at, None, w] ^ ccode[None, :, w])
+        far[qid[at, None] == cid[None, :]] = none
+        radius = np.full(len(far), ladder[-1])
+        for r in ladder[-2::-1]:
+            radius[(far <= r).sum(1) >= keep] = r
+        near = far <= radius[:, None]
+        if near.sum() > 0.1 * near.size:
+            s = q[at] @ c.T
+            s[~near] = -3.0
+            if s.shape[1] > k:  # ties of rounding stay
+                near &= s >= np.partition(s, -k, axis=1)[:, -k, None] - 2 * 10.0**-DIGITS
+            row, col = np.nonzero(near)
+            sims = np.round(s[row, col], DIGITS)
+        else:
+            row, col = np.nonzero(near)
+            sims = np.round(np.einsum("ij,ij->i", q[lo + row], c[col]), DIGITS)
+        order = np.lexsort((cid[col], -sims, row))
+        row, col, sims = row[order], col[order], sims[order]
+        first = np.searchsorted(row, np.arange(len(far)))
+        best = np.arange(len(row)) - first[row] < k
+        out.append((lo + row[best], cid[col[best]], sims[best]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int = 5, dim: int = 64, bucket: int = BUCKET, piece: int = PIECE, sample: int = SAMPLE, keep: int = KEEP) -> DataFrame:
     """(id, neighbour, cosine, rank) of the k nearest of every usable vector, ties to the smaller id.
 
     Unusable vectors (null, wrong length, null or NaN components, all zero) are on neither side.  An id that comes
@@ -113,27 +126,34 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     table none.  Extra columns are not read.
     """
     spark = df.sparkSession
+    ship(spark)
     vecs = usable(df, id_col, vec_col, dim)
+    length, m = plan(df.count(), bucket)
     rows = vecs.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     x = np.array([np.asarray(v) for v in rows["vec"]], dtype=float).reshape(len(rows), dim)
     x /= np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
-    mean, projection = learn_rotation(x)
-    model = spark.sparkContext.broadcast((mean, projection))
+    model = spark.sparkContext.broadcast(learn_rotations(x, m * length))
+    words = -(-m * length // 64)
     # components travel in their own width and become unit vectors in doubles where they are compared
     kind = np.dtype("<f4" if vecs.schema["vec"].dataType.simpleString() == "array<float>" else "<f8")
 
     def encode(batches):
         mean, projection = model.value
+        powers = 1 << np.arange(length, dtype=np.int64)
         for b in batches:
             if not len(b):
                 continue
             raw = np.array(b["vec"].tolist(), dtype=kind).reshape(len(b), dim)
             v = to_units(raw)
-            code = np.packbits((v - mean) @ projection > 0, axis=1)
+            on = (v - mean) @ projection > 0
+            code = np.zeros((len(b), 8 * words), dtype=np.uint8)
+            packed = np.packbits(on, axis=1)
+            code[:, : packed.shape[1]] = packed
+            subs = (on.reshape(len(b), m, length) * powers).sum(2)
             flat = np.round(v, DIGITS - 1) + 0.0
-            yield pd.DataFrame({"id": b["id"], "raw": [r.tobytes() for r in raw], "code": [r.tobytes() for r in code], "direction": [r.tobytes() for r in flat]})
+            yield pd.DataFrame({"id": b["id"], "raw": [r.tobytes() for r in raw], "code": [r.tobytes() for r in code], "subs": list(subs), "direction": [r.tobytes() for r in flat]})
 
-    coded = vecs.mapInPandas(encode, "id long, raw binary, code binary, direction binary")
+    coded = vecs.mapInPandas(encode, "id long, raw binary, code binary, subs array<long>, direction binary")
     coded = written(coded.withColumn("class", F.xxhash64("direction")).drop("direction"), "codes")
     # of rows with one direction only the k + 1 smallest ids can be anyone's neighbours
     sizes = coded.groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
@@ -142,53 +162,33 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     rank = F.row_number().over(W.partitionBy("class").orderBy("id"))
     # the filter right behind the number lets each partition keep k + 1 rows of a class before the shuffle
     first = written(doubled.withColumn("rk", rank).filter(F.col("rk") <= k + 1), "firsts")
-    heads = coded.join(plural, "class", "left_anti").select("id", "raw", "code").unionByName(first.select("id", "raw", "code"))
-    n = coded.count()
-    length, m, flips = plan(n, dim, radius, bucket)
-
-    def bits(at: int):
-        """The substring's value, from the code's bytes."""
-        value = F.lit(0)
-        first, last = at * length // 8, ((at + 1) * length - 1) // 8
-        for i in range(first, last + 1):
-            value = F.shiftleft(value, 8).bitwiseOR(F.conv(F.hex(F.substring("code", i + 1, 1)), 16, 10).cast("int"))
-        shift = (last + 1) * 8 - (at + 1) * length
-        return F.shiftright(value, shift).bitwiseAND(F.lit((1 << length) - 1))
-
-    masks = [sum(1 << i for i in c) for f in range(flips + 1) for c in combinations(range(length), f)]
-    subs = F.array(*[F.struct(F.lit(j).alias("j"), bits(j).alias("v")) for j in range(m)])
-    index = heads.select("id", "raw", F.inline(subs))
-    # bucket sizes from the codes alone
-    counts = index.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
-    pieces = counts.select("j", "v", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
-    # at most m * 2^length rows of a few numbers, so vectors need no shuffle to meet their bucket's size
-    pieces = F.broadcast(pieces)
-    placed = index.join(pieces, ["j", "v"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    # a task is a pair of pieces of one bucket; a bucket of one piece is its own pair
-    if flips:
-        ask = heads.select("id", "raw", F.inline(subs)).withColumn("v", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in masks]))).join(pieces, ["j", "v"])
-        ask = ask.withColumn("a", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("b", every).select("j", "v", "a", "b", "id", "raw", F.lit(_ASKS).alias("side"))
-        work = ask.unionByName(placed.withColumn("a", every).select("j", "v", "a", F.col("piece").alias("b"), "id", "raw", F.lit(_HOLDS).alias("side")))
-    else:
-        # both pieces ask each other
-        side = F.when(F.col("piece") == F.col("x"), _SELF).when(F.col("piece") < F.col("x"), _FIRST).otherwise(_SECOND)
-        work = placed.withColumn("x", every).select("j", "v", F.least("piece", "x").alias("a"), F.greatest("piece", "x").alias("b"), "id", "raw", side.alias("side"))
+    cols = ["id", "raw", "code", "subs"]
+    heads = coded.join(plural, "class", "left_anti").select(*cols).unionByName(first.select(*cols))
+    index = heads.select("id", "raw", "code", F.posexplode("subs").alias("j", "v"))
+    # only buckets beyond a piece are named; written first, so that the join is planned by their real number
+    counts = heads.select(F.posexplode("subs").alias("j", "v")).groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
+    crowded = written(counts.filter(F.col("n") > piece).select("j", "v", F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "crowded")
+    placed = index.join(crowded, ["j", "v"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    # a task is a pair of pieces of one bucket, which ask each other; a bucket of one piece is its own pair
+    side = F.when(F.col("piece") == F.col("x"), _SELF).when(F.col("piece") < F.col("x"), _FIRST).otherwise(_SECOND)
+    work = placed.select("j", "v", F.least("piece", "x").alias("a"), F.greatest("piece", "x").alias("b"), "id", "raw", "code", side.alias("side"))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         unit = to_units(np.frombuffer(b"".join(g["raw"]), dtype=kind).reshape(len(g), dim))
+        code = np.frombuffer(b"".join(g["code"]), dtype=np.uint64).reshape(len(g), words)
         ids, s = g["id"].to_numpy(), g["side"].to_numpy()
         out = []
-        for asks, holds in ((_SELF, _SELF), (_FIRST, _SECOND), (_SECOND, _FIRST), (_ASKS, _HOLDS)):
+        for asks, holds in ((_SELF, _SELF), (_FIRST, _SECOND), (_SECOND, _FIRST)):
             q, c = s == asks, s == holds
             if q.any() and c.any():
-                near, sims = _top(unit[q], ids[q], unit[c], ids[c], k)
-                out.append(pd.DataFrame({"id": ids[q], "near": near, "sims": sims}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "near": [], "sims": []}, dtype=object)
+                row, near, sims = _top(unit[q], ids[q], code[q], unit[c], ids[c], code[c], k, keep)
+                out.append(pd.DataFrame({"id": ids[q][row], "neighbour": near, "cosine": sims}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "cosine": []}, dtype=object)
 
-    found = work.groupBy("j", "v", "a", "b").applyInPandas(compare, "id long, near array<long>, sims array<double>")
-    # at most k from each substring, probe and piece
-    pairs = found.select("id", F.inline(F.arrays_zip("near", "sims"))).toDF("id", "neighbour", "cosine").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    found = work.groupBy("j", "v", "a", "b").applyInPandas(compare, "id long, neighbour long, cosine double")
+    # at most k from each substring and piece; one shuffle by id serves both steps
+    pairs = found.repartition("id").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     order = [F.desc("cosine"), "neighbour"]
     best = pairs.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order))).filter(F.col("rank") <= k)
     # rows of a class beyond its first k + 1 have the first k of the class

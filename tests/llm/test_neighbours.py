@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from harbormill.llm.neighbours import learn_rotation, nearest, plan
+from harbormill.llm.neighbours import _top, learn_rotation, learn_rotations, nearest, plan
 
 SCHEMA = "vec_id long, vec array<float>, id string"
 
@@ -32,7 +32,7 @@ def clustered(n, seed, spread=0.15):
 
 @pytest.mark.parametrize("bucket,piece", [(1024, 4096), (1024, 40), (4, 4096)])
 def test_recall_against_brute_force(spark, bucket, piece):
-    """Small pieces cut crowded buckets, small buckets make substrings of more than 8 bits with flipped probes."""
+    """Small pieces cut crowded buckets, small buckets make longer substrings and more of them."""
     vecs = clustered(3000, 1)
     got, want = answer(nearest(frame(spark, vecs), bucket=bucket, piece=piece)), exact(vecs)
     hit = sum(len(set(got.get(i + 1, [])) & set(w)) for i, w in enumerate(want))
@@ -40,9 +40,34 @@ def test_recall_against_brute_force(spark, bucket, piece):
 
 
 def test_plan_follows_the_number_of_vectors():
-    assert plan(200_000) == (8, 8, 0) and plan(10_000) == (8, 8, 0)
-    length, m, flips = plan(10**9)
-    assert length == 16 and m == 4 and flips == 1
+    """Buckets stay as large at any n, and lookups a vector grow with its logarithm; nothing is switched or capped."""
+    assert plan(10_000) == plan(200_000) == (8, 8)
+    lengths = [plan(n)[0] for n in (10**5, 3 * 10**5, 10**6, 10**7, 10**8, 10**9, 10**11)]
+    assert lengths == sorted(lengths) and lengths[-2:] == [20, 27]
+    assert all(n / 2 ** plan(n)[0] <= 1024 for n in (10**5, 10**6, 10**9, 10**11))
+
+
+def test_long_codes_take_several_rotations():
+    x = clustered(400, 6)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, p = learn_rotations(x, 121)
+    assert p.shape == (64, 121) and not np.allclose(p[:, :57], p[:, 64:])
+
+
+@pytest.mark.parametrize("words", [1, 4])
+def test_top_is_exact_within_the_radius(words):
+    """Against brute force; a radius that holds all rows gives the exact answer, with ties to the smaller id."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(700, 64)).astype(np.float32).astype(float)
+    v[600:] = v[:100]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = rng.permutation(700)
+    code = rng.integers(0, 2**63, (700, words), dtype=np.int64).astype(np.uint64)
+    row, near, sims = _top(v, ids, code, v, ids, code, 5, 700)
+    s = np.round(v @ v.T, 6)
+    for i in range(0, 700, 37):
+        want = sorted((j for j in range(700) if j != i), key=lambda j: (-s[i, j], ids[j]))[:5]
+        assert near[row == i].tolist() == ids[want].tolist()
 
 
 def test_copies_and_ties_go_to_the_smaller_id(spark):
