@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harbormill.session import written
+from harbormill.session import ship, written
 
 #: Spellings of the five standard fields, compared in lower case without marks between words.
 ALIASES = {
@@ -115,6 +115,8 @@ def infer_paths(dumps: DataFrame) -> DataFrame:
     number of values, and get their names from the header afterwards, so raw lines are never joined.
     """
 
+    ship(dumps.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: Counter = Counter()

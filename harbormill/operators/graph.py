@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harbormill.session import written
+from harbormill.session import ship, written
 
 
 def bipartite(pairs: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def nearest_items(items: DataFrame, key: str, vec: str, k: int, block_rows: int
     Exact, in blocks: the items are cut into pieces of ``block_rows`` and every piece meets every other in one NumPy
     product that keeps k a row, so neither pairs nor the whole matrix exist anywhere.  Meant for item catalogues.
     """
+    ship(items.sparkSession)
     base = items.select(F.col(key).alias("id"), F.col(vec).alias("vec"))
     n = base.count()
     parts = max(1, -(-n // block_rows))
@@ -94,6 +95,7 @@ def score_blocks(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
     Items are cut into pieces; users meet each piece in blocks and keep k a piece, so the full matrix never exists.
     ``seen`` (u, i) pairs are masked inside the blocks, from per-user lists bounded by the catalogue.
     """
+    ship(items.sparkSession)
     n = items.count()
     parts = max(1, -(-n // block_rows))
     hist = seen.groupBy("u").agg(F.collect_set("i").alias("seen")) if seen is not None else users.select("u", F.array().cast("array<string>").alias("seen"))

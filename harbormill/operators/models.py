@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harbormill.operators.graph import propagate
-from harbormill.session import written
+from harbormill.session import ship, written
 
 
 def hash_weight(salt: str, *parts: Column | str) -> Column:
@@ -175,6 +175,7 @@ def spectral_items(text: DataFrame, visual: DataFrame, salt: str = "spectral") -
             out = (gate(parts[0]) + gate(parts[1])) / 2 + gate(parts[2])
             yield pd.DataFrame({"i": b["i"], "vec": list(out)})
 
+    ship(text.sparkSession)
     return text.join(visual.select("i", F.col("vec").alias("other")), "i").mapInPandas(run, "i string, vec array<double>")
 
 
@@ -239,6 +240,7 @@ def gated_scores(pairs: DataFrame, scorer: GatedScorer, slots: int = 32) -> Data
             s, q = scorer.score(m("tu"), m("vu"), m("ti"), m("vi"), images, mask, m("ev"))
             yield pd.DataFrame({"u": b["u"], "i": b["i"], "score": s, "gate": q})
 
+    ship(pairs.sparkSession)
     return pairs.select("u", "i", "tu", "vu", "ti", "vi", "images", "ev").mapInPandas(run, "u string, i string, score double, gate double")
 
 

@@ -6,9 +6,10 @@
     quoted  = '"' { any char but '"' | '""' } '"'     then "," or the record's end
     bare    = { any char but '"' and "," }
 
-After a syntax error inside a text of many records the reader resumes at the next
-validated record-start anchor: a line start from which the record's first field reads
-as an unsigned integer followed by a comma.  Each error keeps its place in the text.
+After a broken quote inside a text of many records the reader resumes at the next validated record-start anchor: a
+line start from which a whole record of all fields reads without a fault, its first field an unsigned integer.  A
+quoted field that runs over such an anchor is a broken quote as well, so a stray quote never takes sound records
+along.  Each error keeps its place in the text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from harbormill.session import over_keys
 REASONS = ("quoting", "column_count", "hotel_id", "image_url")
 FIELDS = ("image_id", "hotel_id", "image_url", "image_source", "upload_timestamp")
 
-_ANCHOR = re.compile(r'(?:"[0-9]+"|[ ]*[0-9]+[ ]*),')
+_ANCHOR = re.compile('\ufeff?(?:"[0-9]+"|[ ]*[0-9]+[ ]*),')
+_STOP, _LINE_STOP = re.compile('[,"]'), re.compile('[,"\n]')
 _ID = re.compile(r"([0-9]+)(?:\.0)?")
 _URL = re.compile(r"https?://([^/?#]*)", re.I)
 
@@ -33,11 +35,13 @@ class Reader:
     """Recursive descent over one text.  ``single`` reads the whole text as one record, so that a
     line break is an ordinary character."""
 
-    def __init__(self, text: str, single: bool):
-        self.s, self.i, self.single = text, 0, single
+    def __init__(self, text: str, single: bool, at: int = 0):
+        self.s, self.i, self.single = text, at, single
 
     def _ends(self) -> bool:
-        return self.i >= len(self.s) or (not self.single and self.s[self.i] in "\r\n")
+        """Whether a record may end here: at the text's end or, among many records, at a line's end."""
+        rest = self.s[self.i : self.i + 2]
+        return not rest or (not self.single and (rest[0] == "\n" or rest in ("\r\n", "\r")))
 
     def record(self) -> tuple[list[str], int | None]:
         """The fields, and the place of the first quoting error or None.  ``i`` is left at the record's end or at the error."""
@@ -68,23 +72,43 @@ class Reader:
                 self.i = q + 2
                 continue
             self.i = q + 1
+            if not self.single and self._swallows(start, q):
+                return "", start
             if self._ends() or self.s[self.i] == ",":
                 return "".join(parts), None
             return "", q
 
     def bare(self) -> tuple[str, int | None]:
-        start, stop = self.i, ',"' if self.single else ',"\r\n'
-        while self.i < len(self.s) and self.s[self.i] not in stop:
-            self.i += 1
-        if self.i < len(self.s) and self.s[self.i] == '"':
+        start, m = self.i, (_STOP if self.single else _LINE_STOP).search(self.s, self.i)
+        self.i = m.start() if m else len(self.s)
+        if m and m[0] == '"':
             return "", self.i
+        if not self.single and (m is None or m[0] == "\n") and self.s[start : self.i].endswith("\r"):
+            self.i -= 1
         return self.s[start : self.i], None
 
+    def _anchored(self, at: int) -> bool:
+        """Whether a whole record starts at the line start ``at``."""
+        if not _ANCHOR.match(self.s, at):
+            return False
+        end = self.s.find("\n", at)
+        line = Reader(_bare_line(self.s[at : end if end >= 0 else len(self.s)]), True)
+        fields, bad = line.record()
+        return bad is None and len(fields) == len(FIELDS)
+
+    def _swallows(self, start: int, end: int) -> bool:
+        nl = self.s.find("\n", start, end)
+        while nl >= 0:
+            if self._anchored(nl + 1):
+                return True
+            nl = self.s.find("\n", nl + 1, end)
+        return False
+
     def recover(self, start: int) -> None:
         """Moves to the first validated anchor behind ``start``, or to the end."""
         at = start
         while (nl := self.s.find("\n", at)) >= 0:
-            if _ANCHOR.match(self.s, nl + 1):
+            if self._anchored(nl + 1):
                 self.i = nl + 1
                 return
             at = nl + 1
@@ -151,10 +175,11 @@ def parse_lines(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
 
 
 def parse_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts that hold many records, such as whole files: one row per record with its number in the text.
+    """Texts that hold many records, such as whole files: one row per record with its number in the text, the line it starts
+    at, the lines it takes, and the place of its error in the text.
 
-    After a broken quote reading resumes at the next anchor, so one bad record never takes its
-    successors along.  Blank lines between records are passed over.  A null or empty text gives no rows.
+    After a broken quote reading resumes at the next anchor; lines up to there belong to the error.  A byte-order mark
+    before and a carriage return after a line don't belong to it; blank lines between records are passed over.  A null or empty text gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,9 +188,12 @@ def parse_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for key, text in zip(b["id"], b["text"]):
                 if not isinstance(text, str):
                     continue
-                r, n = Reader(text[1:] if text[:1] == "﻿" else text, False), 0
+                r, n, line = Reader(text, False), 0, 1
                 while r.i < len(r.s):
-                    if r.s[r.i] in "\r\n":
+                    if r.s[r.i] == "\n":
+                        r.i, line = r.i + 1, line + 1
+                        continue
+                    if r.s[r.i] == "\ufeff" or r._ends():
                         r.i += 1
                         continue
                     start = r.i
@@ -173,16 +201,19 @@ def parse_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if bad is not None:
                         r.recover(start)
                     reason, at = judge(fields, bad)
+                    taken = r.s.count("\n", start, r.i)
+                    # a recovered reader stands behind the last line's end
+                    lines = taken + (bad is None or r.i == len(r.s) and not r.s.endswith("\n"))
                     ids.append(key)
-                    out.append([n, *_row(fields, reason), reason, at])
-                    n += 1
+                    out.append([n, line, lines, *_row(fields, reason), reason, at])
+                    n, line = n + 1, line + taken
             if not out:
                 continue
-            f = pd.DataFrame(out, columns=["record_no", *FIELDS, "reason", "error_at"])
-            for c in ("record_no", "image_id", "error_at"):
+            f = pd.DataFrame(out, columns=["record_no", "line_no", "n_lines", *FIELDS, "reason", "error_at"])
+            for c in ("record_no", "line_no", "n_lines", "image_id", "error_at"):
                 f[c] = f[c].astype("Int64")
             f.insert(0, "id", ids)
             yield f
 
     slim = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    return over_keys(slim, "id", run, f"record_no int, {_OUT}").withColumnRenamed("id", id_col)
+    return over_keys(slim, "id", run, f"record_no int, line_no int, n_lines int, {_OUT}").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harbormill.session import written
+from harbormill.session import ship, written
 
 _PID, _MID, _RN, _CHUNK = "__pid", "__mid", "__rn", "__chunk"
 
@@ -99,6 +99,7 @@ def apply_per_key_chunk(df: DataFrame, key: str, fn: Callable, schema: str, chun
     The frame has the columns of ``df`` plus ``__chunk`` and ``__rn``; ``fn`` returns states with
     ``schema``, which the caller merges in chunk order.
     """
+    ship(df.sparkSession)
     numbered = number_within_key(df, key, stable).withColumn(_CHUNK, F.floor((F.col(_RN) - 1) / chunk_rows)).drop(_PID, _MID)
     return numbered.groupBy(key, _CHUNK).applyInPandas(fn, schema)
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harbormill.session import ship
+
 
 def sd(c: str | Column) -> Column:
     """Sample deviation, 0 for a single value."""
@@ -124,6 +126,7 @@ def bootstrap_mean(diffs: DataFrame, replicates: int = 10_000, seed: int = 2026)
     are rounded to 9 digits first.
     """
     spark = diffs.sparkSession
+    ship(spark)
     table = diffs.select(F.round("diff", 9).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     packed = table.agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("t"))
     blocks = spark.range(0, -(-replicates // 200)).withColumnRenamed("id", "block").crossJoin(F.broadcast(packed))
@@ -147,6 +150,7 @@ def bootstrap_mean(diffs: DataFrame, replicates: int = 10_000, seed: int = 2026)
 def hierarchical_bootstrap(runs: DataFrame, value: str, outer: str = "model_seed", inner: str = "corruption_seed", replicates: int = 20_000, seed: int = 2026) -> DataFrame:
     """(mean, lo, hi): outer seeds are resampled, and inside each its inner seeds; a grid of seeds is a few dozen rows."""
     spark = runs.sparkSession
+    ship(spark)
     cells = runs.groupBy(outer, inner).agg(F.avg(value).alias("x"))
     packed = cells.groupBy(outer).agg(F.transform(F.array_sort(F.collect_list(F.struct(inner, "x"))), lambda s: s["x"]).alias("xs")).agg(F.transform(F.array_sort(F.collect_list(F.struct(outer, "xs"))), lambda s: s["xs"]).alias("g"))
     blocks = spark.range(0, -(-replicates // 2000)).withColumnRenamed("id", "block").crossJoin(F.broadcast(packed))

@@ -11,6 +11,8 @@ from harbormill.session import table
 
 #: Shares from which a hotel counts as heavy.
 ROW_SHARE, IMAGE_FACTOR = 0.03, 50
+#: Rows of a chunk where hot keys are to be split at any size, and lines of a file.
+CHUNK, FILE_LINES = 50, 400
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +61,19 @@ def p3_hotel_images(spark: SparkSession, d: str) -> DataFrame:
     return s.select("img_hotel_id", "n", "n_values", F.col("total").cast("long").alias("n_chars"), F.col("low").cast("long").alias("shortest"), F.col("high").cast("long").alias("longest"))
 
 
+def p3_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Per-hotel results with chunks far smaller than the heavy hotels, which are split over many."""
+    s = skew.per_key_stats(_hotel_rows(spark, d), "img_hotel_id", "rating", chunk_rows=CHUNK, stable=True)
+    return s.select("img_hotel_id", "n", "n_values", F.round("total", 4).alias("total"), F.col("low").alias("lowest"), F.col("high").alias("highest"), "n_chunks")
+
+
+def p3_rating_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often each hotel has each rating, from states that a Python function makes of one chunk at a time."""
+    rows = _hotel_rows(spark, d).filter("img_hotel_id is not null and rating is not null and not isnan(rating)").select("img_hotel_id", F.col("rating").cast("double").alias("rating"))
+    states = skew.apply_per_key_chunk(rows, "img_hotel_id", lambda g: g.groupby(["img_hotel_id", "rating"]).size().rename("n").reset_index(), "img_hotel_id string, rating double, n long", CHUNK, stable=True)
+    return states.groupBy("img_hotel_id", "rating").agg(F.sum("n").alias("n"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     parsed = records.parse_lines(table(spark, d, "train_set_lines"), "line_id", "line")
     return parsed.filter("reason is not null").select("line_id", "reason").distinct()
@@ -74,6 +89,16 @@ def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy(F.coalesce("reason", F.lit("loaded")).alias("outcome")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files, made of ``FILE_LINES`` lines each, read with recovery: one row a record with its place and outcome."""
+    lines = table(spark, d, "train_set_lines").select("line_id", F.coalesce("line", F.lit("")).alias("line"))
+    file_no = F.floor(F.col("line_id") / FILE_LINES).cast("long").alias("file_no")
+    # a file has at most FILE_LINES lines, as line_id is unique
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "line"))), lambda x: x["line"]), "\n")
+    parsed = records.parse_texts(lines.groupBy(file_no).agg(text.alias("text")), "file_no", "text")
+    return parsed.select("file_no", F.col("line_no").cast("long").alias("line_no"), F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("reason", F.lit("loaded")).alias("outcome"), "image_id")
+
+
 def _normalised(spark: SparkSession, d: str) -> DataFrame:
     clock = table(spark, d, "source_clock")
     a = timestamps.normalise_times(table(spark, d, "merged_hotelrec"), "row_id", "timestamp", "source_dump", clock)
@@ -89,9 +114,34 @@ def p6_status(spark: SparkSession, d: str) -> DataFrame:
     return _normalised(spark, d).groupBy("table_name", "status", "format").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p6_withheld(spark: SparkSession, d: str) -> DataFrame:
+    """The readings chosen where the clock keeps each source's order of day and month to itself, against those it names.
+
+    One row a source: texts with several readings, how many of them the mixture reads as the clock does, otherwise or not at all,
+    the weight it gives to the day first, and the clock's word.
+    """
+    clock = table(spark, d, "source_clock")
+    out = None
+    for name, text, source in (("merged_hotelrec", "timestamp", "source_dump"), ("train_set", "upload_timestamp", "image_source")):
+        read = timestamps.read_all(table(spark, d, name), "row_id", text, source, clock)
+        counts = read.groupBy("source", "sig").agg(F.count(F.lit(1)).alias("n"))
+        told, learned = timestamps.mixture(counts, clock), timestamps.mixture(counts)
+        several = read.filter(F.size("instants") > 1)
+        a = timestamps.choose_readings(several, told, keep=("source", "sig", "instants", "statuses")).withColumnRenamed("epoch_ms", "want")
+        b = timestamps.choose_readings(a.select("id", "source", "sig", "instants", "statuses", "want"), learned, keep=("source", "want"))
+        both = b.groupBy("source").agg(
+            F.count(F.lit(1)).alias("n_open"), F.count_if(F.col("epoch_ms") == F.col("want")).alias("n_same"), F.count_if(F.col("epoch_ms") != F.col("want")).alias("n_other"), F.count_if(F.col("status") == "ambiguous").alias("n_ambiguous")
+        )
+        habits = learned.select(F.col("source").alias("s"), F.round("w_dmy", 4).alias("w_dmy"))
+        part = both.join(habits, F.col("source") == F.col("s")).join(clock.select(F.col("source_name").alias("c"), "day_first"), F.col("source") == F.col("c"), "left").drop("s", "c")
+        part = part.withColumn("table_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_alternatives, p2_unified, p3_found, p3_hotel_ratings, p3_hotel_images, p5_found, p5_loaded, p5_reasons, p6_found, p6_status)
+    for f in (p2_found, p2_alternatives, p2_unified, p3_found, p3_hotel_ratings, p3_hotel_images, p3_chunked, p3_rating_counts, p5_found, p5_loaded, p5_reasons, p5_files, p6_found, p6_status, p6_withheld)
 }
 
 _ID = "regexp_replace(nullif(trim({0}), ''), '^([0-9]+)\\.0+$', '\\1')"
@@ -117,7 +167,32 @@ judged AS (
   FROM named)
 """
 
+#: The fields of the loadable lines.
+_FIELDS = _LINES + r"""
+, f AS (
+  SELECT line_id, regexp_extract(s, '(?s)^("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*)$', ['a', 'b', 'c', 'd', 'e']) AS g
+  FROM named JOIN judged USING (line_id) WHERE reason IS NULL),
+u AS (SELECT line_id, list_transform([g.a, g.b, g.c, g.d, g.e], lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS v FROM f)
+"""
+#: A line starts a record anew if it reads as five fields, the first a whole number; lines between a broken quote and such a line belong to the error.
+_FILES = _LINES + rf"""
+, placed AS (
+  SELECT n.line_id, CAST(floor(n.line_id / {FILE_LINES}) AS BIGINT) AS file_no, n.s, j.reason, n.well AND n.n_fields = 5 AND regexp_matches(n.s, '^("[0-9]+"|[ ]*[0-9]+[ ]*),') AS anchor FROM named n JOIN judged j USING (line_id)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY file_no ORDER BY line_id) AS line_no FROM placed),
+past AS (
+  SELECT *, max(CASE WHEN reason = 'quoting' THEN line_no END) OVER b AS broken, max(CASE WHEN anchor THEN line_no END) OVER b AS sound
+  FROM numbered WINDOW b AS (PARTITION BY file_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+taken AS (SELECT *, NOT anchor AND broken IS NOT NULL AND broken > coalesce(sound, 0) AS lost FROM past),
+heads AS (SELECT *, count(CASE WHEN NOT lost THEN 1 END) OVER (PARTITION BY file_no ORDER BY line_no) AS region FROM taken)
+"""
+
 ORACLE = {
+    "p5_loaded": _FIELDS + r"""
+SELECT line_id, CASE WHEN regexp_full_match(trim(v[1], ' '), '[0-9]{1,18}') THEN CAST(trim(v[1], ' ') AS BIGINT) END AS image_id,
+  regexp_extract(trim(v[2], ' '), '^0*([1-9][0-9]*)', 1) AS hotel_id, trim(v[3], ' ') AS image_url, nullif(v[4], '') AS image_source, nullif(v[5], '') AS upload_timestamp FROM u""",
+    "p5_files": _FILES + r"""
+, g AS (SELECT file_no, region, min(line_no) AS line_no, count(*) AS n_lines, arg_min(coalesce(reason, 'loaded'), line_no) AS outcome, arg_min(s, line_no) AS s FROM heads GROUP BY 1, 2)
+SELECT file_no, line_no, n_lines, outcome, CASE WHEN outcome = 'loaded' THEN TRY_CAST(nullif(regexp_extract(s, '^"?[ ]*([0-9]{1,18})[ ]*"?,', 1), '') AS BIGINT) END AS image_id FROM g WHERE NOT (s = '' AND n_lines = 1)""",
     "p3_found": f"""
 WITH r AS ({_RATED}), c AS (SELECT img_hotel_id, count(*) AS n FROM r WHERE img_hotel_id IS NOT NULL GROUP BY 1)
 SELECT 'multimodal_interactions_v3' AS table_name, img_hotel_id FROM c WHERE n >= {ROW_SHARE} * (SELECT sum(n) FROM c)
@@ -128,6 +203,12 @@ WHERE {_ID.format('img_hotel_id')} IS NOT NULL AND image_count >= {IMAGE_FACTOR}
 WITH r AS ({_RATED})
 SELECT img_hotel_id, count(*) AS n, count(rating) AS n_values, round(sum(rating), 4) AS total, min(rating) AS lowest, max(rating) AS highest
 FROM r WHERE img_hotel_id IS NOT NULL GROUP BY 1""",
+    "p3_chunked": f"""
+WITH r AS ({_RATED})
+SELECT img_hotel_id, count(*) AS n, count(rating) AS n_values, round(sum(rating), 4) AS total, min(rating) AS lowest, max(rating) AS highest, CAST(ceil(count(*) / {CHUNK}) AS BIGINT) AS n_chunks
+FROM r WHERE img_hotel_id IS NOT NULL GROUP BY 1""",
+    "p3_rating_counts": f"""
+WITH r AS ({_RATED}) SELECT img_hotel_id, rating, count(*) AS n FROM r WHERE img_hotel_id IS NOT NULL AND rating IS NOT NULL GROUP BY 1, 2""",
     "p3_hotel_images": f"""
 WITH r AS (SELECT {_ID.format('img_hotel_id')} AS img_hotel_id, unnest(available_images) AS url FROM item_images_v3)
 SELECT img_hotel_id, count(*) AS n, count(url) AS n_values, sum(length(url))::BIGINT AS n_chars, min(length(url)) AS shortest, max(length(url)) AS longest FROM r WHERE img_hotel_id IS NOT NULL GROUP BY 1""",

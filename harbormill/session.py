@@ -36,12 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is read from ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    It is read from ``spark.checkpoint.dir``.  Only where that is unset and all runs on one machine, as in
+    tests, a temporary folder takes its place; on a cluster this is an error, since executors would write to their own disks.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="harbormill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 def over_keys(df: DataFrame, key: str, run, schema: str) -> DataFrame:
     """``df.mapInPandas(run)`` with the key as text in between, since a null among whole numbers would turn
     them into floats in pandas.  ``schema`` has the columns behind the key."""
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     out = df.withColumn(key, df[key].cast("string")).mapInPandas(run, f"{key} string, {schema}")
     return out if kind == "string" else out.withColumn(key, out[key].cast(kind))

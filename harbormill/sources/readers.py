@@ -80,8 +80,10 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def signature(*cols: Column) -> Column:
-    """The first 16 hex digits of a hash of the columns in canonical form."""
-    return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 16)
+    """The first 16 hex digits of a hash of the columns in canonical form: separators inside values are escaped and nulls are
+    told from every text, so different rows have different forms."""
+    plain = [F.coalesce(F.regexp_replace(c.cast("string"), r"([\\|])", r"\\$1"), F.lit(r"\N")) for c in cols]
+    return F.substring(F.sha2(F.concat_ws("|", *plain), 256), 1, 16)
 
 
 def write_single_csv(df: DataFrame, path: str) -> None:

@@ -74,3 +74,27 @@ def test_very_long_line(spark):
 def test_round_trip_of_written_fields(fields):
     line = ",".join('"' + f.replace('"', '""') + '"' for f in fields)
     assert Reader(line, True).record() == (fields, None)
+
+
+def test_recovery_resumes_at_validated_records_only(spark, rows):
+    """A stray quote must not take sound records along, whatever comes after it, and lines that are no records belong to the error."""
+    good = ["1,11,http://a.b/1,x,t", '2,12,"http://a.b/2",x,t', "3,13,http://a.b/3,x,t"]
+    text = "\r\n".join([good[0], '4,"14,http://a.b/4,x,t', "5,half a record", good[1], '6,16",http://a.b/6,x,t', good[2], "7,1", "", '8,18,"http://a.b/', '8",x,t', "9,19,http://a.b/9,x,t"])
+    df = spark.createDataFrame([("f", "﻿" + text + "\n")], "id string, text string")
+    got = [(r["line_no"], r["n_lines"], r["reason"], r["image_id"]) for r in parse_texts(df, "id", "text").orderBy("record_no").collect()]
+    assert got == [
+        (1, 1, None, 1), (2, 2, "quoting", None), (4, 1, None, 2), (5, 1, "quoting", None), (6, 1, None, 3),
+        (7, 1, "column_count", None), (9, 2, "image_url", None), (11, 1, None, 9),
+    ]
+
+
+def test_a_quote_that_closes_behind_a_sound_record_is_broken(spark):
+    text = '1,"11,http://a.b/1,x,t\n2,12,http://a.b/2,x,t\n3,13",http://a.b/3,x,t'
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert [(r["line_no"], r["reason"]) for r in parse_texts(df, "id", "text").orderBy("record_no").collect()] == [(1, "quoting"), (2, None), (3, "quoting")]
+
+
+def test_carriage_returns_inside_a_record_stay(spark):
+    df = spark.createDataFrame([(1, "1,11,http://a.b/1,x\ry,t\r\n2,12,http://a.b/2,x,t\r")], "id long, text string")
+    got = parse_texts(df, "id", "text").orderBy("record_no").collect()
+    assert [(r["image_id"], r["image_source"], r["upload_timestamp"]) for r in got] == [(1, "x\ry", "t"), (2, "x", "t")]

@@ -424,3 +424,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 3
+
+
+def test_signatures_tell_nulls_and_separators_apart(spark):
+    from pyspark.sql import functions as F
+
+    from harbormill.sources.readers import signature
+
+    rows = [("a", None, "b"), ("a", "b", None), ("a|b", "c", "d"), ("a", "b|c", "d"), ("\\N", "x", "y"), (None, "x", "y"), ("a", "", "b")]
+    df = spark.createDataFrame(rows, "a string, b string, c string").select(signature(F.col("a"), F.col("b"), F.col("c")).alias("s"))
+    assert len({r["s"] for r in df.collect()}) == len(rows)

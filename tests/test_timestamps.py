@@ -85,3 +85,34 @@ def test_normalise_times(spark, rows):
     got = rows(normalise_times(df, "row_id", "t", "s", clock(spark)), "row_id", "epoch_ms", "status")
     assert got == sorted([(1, ms(2020, 5, 6, 4), "ok")] * 2 + [(2, ms(2020, 6, 4, 22), "ok"), (3, None, "ambiguous"), (4, None, "ambiguous"), (5, None, "missing"), (6, 1609589072000, "ok")], key=str)
     assert normalise_times(df.limit(0), "row_id", "t", "s", clock(spark)).count() == 0
+
+
+def test_all_formats_of_a_source_share_its_order(spark):
+    """Slashes teach what the same source's dashes, short years and eight digits mean; a source without evidence stays ambiguous."""
+    sure = [f"{d}/03/2020" for d in range(13, 29)]
+    open_ = ["05-06-2020", "05/06/20", "05062020"]
+    rows_ = [(k, t, "learns") for k, t in enumerate(sure + open_)] + [(100 + k, t, "nothing") for k, t in enumerate(open_)]
+    df = spark.createDataFrame(rows_, "id long, t string, s string")
+    zones = spark.createDataFrame([("learns", "UTC", None), ("nothing", "UTC", None)], "source_name string, tz_name string, day_first boolean")
+    got = {r["id"]: (r["epoch_ms"], r["status"]) for r in normalise_times(df, "id", "t", "s", zones).collect()}
+    want = ms(2020, 6, 5)
+    assert got[16] == (want, "ok") and got[18] == (want, "ok")
+    # a short year may also come first
+    assert got[17] in ((want, "ok"), (None, "ambiguous"))
+    assert [got[100 + k][1] for k in range(3)] == ["ambiguous"] * 3
+
+
+def test_letters_of_another_zone(spark):
+    assert read_time("2020-01-01 10:00 PST", PARIS, True)[:2] == (None, "foreign_zone")
+    assert read_time("2020-01-01 10:00 CET", PARIS, True)[0] == ms(2020, 1, 1, 9)
+
+
+def test_both_orders_alike(spark):
+    for first in (True, False, None):
+        assert read_time("05/05/2020", "UTC", first)[0] == ms(2020, 5, 5)
+
+
+def test_a_source_with_two_habits_has_none(spark):
+    two = spark.createDataFrame([("x", "UTC", True), ("x", "UTC", False)], "source_name string, tz_name string, day_first boolean")
+    df = spark.createDataFrame([(1, "05/06/2020", "x")], "id long, t string, s string")
+    assert [r["status"] for r in normalise_times(df, "id", "t", "s", two).collect()] == ["ambiguous"]
