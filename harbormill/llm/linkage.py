@@ -2,12 +2,14 @@
 
 1. Every record becomes a set of attributes: postcode, map cells, pairs of town and name
    words.  Records of the two sources that share attributes are linked; the rarer the
-   shared attributes, the heavier the link.
+   shared attributes, the heavier the link.  A block of many pairs is divided by the towns of its records with a
+   slip allowed, which parts no pair whose towns agree.
 2. Meta-blocking drops links much lighter than the best ones of their records.
 3. Each remaining pair is compared in full (names word by word with misspellings,
-   quarter, chain, town, postcode, distance).
+   quarter, chain, town, postcode, distance); the weight of its link adds to the score.
 4. Scores are refined until stable: a pair loses to rivals that explain the same record
-   better and gains from a twin, a second record of the same source that is alike.
+   better and gains from its neighbours, pairs of the same left record with right records that are alike.
+5. Confidence is fitted on a bounded sample of pairs whose postcodes tell whether they are one, from scores without the postcode.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harbormill.session import written
+from harbormill.session import ship, written
 
 #: Short forms in names.
 SHORT = {
@@ -40,9 +43,13 @@ GENERIC = frozenset(
 QUARTERS = frozenset("north south east west airport downtown university riverside harbour old town convention center railway station central beachfront midtown uptown lakeside".split())
 #: Edges of a record that meta-blocking keeps at least, and the share of its heaviest edge that others need.
 KEEP_EDGES, KEEP_SHARE = 6, 0.35
-#: Pairs that one attribute may link on its own; a larger block is divided by a second attribute of its records.
+#: Pairs from which on a block is divided by the towns of its records.
 BLOCK = 400
 ROUNDS, SETTLED = 6, 1e-3
+#: What a link twice as heavy (by a factor of e) as usual adds to a score.
+RARITY = 0.25
+#: Pairs that the confidence is fitted on, at most, in the order of a hash.
+SAMPLE = 20_000
 
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -157,6 +164,19 @@ def _match(a: list[str], b: list[str]) -> int:
     return n
 
 
+def town_keys(town: list[str]) -> list[str]:
+    """Keys that two lists of town words share if a word of one equals one of the other but for a slip, as ``near`` has it."""
+    out: dict[str, None] = {}
+    for w in town:
+        if len(w) < 4:
+            continue
+        layer = {w}
+        for _ in range(1 if len(w) < 9 else 2):
+            layer |= {x[:k] + x[k + 1 :] for x in layer for k in range(len(x))}
+        out |= dict.fromkeys(sorted(layer))
+    return list(out)
+
+
 def compare(a: dict, b: dict) -> float:
     """Similarity of two records in log-odds; a and b have town, names (lists of words), code, lat, lon."""
     score = -3.0
@@ -230,8 +250,8 @@ def _prepare(df: DataFrame, key: str, names: list[str], town: list[str], code: s
                 lo = None if r.lon is None or r.lon != r.lon else float(r.lon)
                 if la is None or lo is None or (la == 0 and lo == 0):  # no place at all
                     la = lo = None
-                out.append((r.key, places, [" ".join(w) for w in spelt], own, la, lo, attributes(places, spelt, own, la, lo, spread)))
-            yield pd.DataFrame(out, columns=["key", "town", "names", "code", "lat", "lon", "attrs"])
+                out.append((r.key, places, [" ".join(w) for w in spelt], own, la, lo, attributes(places, spelt, own, la, lo, spread), town_keys(places)))
+            yield pd.DataFrame(out, columns=["key", "town", "names", "code", "lat", "lon", "attrs", "tkeys"])
 
     def first(c: str):
         return F.max(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) if c in (lat, lon) else F.col(c))
@@ -244,7 +264,8 @@ def _prepare(df: DataFrame, key: str, names: list[str], town: list[str], code: s
         first(lon).alias("lon"),
     )
     kind = slim.schema["key"].dataType.simpleString()
-    return slim.mapInPandas(run, f"key {kind}, town array<string>, names array<string>, code string, lat double, lon double, attrs array<string>")
+    ship(df.sparkSession)
+    return slim.mapInPandas(run, f"key {kind}, town array<string>, names array<string>, code string, lat double, lon double, attrs array<string>, tkeys array<string>")
 
 
 def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -257,17 +278,21 @@ def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     total = F.log(F.lit(2.0) + F.col("pairs"))
     fits = sizes.filter(F.col("pairs") <= BLOCK).select("attr", (F.lit(8.0) / total).alias("w"))
     large = sizes.filter(F.col("pairs") > BLOCK).select("attr")
-    links = pa.join(fits, "attr").join(pb, "attr").select("a", "b", "w")
-
-    # a large block is divided: its records have to share a second attribute with it
-    def divided(p: DataFrame, key: str) -> DataFrame:
-        inside = p.join(large, "attr").select(key, F.col("attr").alias("first"))
-        return inside.join(p.select(key, "attr"), key).filter(F.col("attr") != F.col("first")).select(key, F.concat_ws("&", F.least("first", "attr"), F.greatest("first", "attr")).alias("attr")).distinct()
-
-    da, db = divided(pa, "a"), divided(pb, "b")
-    sub = da.groupBy("attr").agg(F.count(F.lit(1)).alias("na")).join(db.groupBy("attr").agg(F.count(F.lit(1)).alias("nb")), "attr")
-    sub = sub.select("attr", (F.lit(8.0) / F.log(F.lit(2.0) + F.col("na") * F.col("nb"))).alias("w"))
-    links = links.unionByName(da.join(sub, "attr").join(db, "attr").select("a", "b", "w"))
+    links = pa.join(fits, "attr").join(pb, "attr").select("a", "b", "attr", "w")
+
+    # a large block is divided by town: a pair needs towns that agree but for a slip, or a side without any
+    def divided(p: DataFrame, records: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        towns = records.select(F.col("key").alias(key), "tkeys")
+        keys = F.concat("tkeys", F.array(F.lit(other)), F.when(F.size("tkeys") == 0, F.array(F.lit(own))).otherwise(F.array().cast("array<string>")))
+        return p.join(large, "attr").join(towns, key).select(key, "attr", F.explode(keys).alias("town"))
+
+    da, db = divided(pa, a, "a", "-a", "-b"), divided(pb, b, "b", "-b", "-a")
+    part = ["attr", "town"]
+    sub = da.groupBy(*part).agg(F.count(F.lit(1)).alias("na")).join(db.groupBy(*part).agg(F.count(F.lit(1)).alias("nb")), part)
+    sub = sub.select(*part, (F.lit(8.0) / F.log(F.lit(2.0) + F.col("na") * F.col("nb"))).alias("w"))
+    # towns that share several keys link once, by their rarest
+    again = da.join(sub, part).join(db, part).groupBy("a", "b", "attr").agg(F.max("w").alias("w"))
+    links = links.unionByName(again)
     edges = links.groupBy("a", "b").agg(F.sum("w").alias("weight"))
     # weighted node pruning: an edge stays if it is among the heaviest of either end
     for k in ("a", "b"):
@@ -277,10 +302,13 @@ def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     return edges.filter(keep[0] | keep[1]).select("a", "b", "weight")
 
 
+_RECORD = ("town", "names", "code", "lat", "lon")
+
+
 def _scored(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    cols = ["town", "names", "code", "lat", "lon"]
-    left = a.select(F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    right = b.select(F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    """(a, b, weight, own, blind, same_code): compared pairs; ``blind`` leaves the postcodes out and ``same_code`` says whether they are equal, null where one is missing."""
+    left = a.select(F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in _RECORD])
+    right = b.select(F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in _RECORD])
     full = edges.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,50 +316,92 @@ def _scored(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
             return None if x is None or x != x else x
 
         for f in batches:
-            out = []
+            own, blind, same = [], [], []
             for r in f.itertuples(index=False):
                 x = {"town": list(r.town_a), "names": [n.split() for n in r.names_a], "code": r.code_a, "lat": none(r.lat_a), "lon": none(r.lon_a)}
                 y = {"town": list(r.town_b), "names": [n.split() for n in r.names_b], "code": r.code_b, "lat": none(r.lat_b), "lon": none(r.lon_b)}
-                out.append(compare(x, y))
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "own": out})
+                own.append(compare(x, y))
+                both = len(x["code"]) >= 5 and len(y["code"]) >= 5
+                blind.append(compare(dict(x, code=""), y) if both else own[-1])
+                same.append(x["code"] == y["code"] if both else None)
+            yield pd.DataFrame({"a": f["a"], "b": f["b"], "weight": f["weight"], "own": own, "blind": blind, "same_code": pd.array(same, dtype="boolean")})
 
+    ship(edges.sparkSession)
     ka, kb = edges.schema["a"].dataType.simpleString(), edges.schema["b"].dataType.simpleString()
-    return full.mapInPandas(run, f"a {ka}, b {kb}, own double").filter("own > -4")
+    return full.mapInPandas(run, f"a {ka}, b {kb}, weight double, own double, blind double, same_code boolean")
+
+
+def _alike(pairs: DataFrame, b: DataFrame) -> DataFrame:
+    """(t1, t2, likeness): right records that compete for one left record and are alike themselves, both ways."""
+    rivals = pairs.select("a", F.col("b").alias("t1")).join(pairs.select("a", F.col("b").alias("t2")), "a").filter("t1 < t2").select(F.col("t1").alias("a"), F.col("t2").alias("b")).distinct()
+    scored = _scored(rivals.withColumn("weight", F.lit(1.0)), b, b).filter("own > 0")
+    likeness = 1 / (1 + F.exp(-F.col("own")))
+    return scored.select(F.col("a").alias("t1"), F.col("b").alias("t2"), likeness.alias("likeness")).unionByName(scored.select(F.col("b").alias("t1"), F.col("a").alias("t2"), likeness.alias("likeness")))
+
 
+def fit_confidence(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """(slope, shift) of a logistic curve of the scores by Newton's method; ten pseudo-pairs along the plain curve steady it."""
+    z = np.linspace(-4, 4, 10)
+    p0 = 1 / (1 + np.exp(-z))
+    x, y, n = np.concatenate([x, z, z]), np.concatenate([y, np.ones(10), np.zeros(10)]), np.concatenate([np.ones(len(x)), p0, 1 - p0])
+    w = np.array([1.0, 0.0])
+    m = np.stack([x, np.ones(len(x))], 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
+        h = (m * (n * p * (1 - p))[:, None]).T @ m + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, m.T @ (n * (y - p)))
+        w = w + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(w[0], 1e-3)), float(w[1])
 
-def link(a: DataFrame, b: DataFrame, twins: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b, own, score, confidence) for every compared pair of prepared records (``_prepare``).
+
+def link(a: DataFrame, b: DataFrame, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
+    """(a, b, own, blind, same_code, score, held_out, confidence, blind_confidence) for every compared pair of prepared records (``_prepare``).
 
     Each round takes from a pair what the best rival for the same ``b`` has ahead of it, and lends it part of
-    what its twins (pairs of ``b`` records that are alike) have; it ends when no score moves by more than ``SETTLED``.
+    what its neighbours have, as far as they are alike; it ends when no score moves by more than ``SETTLED``.
     """
-    pairs = written(_scored(_candidates(a, b), a, b), "pairs")
-    state = pairs.withColumn("score", F.col("own"))
+    pairs = written(_scored(_candidates(a, b), a, b).filter("own > -4"), "pairs")
+    usual = pairs.agg(F.avg(F.log("weight")).alias("usual"))
+    base = pairs.crossJoin(F.broadcast(usual)).withColumn("base", F.col("own") + F.least(F.lit(1.0), F.greatest(F.lit(-1.0), RARITY * (F.log("weight") - F.col("usual")))))
+    keep = ["a", "b", "own", "blind", "same_code", "base"]
+    state = written(base.select(*keep).withColumn("score", F.col("base")), "scores")
+    alike = written(_alike(pairs, b), "alike") if rounds else None
     for _ in range(rounds):
         rivals = W.partitionBy("b").orderBy(F.desc("score"), "a")
         best = W.partitionBy("b")
         step = state.withColumn("top", F.max("score").over(best)).withColumn("rk", F.row_number().over(rivals))
         second = F.max(F.when(F.col("rk") == 2, F.col("score"))).over(best)
         step = step.withColumn("rival", F.when(F.col("rk") == 1, second).otherwise(F.col("top")))
-        if twins is not None:
-            lent = (
-                twins.join(state.select(F.col("b").alias("t2"), F.col("a").alias("ta"), F.col("score").alias("ts")), "t2")
-                .groupBy(F.col("t1").alias("tb"), "ta")
-                .agg(F.max("ts").alias("lent"))
-            )
-            step = step.join(lent, (F.col("b") == F.col("tb")) & (F.col("a") == F.col("ta")), "left")
-        else:
-            step = step.withColumn("lent", F.lit(None).cast("double"))
+        lent = (
+            alike.join(state.select(F.col("b").alias("t2"), F.col("a").alias("ta"), F.col("score").alias("ts")), "t2")
+            .groupBy(F.col("t1").alias("tb"), "ta")
+            .agg(F.max(F.col("likeness") * F.col("ts")).alias("lent"))
+        )
+        step = step.join(lent, (F.col("b") == F.col("tb")) & (F.col("a") == F.col("ta")), "left")
         ahead = F.greatest(F.lit(0.0), F.coalesce(F.col("rival") - F.col("score"), F.lit(0.0)))
         gain = F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.coalesce(F.col("lent"), F.lit(0.0))) * 0.4)
-        new = F.col("own") + gain - F.least(F.lit(4.0), 1.5 * ahead)
-        step = step.select("a", "b", "own", "score", new.alias("new"))
-        step = written(step, "scores")
+        new = F.col("base") + gain - F.least(F.lit(4.0), 1.5 * ahead)
+        step = written(step.select(*keep, "score", new.alias("new")), "scores")
         moved = step.agg(F.max(F.abs(F.col("new") - F.col("score")))).first()[0]
-        state = step.select("a", "b", "own", F.col("new").alias("score"))
+        state = step.select(*keep, F.col("new").alias("score"))
         if moved is None or moved <= SETTLED:
             break
-    return state.withColumn("confidence", 1 / (1 + F.exp(-F.col("score"))))
+    # what rivals and neighbours have changed counts in the fit as well; only the postcode is left out
+    blind = F.col("score") - F.col("own") + F.col("blind")
+    state = state.withColumn("held_out", F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 1)
+    told = state.filter("same_code is not null and not held_out").select(blind.alias("x"), F.col("same_code").cast("int").alias("y"), F.xxhash64("b", "a").alias("h"))
+    seen = told.orderBy("h", "x").limit(sample).toPandas()
+    slope, shift = fit_confidence(seen["x"].to_numpy(float), seen["y"].to_numpy(float))
+    curve = lambda x: 1 / (1 + F.exp(-(slope * x + shift)))
+    return state.withColumn("confidence", curve(F.col("score"))).withColumn("blind_confidence", curve(blind))
+
+
+def calibration(scored: DataFrame) -> DataFrame:
+    """(lowest, n, mean_confidence, share_same): pairs held out of the fit by tenths of the confidence they get without the postcode, and how many share it."""
+    held = scored.filter("held_out and same_code is not null").withColumn("lowest", F.floor(F.least(F.col("blind_confidence"), F.lit(0.999)) * 10) / 10)
+    return held.groupBy("lowest").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("blind_confidence"), 4).alias("mean_confidence"), F.round(F.avg(F.col("same_code").cast("int")), 4).alias("share_same"))
 
 
 def _towns_by_place(rows: DataFrame) -> DataFrame:
@@ -351,13 +421,8 @@ def _with_known_town(side: DataFrame, others: DataFrame) -> DataFrame:
     return asking.join(best, "place", "left").drop("place")
 
 
-def match_hotels(images: DataFrame, registry: DataFrame, sure: float = 0.5) -> DataFrame:
-    """(ta_hotel_id, hotel_info_id, confidence): the pairs of records of one hotel.
-
-    The town of an image row is also read from its ``ta_hotel_id``.  Rows delivered twice count once with all
-    their spellings; null keys are left out; null or empty names and places only take away evidence; an empty
-    side gives no pairs; extra columns are not read.
-    """
+def hotel_links(images: DataFrame, registry: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``link`` of image rows (a is ta_hotel_id) and registry records (b is id)."""
     slug = F.regexp_extract("ta_hotel_id", r"-Reviews-(.*)-[^-]*\.html?", 1)
     town = F.regexp_replace(F.regexp_extract("ta_hotel_id", r"-([^-]*)\.html?$", 1), "_", " ")
     left = images.select(
@@ -369,8 +434,15 @@ def match_hotels(images: DataFrame, registry: DataFrame, sure: float = 0.5) -> D
     right = registry.select(F.col("id").alias("hid"), F.col("hotel_name").alias("n1"), city.alias("town"), F.col("postcode").alias("code"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     right = _with_known_town(right, left.select(F.coalesce("t1", "t2").alias("town"), "code", "lat", "lon"))
     b = written(_prepare(right, "hid", ["n1"], ["town", "t9"], "code", "lat", "lon", False), "right")
-    # registry records with one postcode are each other's twins; blocks of more than a few are no twins
-    codes = b.filter(F.length("code") >= 5).select(F.col("key").alias("k"), "code", F.count(F.lit(1)).over(W.partitionBy("code")).alias("n")).filter("n between 2 and 4")
-    twins = codes.select(F.col("k").alias("t1"), "code").join(codes.select(F.col("k").alias("t2"), "code"), "code").filter("t1 != t2").select("t1", "t2")
-    scored = link(a, b, twins)
+    return link(a, b, rounds)
+
+
+def match_hotels(images: DataFrame, registry: DataFrame, sure: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+    """(ta_hotel_id, hotel_info_id, confidence): the pairs of records of one hotel.
+
+    The town of an image row is also read from its ``ta_hotel_id``.  Rows delivered twice count once with all
+    their spellings; null keys are left out; null or empty names and places only take away evidence; an empty
+    side gives no pairs; extra columns are not read.
+    """
+    scored = hotel_links(images, registry, rounds)
     return scored.filter(F.col("confidence") > sure).select(F.col("a").alias("ta_hotel_id"), F.col("b").cast("long").alias("hotel_info_id"), "confidence")

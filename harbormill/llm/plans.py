@@ -23,6 +23,10 @@ def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
     return linkage.match_hotels(table(spark, d, "item_images_v3"), table(spark, d, "hotel_info"), sure=0.02)
 
 
+def p4_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.calibration(linkage.hotel_links(table(spark, d, "item_images_v3"), table(spark, d, "hotel_info")))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), 2048)
 
@@ -60,5 +64,5 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("score") > 0.5).alias("n_spam"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_confidence, p7_packed, p7_packed_512, p7_fill, p8_found, p8_clean, p9_found, p9_hosts)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_confidence, p4_calibration, p7_packed, p7_packed_512, p7_fill, p8_found, p8_clean, p9_found, p9_hosts)}
 ORACLE: dict[str, str] = {}

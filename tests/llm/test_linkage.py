@@ -65,3 +65,46 @@ def test_empty_sides_and_long_names(spark):
 @pytest.mark.parametrize("a,b,same", [("wharf", "whraf", True), ("resort", "rseort", True), ("pond", "bond", True), ("elm", "ash", False), ("lagoon", "brook", False), ("barathaven", "barathavne", True)])
 def test_near(a, b, same):
     assert linkage.near(a, b) is same
+
+
+def test_neighbours_and_rivals_decide(spark):
+    """Pairs too weak by themselves are found through a record that is alike and matches, and equal names in two towns are told apart
+    by the better rival; without rounds both go wrong."""
+    words = ["amber", "birch", "cedar", "delta", "eagle", "frost"]
+    a = [(f"{x} wharf hotel", "Torelville", 10.0 + k, 20.0 + k, None) for k, x in enumerate(words)]
+    b = [(k, f"{x} wharf hotel", "Torelville", 10.001 + k, 20.001 + k, f"AB{k}2 345C") for k, x in enumerate(words)]
+    b += [(100 + k, f"{x} lodge", "Torelville", None, None, f"AB{k}2345C") for k, x in enumerate(words)]
+    want = sorted([(k, k) for k in range(6)] + [(k, 100 + k) for k in range(6)])
+    rounds = found(linkage.match_hotels(images(spark, a), registry(spark, b)))
+    none = found(linkage.match_hotels(images(spark, a), registry(spark, b), rounds=0))
+    assert rounds == want and set(none) < set(want)
+    a = [("silver pond", "Torelville", 10.0, 20.0, None), ("silver pond brook", "Torelville", None, None, None)]
+    b = [(1, "silver pond", "Torelville", 10.0, 20.0, None), (2, "silver pond brook", "Torelville", None, None, None)]
+    assert found(linkage.match_hotels(images(spark, a), registry(spark, b))) == [(0, 1), (1, 2)]
+    assert (1, 1) in found(linkage.match_hotels(images(spark, a), registry(spark, b), rounds=0))
+
+
+def test_divided_blocks_keep_pairs_with_a_single_attribute(spark, monkeypatch):
+    """Every record shares the same two words; towns have slips or are missing, and no other attribute links."""
+    monkeypatch.setattr(linkage, "BLOCK", 20)
+    towns = ["torelville", "barmouthby", "caskenholm", "draolstede", "elmerwick", "fenstoke", "garlington", "holtenham"]
+    a = [("saffron lantern", t, None, None, None) for t in towns]
+    b = [(k, "saffron lantern", t[:4] + t[5] + t[4] + t[6:], None, None, None) for k, t in enumerate(towns)]
+    assert found(linkage.match_hotels(images(spark, a), registry(spark, b))) == [(k, k) for k in range(len(towns))]
+
+
+@pytest.mark.parametrize("a,b", [("torelville", "torelvlile"), ("wharf", "warf"), ("barathaven", "brathavem"), ("elmerwick", "elmerwick")])
+def test_town_keys_meet_where_towns_are_near(a, b):
+    assert linkage.near(a, b) and set(linkage.town_keys([a])) & set(linkage.town_keys([b]))
+
+
+def test_confidence_follows_the_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=5000) * 4
+    y = (rng.random(5000) < 1 / (1 + np.exp(-(0.7 * x - 1)))).astype(float)
+    slope, shift = linkage.fit_confidence(x, y)
+    assert abs(slope - 0.7) < 0.08 and abs(shift + 1) < 0.15
+    slope, shift = linkage.fit_confidence(np.zeros(0), np.zeros(0))
+    assert abs(slope - 1) < 1e-3 and abs(shift) < 1e-6
