@@ -5,7 +5,8 @@
 2. Items are dealt by hash into blocks of a bounded number of items.  Every block is
    packed by several islands that evolve independently: a crossover injects whole well-filled
    bins of one parent into the other, bins that now hold an item twice are dissolved, and
-   their other items are put where they fit best.
+   their other items first take the place of one or two smaller ones in a bin that this fills
+   better, and then go where they fit best.
 3. After each round the best packing of an island migrates to the next island of the block.
 4. Items of the bins left open go into the blocks of the next, far smaller level, until one
    block is left.
@@ -29,8 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer cuts text before merging bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_ITEMS, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2_000, 2, 2, 5, 6
-#: A bin filled less than this goes to the next level, as long as one more level has fewer blocks.
-OPEN_BELOW = 0.995
+#: A bin filled less than this is opened again on the next level, but never more than half of a level's bins.
+OPEN_BELOW = 0.999
 _MEMORY = 500_000
 
 
@@ -97,6 +98,40 @@ class _Bins:
             bisect.insort(room, (f - s, b))
 
 
+    def swap(self, displaced: list[int], rng: np.random.Generator, tries: int = 60) -> list[int]:
+        """Lets displaced items take the place of one or two items of a bin where they leave less room; returns what is displaced now.
+
+        Up to ``tries`` bins with room, in random order, are looked at; an exchange always fills its bin better, so this ends.
+        """
+        sizes = self.sizes
+        open_ = [b for b, f in enumerate(self.free) if f]
+        if not open_ or not displaced:
+            return displaced
+        out = sorted(displaced, key=lambda i: -sizes[i])
+        for b in rng.permutation(open_)[:tries].tolist():
+            items, free = self.bins[b], self.free[b]
+            best = (0, -1, ())
+            have: dict[int, int] = {}
+            for at, i in enumerate(out):
+                have.setdefault(sizes[i], at)
+            wanted = sorted(have)
+            # exchanges of one item or two for one displaced item that is larger by at most the bin's room
+            for x in range(len(items)):
+                for y in range(x, len(items)):
+                    gone = sizes[items[x]] + (sizes[items[y]] if y > x else 0)
+                    k = bisect.bisect_right(wanted, gone + free) - 1
+                    if k >= 0 and wanted[k] - gone > best[0]:
+                        best = (wanted[k] - gone, have[wanted[k]], (x, y) if y > x else (x,))
+            if best[1] >= 0:
+                back = [items[k] for k in best[2]]
+                self.bins[b] = [i for k, i in enumerate(items) if k not in best[2]] + [out[best[1]]]
+                self.room.pop(bisect.bisect_left(self.room, (free, b)))
+                self.free[b] = free - best[0]
+                bisect.insort(self.room, (self.free[b], b))
+                out[best[1] : best[1] + 1] = back
+        return out
+
+
 def fitness(free: list[int], capacity: int) -> float:
     """Mean square of the fill: of two packings with equal bins the one with fuller ones wins."""
     if not free:
@@ -127,6 +162,7 @@ def cross(a: _Bins, b: _Bins, place: list[int], sizes: list[int], capacity: int,
             displaced += [i for i in items if i not in taken]
         else:
             child.open(list(items))
+    displaced = child.swap(displaced, rng)
     displaced.sort(key=place.__getitem__)
     child.fit(displaced)
     return child
@@ -236,17 +272,18 @@ def pack(
         # the last level is one block; its genes get more time
         more = 1 if blocks > 1 else 4
         result = written(_level(items, capacity, level, blocks, islands, rounds, population, generations * more), "level")
-        closed = result if blocks == 1 else result.filter(F.col("fill") >= OPEN_BELOW)
+        bar = OPEN_BELOW
+        if blocks > 1:
+            # at least the fuller half of the bins is closed, so that every level has at most about half of the items
+            middle = result.groupBy("block", "bin").agg(F.first("fill").alias("fill")).agg(F.percentile_approx("fill", F.lit(0.5), F.lit(10_000))).first()[0]
+            bar = min(bar, middle)
+        closed = result if blocks == 1 else result.filter(F.col("fill") >= bar)
         closed = closed.select("level", "block", "bin", "doc_id", "piece", "n_tokens")
         done = closed if done is None else done.unionByName(closed)
         if blocks == 1:
             break
-        items = result.filter(F.col("fill") < OPEN_BELOW).select("doc_id", "piece", "n_tokens")
-        left = items.count()
-        if left > 0.7 * n:  # open bins hardly get fewer, so they are closed as they are
-            done = done.unionByName(result.filter(F.col("fill") < OPEN_BELOW).select("level", "block", "bin", "doc_id", "piece", "n_tokens"))
-            break
-        n, level = left, level + 1
+        items = result.filter(F.col("fill") < bar).select("doc_id", "piece", "n_tokens")
+        n, level = items.count(), level + 1
     alone = full.select(F.xxhash64(F.lit("full"), "doc_id", "piece").alias("bin_id"), "doc_id", "piece", "n_tokens")
     if done is None:
         out = alone

@@ -72,3 +72,41 @@ def test_evolution_never_loses_to_its_start():
     first = packing.evolve(sizes, 100, 1, 1, 0, [])[0]
     best = packing.evolve(sizes, 100, 1, 6, 20, [first])[0]
     assert packing._score(sizes, best, 100) >= packing._score(sizes, first, 100)
+
+
+def triplets(n, seed, capacity=1000):
+    """Items that fill n bins of three exactly and leave best fit far behind."""
+    import numpy as np
+
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(0.38 * capacity, 0.49 * capacity))
+        b = int(rng.integers(0.25 * capacity, (capacity - a) // 2 + 1))
+        out += [a, b, capacity - a - b]
+    return [int(x) for x in rng.permutation(out)]
+
+
+def best_fit(sizes, capacity):
+    return len(packing._fresh(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity).bins)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_evolution_beats_best_fit_on_triplets(seed):
+    sizes = triplets(20, seed)
+    assert best_fit(sizes, 1000) >= 23
+    assert max(packing.evolve(sizes, 1000, seed, 20, 60, [])[0]) + 1 <= 21
+
+
+def test_blocks_evolve_to_fewer_bins_than_best_fit_and_than_their_start(spark):
+    """The whole operator on texts whose sizes are triplets: crossovers save bins."""
+    sizes = triplets(30, 5, 240)
+    texts = ["sea " * (n - 1) + "sea" for n in sizes]
+    bins = [packing.pack(docs(spark, texts), 240, generations=g).select("bin_id").distinct().count() for g in (0, 30)]
+    assert bins[1] < bins[0] and bins[1] < best_fit(sizes, 240)
+
+
+def test_large_items_end_all_levels(spark):
+    """Items over half a bin leave all bins open; every level still closes half of them and the last closes the rest."""
+    texts = ["sea " * (9 + k % 3) for k in range(150)]
+    got, _ = check(spark, texts, 16, block_items=20)
+    assert got["bin_id"].nunique() == 150
