@@ -11,6 +11,7 @@ item's remaining words.
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbormill.session import over_keys, written
+from harbormill.session import over_keys, ship, written
 
 N = 5
 #: The share of an item's words that a leak covers.
@@ -34,7 +35,9 @@ ITEMS_PER_PASS = 20_000
 
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _TAG = re.compile(r"<[^<>]{0,300}>")
-_WORD = re.compile(r"[^\W_]+")
+#: A word, or one character of a script that is written without blanks.
+_BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_BARE}]|[^\W_{_BARE}]+")
 #: UTF-8 read as cp1252 and written again.
 _DAMAGE = re.compile("[ÂÃ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 #: Letters of other scripts that look like Latin ones.
@@ -106,6 +109,8 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 
 def _grams(ids: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of every window of n word ids."""
+    if len(ids) < n:
+        return np.zeros(0, dtype=np.uint64)
     h = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
     for k in range(n):
         h += ids[k : len(ids) - n + 1 + k].astype(np.uint64) * _MULTIPLIERS[k]
@@ -140,6 +145,27 @@ class ItemIndex:
         self.at: list[list[tuple[int, int]]] = [[] for _ in range(len(self.words))]
         for g, p in zip(back.ravel(), place):
             self.at[g].append(p)
+        # items too short for an n-gram count as one of their own, which only a whole text can hold
+        self.short: dict[tuple, int] = {}
+        for i, (item_id, text) in enumerate(items):
+            if 0 < self.size[i] < n:
+                key = tuple(self.vocabulary[w] for w in normal_words(text))
+                if key not in self.short:
+                    self.short[key] = len(self.at)
+                    self.at.append([])
+                self.at[self.short[key]].append((i, 0))
+
+    def text_of(self, g: int) -> str:
+        """The words of an n-gram."""
+        if not hasattr(self, "_spelt"):
+            self._spelt = {k: w for w, k in self.vocabulary.items()}
+            self._whole = {g: k for k, g in self.short.items()}
+        ids = self.words[g] if g < len(self.words) else self._whole[g]
+        return " ".join(self._spelt[k] for k in ids)
+
+    def covers(self, i: int, p: int) -> range:
+        """Words of item i that an n-gram at p covers."""
+        return range(p, min(p + self.n, self.size[i]))
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window starts in ``ids`` and the numbers of the n-grams that stand there, checked word by word."""
@@ -169,7 +195,10 @@ def _scan(docs: DataFrame, index) -> DataFrame:
             ends = np.cumsum([len(p) for p in parts])
             at, g = ix.hits(words)
             doc = np.searchsorted(ends, at, side="right")
-            pairs = np.unique(np.stack([doc, g], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            if ix.short:
+                whole = [(d, ix.short[tuple(p[: len(p) - ix.n].tolist())]) for d, p in enumerate(parts) if len(p) < 2 * ix.n and tuple(p[: len(p) - ix.n].tolist()) in ix.short]
+                doc, g = np.concatenate([doc, [d for d, _ in whole]]).astype(np.int64), np.concatenate([g, [x for _, x in whole]]).astype(np.int64)
+            pairs = np.unique(np.stack([doc, g], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
             who, first = np.unique(pairs[:, 0], return_index=True)
             if not len(who):
                 return pd.DataFrame({"doc_id": [], "grams": []}, dtype=object)
@@ -206,7 +235,7 @@ def _copies(hits: DataFrame, sent, often: set[int], cover: float) -> DataFrame:
         within: dict[int, set] = {}
         for g in often_known:
             for i, p in ix.at[g]:
-                within.setdefault(i, set()).update(range(p, p + ix.n))
+                within.setdefault(i, set()).update(ix.covers(i, p))
         rest = {i: set(range(ix.size[i])) - s for i, s in within.items()}
         owners = {g: {i for i, _ in ix.at[g]} for g in often_known}
         n_whole, n_either = dict.fromkeys(often_known, 0), dict.fromkeys(often_known, 0)
@@ -218,7 +247,7 @@ def _copies(hits: DataFrame, sent, often: set[int], cover: float) -> DataFrame:
                 seen: dict[int, set] = {}
                 for g in grams:
                     for i, p in ix.at[g]:
-                        seen.setdefault(i, set()).update(range(p, p + ix.n))
+                        seen.setdefault(i, set()).update(ix.covers(i, p))
                 enough = {i for i, s in seen.items() if len(s) >= cover * ix.size[i]}
                 whole = {i for i in enough if i in rest and (len(rest[i]) <= REST * ix.size[i] or len(rest[i] & seen[i]) >= cover * len(rest[i]))}
                 for g in asked_here:
@@ -243,9 +272,17 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], limit: float, n: int, c
     df = {r["g"]: r["df"] for r in df.collect()}
     if not df:
         return hits, sent, {}
-    word = {k: w for w, k in index.vocabulary.items()}
     copies = {r["g"]: r for r in _copies(hits, sent, set(df), cover).collect()}
-    return hits, sent, {g: (" ".join(word[k] for k in index.words[g]), df[g], copies[g]["whole"], copies[g]["either"]) for g in df}
+    return hits, sent, {g: (index.text_of(g), df[g], copies[g]["whole"], copies[g]["either"]) for g in df}
+
+
+def _blocks(items: DataFrame, items_per_pass: int) -> Iterator[list[tuple[int, str]]]:
+    """(item_id, text) lists of about ``items_per_pass`` items at most, dealt by hash; a first list, if empty, for a table without items."""
+    n = items.count()
+    parts = 1 if n <= items_per_pass else math.ceil(n / max(1, items_per_pass // 2))
+    for k in range(parts):
+        block = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        yield sorted((r["item_id"], r["text"]) for r in block.toLocalIterator())
 
 
 def _judged(hits: DataFrame, sent, common: set[int], cover: float) -> DataFrame:
@@ -267,7 +304,7 @@ def _judged(hits: DataFrame, sent, common: set[int], cover: float) -> DataFrame:
                 for g in grams:
                     if g not in everywhere_known:
                         for i, p in ix.at[g]:
-                            seen.setdefault(i, set()).update(range(p, p + ix.n))
+                            seen.setdefault(i, set()).update(ix.covers(i, p))
                 out += [(key, ix.items[i], len(s) / total[i], len(s)) for i, s in seen.items() if len(s) >= cover * total[i] and len(s) >= cover * 0.5 * ix.size[i]]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "covered", "n_words"])
@@ -279,22 +316,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, cover: float = COV
     """(doc_id, item_id, covered, n_words): every document with every item it leaks.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are not read.  Null, empty and
-    blank texts leak nothing, items of fewer than ``n`` words can't be found, repeated documents and items are
-    reported each.  Items come to the driver ``items_per_pass`` at a time, ordered by item_id; each pass scans all documents.
+    blank texts leak nothing, items of fewer than ``n`` words are leaked by documents of just these words, characters of scripts
+    without blanks are words, repeated documents and items are reported each.  Items come to the driver ``items_per_pass`` at a time, ordered by item_id; each pass scans all documents.
     """
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     items = items.select("item_id", "text").filter("text is not null")
-    n_docs, n_items, passes, found = docs.count(), items.count(), [], None
-    if n_items <= items_per_pass:
-        blocks = iter([items])
-    else:
-        import math
-
-        parts = math.ceil(n_items / (items_per_pass // 2))
-        blocks = (items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts))
-    for block in blocks:
-        rows = [(r["item_id"], r["text"]) for r in block.toLocalIterator()]
-        passes.append(_pass(docs, sorted(rows), max(2.0, everywhere * n_docs), n, cover))
+    n_docs, passes, found = docs.count(), [], None
+    for rows in _blocks(items, items_per_pass):
+        passes.append(_pass(docs, rows, max(2.0, everywhere * n_docs), n, cover))
     # an item that many documents copy as a whole is no text from everywhere; an n-gram may stand in items of several passes
     whole: dict[str, int] = {}
     either: dict[str, int] = {}
@@ -308,26 +338,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, cover: float = COV
     return found
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, leaks: DataFrame, mode: str = "documents", n: int = N) -> DataFrame:
-    """``docs`` without the leaking documents, or (``mode`` "spans") without their sentences that stand in an item
-    and without the words elsewhere that n-grams of the items they leak cover, over sentence ends too.
+def remove_leaks(docs: DataFrame, items: DataFrame, leaks: DataFrame, mode: str = "documents", n: int = N, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """``docs`` without the leaking documents, or (``mode`` "spans") without the words that n-grams of the items they leak cover,
+    over sentence ends too, and without sentences that these items cover by half.
 
-    In ``spans`` mode the items must fit the driver, as in one pass of ``find_leaks``.
+    Only leaked items are sent to the documents, ``items_per_pass`` at a time.
     """
     if mode == "documents":
         return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+    ship(docs.sparkSession)
+    # of a document's items only, at most as many as it leaks
     bad = leaks.groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("__leaks"))
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.select("item_id", "text").collect()], n))
+    flagged = docs.join(bad, "doc_id", "left")
+    clean, cutting = flagged.filter("__leaks is null").drop("__leaks"), flagged.filter("__leaks is not null")
+    leaked = items.select("item_id", "text").filter("text is not null").join(leaks.select("item_id").distinct(), "item_id", "left_semi")
+    for rows in _blocks(leaked, items_per_pass):
+        cutting = cutting.withColumn("text", _cutter(docs.sparkSession.sparkContext.broadcast(ItemIndex(rows, n)))("text", "__leaks"))
+    return clean.unionByName(cutting.drop("__leaks"))
+
+
+def _cutter(index):
+    """A function of (text, leaked item ids) that leaves out what the leaked items of this index cover."""
 
     def cut(texts: pd.Series, leaked: pd.Series) -> pd.Series:
         ix = index.value
         named = [str(i) for i in ix.items]
 
-        def mark(ids: np.ndarray, mine=None) -> np.ndarray:
+        def mark(ids: np.ndarray, mine: set) -> np.ndarray:
             covered = np.zeros(len(ids), dtype=bool)
             for a, g in zip(*ix.hits(ids)):
-                if mine is None or any(named[i] in mine for i, _ in ix.at[g]):
+                if any(named[i] in mine for i, _ in ix.at[g]):
                     covered[a : a + ix.n] = True
+            whole = ix.short.get(tuple(ids.tolist()))
+            if whole is not None and any(named[i] in mine for i, _ in ix.at[whole]):
+                covered[:] = True
             return covered
 
         def one(text: str | None, mine: set) -> str | None:
@@ -339,7 +383,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, leaks: DataFrame, mode: str
             own = np.split(mark(np.concatenate(ids), mine), np.cumsum([len(x) for x in ids])[:-1])
             keep = []
             for s, (_, spans), x, covered in zip(sentences, placed, ids, own):
-                if len(x) and mark(x).mean() >= 0.5:
+                if len(x) and mark(x, mine).mean() >= 0.5:
                     continue
                 left = _without(s, spans, covered) if covered.any() else s
                 if left == s or _WORD.search(left):
@@ -348,7 +392,4 @@ def remove_leaks(docs: DataFrame, items: DataFrame, leaks: DataFrame, mode: str
 
         return pd.Series([one(t, set(m)) for t, m in zip(texts, leaked)], index=texts.index, dtype=object)
 
-    cut_udf = F.pandas_udf(cut, "string")
-    flagged = docs.join(bad, "doc_id", "left")
-    clean = flagged.filter("__leaks is null").drop("__leaks")
-    return clean.unionByName(flagged.filter("__leaks is not null").withColumn("text", cut_udf("text", "__leaks")).drop("__leaks"))
+    return F.pandas_udf(cut, "string")

@@ -177,16 +177,16 @@ def town_keys(town: list[str]) -> list[str]:
     return list(out)
 
 
-def compare(a: dict, b: dict) -> float:
-    """Similarity of two records in log-odds; a and b have town, names (lists of words), code, lat, lon."""
-    score = -3.0
+def compare(a: dict, b: dict) -> tuple[float, float]:
+    """Similarity of two records in log-odds, and what of it the postcodes give; a and b have town, names (lists of words), code, lat, lon."""
+    score, by_code = -3.0, 0.0
     # towns
     ta, tb = [t for t in a["town"] if len(t) > 3], [t for t in b["town"] if len(t) > 3]
     if ta and tb:
         m = _match(ta, tb)
         # at least the first, proper word of the town has to agree
         if m == 0 or not (near(ta[0], tb[0]) or (m >= 2)):
-            return -9.0
+            return -9.0, 0.0
         score += 1.0 if m >= min(len(ta), len(tb)) else 0.0
     elif ta or tb:
         # the side without a town may carry the other's town in its name
@@ -199,11 +199,11 @@ def compare(a: dict, b: dict) -> float:
     # places
     if len(a["code"]) >= 5 and len(b["code"]) >= 5:
         if a["code"] == b["code"]:
-            score += 5.0
+            by_code = 5.0
         elif a["code"][:4] != b["code"][:4]:
-            return -9.0
+            return -9.0, 0.0
         else:
-            score -= 4.0
+            by_code = -4.0
     near_by = None
     if None not in (a["lat"], a["lon"], b["lat"], b["lon"]) and all(x == x for x in (a["lat"], a["lon"], b["lat"], b["lon"])):
         d = math.hypot(a["lat"] - b["lat"], (a["lon"] - b["lon"]))
@@ -229,7 +229,7 @@ def compare(a: dict, b: dict) -> float:
             if wa == wb:
                 s += 0.5
             best = max(best, s)
-    return score + best
+    return score + by_code + best, by_code
 
 
 def _prepare(df: DataFrame, key: str, names: list[str], town: list[str], code: str, lat: str, lon: str, spread: bool) -> DataFrame:
@@ -320,9 +320,10 @@ def _scored(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
             for r in f.itertuples(index=False):
                 x = {"town": list(r.town_a), "names": [n.split() for n in r.names_a], "code": r.code_a, "lat": none(r.lat_a), "lon": none(r.lon_a)}
                 y = {"town": list(r.town_b), "names": [n.split() for n in r.names_b], "code": r.code_b, "lat": none(r.lat_b), "lon": none(r.lon_b)}
-                own.append(compare(x, y))
+                score, by_code = compare(x, y)
+                own.append(score)
+                blind.append(score - by_code)
                 both = len(x["code"]) >= 5 and len(y["code"]) >= 5
-                blind.append(compare(dict(x, code=""), y) if both else own[-1])
                 same.append(x["code"] == y["code"] if both else None)
             yield pd.DataFrame({"a": f["a"], "b": f["b"], "weight": f["weight"], "own": own, "blind": blind, "same_code": pd.array(same, dtype="boolean")})
 

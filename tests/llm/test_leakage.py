@@ -141,3 +141,29 @@ def test_removal_without_sentence_marks_and_of_short_sentences(spark):
 @pytest.mark.parametrize("a,b", [("Café—Élan", "cafe elan"), ("CafÃ© ﬁn", "cafe fin"), ("<b>Big</b> day", "big day"), ("so​ft", "soft"), ("Straße", "strasse"), ("саfe", "cafe")])
 def test_normal_words(a, b):
     assert leakage.normal_words(a) == b.split()
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    """Items of fewer than five words match documents of just these words; each character of a script without blanks is a word."""
+    chinese = "这家酒店的早餐非常丰富服务员也很热情房间干净明亮窗外可以看到整个港口的夜景我们下次还会再来住几天"
+    items = [(1, "Which harbour town?"), (2, chinese), (3, ITEMS[0][1])]
+    docs = ["which HARBOUR — town", "which harbour town is that", "前言\n" + chinese + "\n后记", chinese[:10] + "别的内容在这里完全不同的一段文字", filler(2), ITEMS[0][1]]
+    d, i = frames(spark, docs, items)
+    for k in (100, 1):
+        assert pairs(leakage.find_leaks(d, i, items_per_pass=k)) == [(0, 1), (2, 2), (5, 3)]
+    left = {r["doc_id"]: r["text"] for r in leakage.remove_leaks(d, i, leakage.find_leaks(d, i), "spans").collect()}
+    assert not leakage.normal_words(left[0]) and left[1] == docs[1] and left[3] == docs[3] and not leakage.normal_words(left[5])
+    assert "港口" not in left[2] and left[2].startswith("前言")
+
+
+def test_spans_of_other_items_stay_and_passes_make_no_difference(spark):
+    """A document keeps a sentence of an item that it does not leak; items come in passes."""
+    quote = ITEMS[6][1].split(". ")[2] + "."
+    keep = filler(3)
+    text = keep + " " + ITEMS[5][1] + " " + quote + " " + ITEMS[7][1] + " " + keep
+    d, i = frames(spark, [text, keep])
+    leaks = leakage.find_leaks(d, i)
+    assert pairs(leaks) == [(0, 5), (0, 7)]
+    for k in (100, 2, 1):
+        left = {r["doc_id"]: r["text"] for r in leakage.remove_leaks(d, i, leaks, "spans", items_per_pass=k).collect()}
+        assert left[1] == keep and left[0].split() == (keep + " " + quote + " " + keep).split()
