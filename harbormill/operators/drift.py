@@ -21,17 +21,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harbormill.session import ship, written
+from harbormill.sources.readers import ALIASES as READER_ALIASES
 
-#: Spellings of the five standard fields, compared in lower case without marks between words.
-ALIASES = {
-    "user_id": ("userid", "user", "reviewerid", "author", "guestref", "member", "memberid", "guestid", "customerid", "reviewer"),
-    "hotel_id": ("hotelid", "item", "itemid", "hotelurl", "hotel", "lodging", "propertycode", "propertyid", "lodgingid"),
-    "rating": ("overall", "score", "stars", "rating", "points", "gradegiven", "grade", "ratingvalue"),
-    "review_text": ("text", "review", "content", "reviewtext", "body", "opinion", "comment", "reviewbody"),
-    "timestamp": ("date", "reviewtime", "timestamp", "time", "posted", "writtenon", "postedat", "createdat", "reviewdate"),
-}
+#: The spellings of the five standard fields, compared in lower case without marks between words; others are learned.
+ALIASES = {role: tuple(dict.fromkeys(re.sub("[^a-z0-9]", "", x.lower()) for x in names)) for role, names in READER_ALIASES.items()}
 STANDARD = tuple(ALIASES)
 TAGS = ("string", "integer", "decimal", "boolean", "object", "array")
+#: A name stands for a standard field if in this share of its files no other name does.
+COMPLEMENT = 0.8
 #: A .json file has a field if this share of its parsable lines holds the key.
 PRESENT = 0.2
 
@@ -42,6 +39,8 @@ _SHAPES = {
     "timestamp": re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:.*"),
     "review_text": re.compile(r"\S+(?: \S+){5,}", re.S),
 }
+#: Shapes that tell fields apart without naming one.
+_KINDS = {"small": re.compile(r"[0-9]{1,2}(?:\.[0-9]+)?(?:\s*/\s*[0-9]+|\s+[a-z]+)?"), "clock": re.compile(r"[0-9]{10}(?:[0-9]{3}){0,2}|.*[0-9]{1,2}[:/.-][0-9]{2}.*"), "number": re.compile(r"[0-9]+(?:\.[0-9]+)?")}
 _INT, _DEC = re.compile(r"[0-9]+"), re.compile(r"[0-9]+\.[0-9]+")
 
 
@@ -86,11 +85,14 @@ def split_csv(line: str) -> list[str]:
 
 
 def _shape(v) -> str:
-    """The standard field that a value looks like, for names that no list knows."""
+    """The standard field that a value looks like, or else its kind, for names that no list knows."""
     if isinstance(v, str):
-        for role, form in _SHAPES.items():
+        for role, form in (_SHAPES if not isinstance(v, _Number) else {}).items():
             if form.fullmatch(v):
                 return role
+        for kind, form in _KINDS.items():
+            if form.fullmatch(v):
+                return kind
     return ""
 
 
@@ -101,11 +103,11 @@ def _paths(prefix: str, v, out: list) -> None:
             _paths(f"{prefix}.{k}", x, out)
     elif isinstance(v, list):
         for x in v:
-            out.append((f"{prefix}[]", tag_json(x) or "null", ""))
+            _paths(f"{prefix}[]", x, out)
 
 
 def _is_json(name: Column) -> Column:
-    return F.lower(F.coalesce(name, F.lit(""))).endswith(".json")
+    return F.lower(F.coalesce(name, F.lit(""))).rlike(r"\.(json|jsonl|ndjson)$")
 
 
 def infer_paths(dumps: DataFrame) -> DataFrame:
@@ -191,10 +193,10 @@ def _alias_role(name: Column) -> Column:
 def file_fields(paths: DataFrame) -> DataFrame:
     """(feed_id, file_no, field, name, type): the top-level fields that each file has.
 
-    ``field`` is the standard field a name stands for, by its spelling or else, if no name of the file has
-    that spelling, by four fifths of its values having the standard field's shape; any other field keeps
-    its name.  If two names of a file stand for one standard field, the one with more values counts.
-    ``type`` is the tag of most non-null values (ties: the first of TAGS), null without any.
+    ``field`` is the standard field a name stands for: by its spelling, or else by four fifths of its values having the standard
+    field's shape, or else by complement: over all files, the name stands where no other name stands for the
+    field, in at least ``COMPLEMENT`` of its files.  Any other field keeps its name.  If two names of a file stand for one standard field, the one with
+    more values counts.  ``type`` is the tag of most non-null values (ties: the first of TAGS), null without any.
     """
     key = ["feed_id", "file_no", "name"]
     top = paths.filter("top").withColumnRenamed("path", "name")
@@ -209,20 +211,32 @@ def file_fields(paths: DataFrame) -> DataFrame:
     looks = looks.groupBy(*key).agg(F.sum("n").alias("values"), F.max_by("looks", F.struct("n", "looks")).alias("looks"), F.max("n").alias("most"))
     fields = types.filter((F.col("lines") == 0) | (F.col("held") >= PRESENT * F.col("lines"))).join(looks, key, "left")
     fields = fields.withColumn("spelt", _alias_role(F.col("name")))
-    shaped = F.when((F.col("looks") != "") & (F.col("most") >= 0.8 * F.col("values")) & ~F.col("name").isin(*_EXTRAS), F.col("looks"))
+    shaped = F.when(F.col("looks").isin(*STANDARD) & (F.col("most") >= 0.8 * F.col("values")), F.col("looks"))
     in_file = W.partitionBy("feed_id", "file_no")
-    fields = fields.withColumn("have", F.collect_set("spelt").over(in_file))
-    fields = fields.withColumn("role", F.coalesce("spelt", F.when(~F.array_contains("have", shaped), shaped)))
+    fields = fields.withColumn("have", F.collect_set("spelt").over(in_file)).withColumn("shaped", shaped)
+    # a name whose values look like a field that other files have beside it is no name of that field
+    fields = written(fields, "fields")
+    beside = fields.filter("spelt is null and shaped is not null").groupBy("name", "shaped").agg(F.avg(F.when(F.array_contains("have", F.col("shaped")), 1.0).otherwise(0.0)).alias("beside"))
+    fields = fields.join(beside, ["name", "shaped"], "left")
+    fields = fields.withColumn("role", F.coalesce("spelt", F.when((F.col("beside") <= 1 - COMPLEMENT) & ~F.array_contains("have", F.col("shaped")), F.col("shaped"))))
+    fields = written(fields.withColumn("filled", F.collect_set("role").over(in_file)), "fields")
+    open_ = F.array_except(F.array(*[F.lit(r) for r in STANDARD]), F.col("filled"))
+    unknown = fields.filter("role is null").select("name", "type", "looks", open_.alias("open"))
+    n_files = unknown.groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
+    # how usual a type and kind are for a standard field parts two fields that always miss together
+    usual = fields.filter("role is not null").groupBy("role", "type", "looks").agg(F.count(F.lit(1)).alias("t"))
+    usual = usual.withColumn("usual", F.col("t") / F.sum("t").over(W.partitionBy("role"))).select("role", "type", "looks", "usual")
+    votes = unknown.select("name", "type", "looks", F.explode("open").alias("role")).join(usual, ["role", "type", "looks"], "left").groupBy("name", "role").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("usual", F.lit(0.0))).alias("usual"))
+    # only a field whose known names hold such values somewhere
+    fitting = votes.join(n_files, "name").filter((F.col("n") >= COMPLEMENT * F.col("n_files")) & (F.col("usual") > 0))
+    learned = fitting.groupBy("name").agg(F.max_by("role", F.struct(F.round("usual", 3), "n", "role")).alias("learned"))
+    fields = fields.join(learned, "name", "left").withColumn("role", F.coalesce("role", F.when(~F.array_contains("filled", F.col("learned")), F.col("learned"))))
     best = F.row_number().over(W.partitionBy("feed_id", "file_no", "role").orderBy(F.desc("held"), "name"))
     fields = fields.withColumn("best", best)
     role = F.when(F.col("role").isNotNull() & (F.col("best") == 1), F.col("role"))
     return fields.select("feed_id", "file_no", F.coalesce(role, F.col("name")).alias("field"), "name", "type")
 
 
-#: Further fields of the dumps, whose values resemble a standard field's.
-_EXTRAS = ("date_of_stay", "hotel_stars", "review_title", "photo_total", "helpful_votes", "value_score", "user_city", "trip_type", "device", "verified", "reply", "rooms")
-
-
 def schema_changes(dumps: DataFrame) -> DataFrame:
     """(feed_id, file_no, field, change): each file against the file before it in its feed.
 
@@ -258,63 +272,95 @@ def alternatives(dumps: DataFrame) -> DataFrame:
     return infer_paths(dumps).filter("tag != 'null'").groupBy("feed_id", "path", "tag").agg(F.min("file_no").alias("first_file"), F.sum("n").alias("n"))
 
 
-def unified(dumps: DataFrame) -> DataFrame:
-    """One table of all dumps: feed_id, file_no, line_no, the five standard columns as text, ``rating`` also as typed
-    branches and canonical number, ``extras`` as a map with the tag of each value in ``tags``.  Lines that don't parse are left out."""
+def _placed(names: list[str]) -> list[str]:
+    """Header names, each once: a repeated one gets its number behind it."""
+    out: list[str] = []
+    for x in names:
+        k, y = 1, x
+        while y in out:
+            k += 1
+            y = f"{x}#{k}"
+        out.append(y)
+    return out
+
+
+def read_dumps(dumps: DataFrame) -> DataFrame:
+    """(feed_id, file_no, line_no, line, names, vals, kinds, fault): every line but headers, read once and written.
+
+    ``fault`` is null for a loadable line, else not_an_object (of a .json file), column_count (another number of values than the header's
+    columns) or no_header.  Values are named by their position, so a header that repeats a name loses none.
+    """
+    ship(dumps.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for feed, no, js, ln, line in zip(b["feed_id"], b["file_no"], b["js"], b["line_no"], b["line"]):
-                if not isinstance(line, str):
-                    continue
+                text = line if isinstance(line, str) else ""
                 if js:
                     o = parse_object(line)
-                    if o is not None:
-                        live = {k: v for k, v in o.items() if v is not None}
-                        vals = {k: str(v) if isinstance(v, str) else json.dumps(v) for k, v in live.items()}
-                        out.append((feed, no, ln, list(vals), list(vals.values()), [tag_json(v) for v in live.values()], -1))
+                    live = {k: v for k, v in (o or {}).items() if v is not None}
+                    vals = [str(v) if isinstance(v, str) else json.dumps(v) for v in live.values()]
+                    out.append((feed, no, ln, line, list(live), vals, [tag_json(v) for v in live.values()], -1, "not_an_object" if o is None else None))
                 elif ln != 1:
-                    v = split_csv(line.rstrip("\r"))
-                    out.append((feed, no, ln, None, v, [tag_text(x) for x in v], len(v)))
+                    v = split_csv(text.rstrip("\r"))
+                    out.append((feed, no, ln, line, None, v, [tag_text(x) for x in v], len(v), None))
             if out:
-                yield pd.DataFrame(out, columns=["feed_id", "file_no", "line_no", "names", "vals", "kinds", "width"])
-
-    key = ["feed_id", "file_no"]
-    slim = dumps.select(*key, "line_no", "line", _is_json(F.col("file_name")).alias("js"))
-    rows = slim.mapInPandas(run, "feed_id string, file_no int, line_no int, names array<string>, vals array<string>, kinds array<string>, width int")
+                yield pd.DataFrame(out, columns=["feed_id", "file_no", "line_no", "line", "names", "vals", "kinds", "width", "fault"])
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["head"] = [split_csv(x.lstrip("﻿").rstrip("\r")) for x in b["line"]]
+            b["head"] = [_placed(split_csv(x.lstrip("\ufeff").rstrip("\r"))) for x in b["line"]]
             yield b[["feed_id", "file_no", "head"]]
 
+    key = ["feed_id", "file_no"]
+    slim = dumps.select(*key, "line_no", "line", _is_json(F.col("file_name")).alias("js"))
+    rows = slim.mapInPandas(run, "feed_id string, file_no int, line_no int, line string, names array<string>, vals array<string>, kinds array<string>, width int, fault string")
     heads = slim.filter("not js and line_no = 1 and line is not null").select(*key, "line").mapInPandas(name, "feed_id string, file_no int, head array<string>")
+    # a file has one header, the smallest if it was delivered twice; Spark chooses the join by the real sizes and AQE splits a hot file
+    heads = heads.groupBy(*key).agg(F.min("head").alias("head"))
+    j = rows.join(heads, key, "left")
+    csv_fault = F.when(F.col("head").isNull(), "no_header").when(F.size("head") != F.col("width"), "column_count")
+    j = j.withColumn("fault", F.when(F.col("width") >= 0, csv_fault).otherwise(F.col("fault")))
+    j = j.withColumn("names", F.when(F.col("fault").isNull(), F.coalesce("names", "head"))).withColumn("vals", F.transform("vals", lambda v: F.when(v != "", v)))
+    return written(j.select(*key, "line_no", "line", "names", "vals", "kinds", "fault"), "dumps")
+
+
+def left_out(read: DataFrame) -> DataFrame:
+    """(feed_id, file_no, line_no, fault, line): the lines of ``read_dumps`` that cannot be loaded, with the reason."""
+    return read.filter("fault is not null").select("feed_id", "file_no", "line_no", "fault", "line")
+
+
+def unified(dumps: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """One table of all dumps: feed_id, file_no, line_no, the five standard columns as text, each of them also as a union of typed
+    branches, ``rating`` as a canonical number too, ``extras`` as a map with the tag of each value in ``tags``.  Lines that can't be loaded are in ``left_out``."""
+    key = ["feed_id", "file_no"]
+    read = read_dumps(dumps) if read is None else read
     fields = file_fields(infer_paths(dumps))
     roles = fields.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("field").isin(*STANDARD), F.struct("field", "name")))).alias("roles"))
-    # both sides have one row per file; Spark chooses the join by their real sizes and AQE splits a hot file
-    j = rows.join(heads, key, "left").join(roles, key, "left")
-    names = F.coalesce("names", F.when(F.size("head") == F.col("width"), F.col("head")))
-    j = j.withColumn("names", F.array_distinct(names)).filter(F.col("names").isNotNull() & (F.size("names") == F.size("vals")))
-    j = j.withColumn("vals", F.transform("vals", lambda v: F.when(v != "", v)))
+    j = read.filter("fault is null").join(roles, key, "left")
     m = F.map_from_arrays("names", "vals")
     t = F.map_from_arrays("names", "kinds")
 
     def std(role: str) -> Column:
         return F.try_element_at(m, F.try_element_at("roles", F.lit(role)))
 
-    rating, kind = std("rating"), F.try_element_at(t, F.try_element_at("roles", F.lit("rating")))
+    def union(role: str) -> Column:
+        v, kind = std(role), F.try_element_at(t, F.try_element_at("roles", F.lit(role)))
+        return F.struct(
+            F.when(kind == "integer", v.try_cast("bigint")).alias("as_integer"),
+            F.when(kind == "decimal", v.try_cast("double")).alias("as_decimal"),
+            # a number too large for its branch stays as text
+            F.when(~kind.isin("integer", "decimal") | ((kind == "integer") & v.try_cast("bigint").isNull()), v).alias("as_string"),
+        ).alias(f"{role}_union")
+
     taken = F.coalesce(F.map_values("roles"), F.array().cast("array<string>"))
     return j.select(
         *key,
         "line_no",
         *[std(r).alias(r) for r in STANDARD],
-        F.struct(
-            F.when(kind == "integer", rating.try_cast("bigint")).alias("as_integer"),
-            F.when(kind == "decimal", rating.try_cast("double")).alias("as_decimal"),
-            F.when(~kind.isin("integer", "decimal"), rating).alias("as_string"),
-        ).alias("rating_union"),
-        F.regexp_extract(rating, r"^\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double").alias("rating_value"),
+        *[union(r) for r in STANDARD],
+        F.regexp_extract(std("rating"), r"^\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double").alias("rating_value"),
         F.map_filter(m, lambda k, v: ~F.array_contains(taken, k) & v.isNotNull()).alias("extras"),
         F.map_filter(t, lambda k, v: ~F.array_contains(taken, k) & v.isNotNull()).alias("tags"),
     )

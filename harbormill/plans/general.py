@@ -25,7 +25,13 @@ def p2_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     u = drift.unified(table(spark, d, "review_dumps"))
-    return u.withColumns({"extras": F.to_json("extras"), "tags": F.to_json("tags"), "rating_union": F.to_json("rating_union")})
+    return u.withColumns({c: F.to_json(c) for c in ("extras", "tags", *(f"{r}_union" for r in drift.STANDARD))})
+
+
+def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of each file were loaded, and left out for which reason: together all but the headers."""
+    read = drift.read_dumps(table(spark, d, "review_dumps"))
+    return read.groupBy("feed_id", "file_no", F.coalesce("fault", F.lit("loaded")).alias("outcome")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def _hotel_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +147,7 @@ def p6_withheld(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_alternatives, p2_unified, p3_found, p3_hotel_ratings, p3_hotel_images, p3_chunked, p3_rating_counts, p5_found, p5_loaded, p5_reasons, p5_files, p6_found, p6_status, p6_withheld)
+    for f in (p2_found, p2_alternatives, p2_unified, p2_loaded, p3_found, p3_hotel_ratings, p3_hotel_images, p3_chunked, p3_rating_counts, p5_found, p5_loaded, p5_reasons, p5_files, p6_found, p6_status, p6_withheld)
 }
 
 _ID = "regexp_replace(nullif(trim({0}), ''), '^([0-9]+)\\.0+$', '\\1')"
@@ -187,6 +193,16 @@ heads AS (SELECT *, count(CASE WHEN NOT lost THEN 1 END) OVER (PARTITION BY file
 """
 
 ORACLE = {
+    "p2_loaded": r"""
+WITH l AS (
+  SELECT feed_id, file_no, line_no, regexp_matches(lower(file_name), '\.(json|jsonl|ndjson)$') AS js, coalesce(line, '') AS raw,
+    regexp_replace(regexp_replace(coalesce(line, ''), '\r+$', ''), '^\x{FEFF}+', '') AS s FROM review_dumps),
+w AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE length(p) - length(replace(p, ',', '')) + 1 END AS width
+  FROM (SELECT *, regexp_replace(s, '(^|,)"([^"]|"")*("|$)', '\1', 'g') AS p FROM l)),
+h AS (SELECT feed_id, file_no, min(width) AS columns FROM w WHERE NOT js AND line_no = 1 GROUP BY 1, 2)
+SELECT feed_id, file_no, CASE WHEN js THEN CASE WHEN json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' THEN 'loaded' ELSE 'not_an_object' END
+    WHEN columns IS NULL THEN 'no_header' WHEN columns <> width THEN 'column_count' ELSE 'loaded' END AS outcome, count(*) AS n_lines
+FROM w LEFT JOIN h USING (feed_id, file_no) WHERE js OR line_no <> 1 GROUP BY 1, 2, 3""",
     "p5_loaded": _FIELDS + r"""
 SELECT line_id, CASE WHEN regexp_full_match(trim(v[1], ' '), '[0-9]{1,18}') THEN CAST(trim(v[1], ' ') AS BIGINT) END AS image_id,
   regexp_extract(trim(v[2], ' '), '^0*([1-9][0-9]*)', 1) AS hotel_id, trim(v[3], ' ') AS image_url, nullif(v[4], '') AS image_source, nullif(v[5], '') AS upload_timestamp FROM u""",

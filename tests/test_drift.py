@@ -75,3 +75,31 @@ def test_empty(spark):
     assert drift.schema_changes(e).count() == 0 and drift.unified(e).count() == 0
     nulls = spark.createDataFrame([(None, None, None, None, None), ("f", 1, None, 1, "a,b")], SCHEMA)
     assert drift.schema_changes(nulls).count() == 0
+
+
+def test_no_line_is_lost(spark):
+    """Repeated header names, lines of another width, files without header and broken objects all leave a trace."""
+    files = [
+        ("f", 1, "a.csv", ["user,stars,note,note", "u1,4,x,y", "u2,5,z,", "u3,1", None]),
+        ("f", 2, "b.jsonl", [obj(user="u4", stars=3, photos=[{"url": "a", "tags": [1]}, {"url": 2}]), "{broken", "[1]"]),
+        ("f", 3, "c.csv", [None, "u5,1,2,3"]),
+    ]
+    d = dumps(spark, files)
+    read = drift.read_dumps(d)
+    loaded = {(r["file_no"], r["line_no"]): r for r in drift.unified(d, read).collect()}
+    out = {(r["file_no"], r["line_no"]): r["fault"] for r in drift.left_out(read).collect()}
+    assert out == {(1, 4): "column_count", (1, 5): "column_count", (2, 2): "not_an_object", (2, 3): "not_an_object", (3, 2): "no_header"}
+    assert set(loaded) == {(1, 2), (1, 3), (2, 1)}
+    assert loaded[1, 2]["extras"] == {"note": "x", "note#2": "y"} and loaded[1, 2]["user_id"] == "u1"
+    assert tuple(loaded[2, 1]["rating_union"]) == (3, None, None) and tuple(loaded[2, 1]["user_id_union"]) == (None, None, "u4")
+    paths = {(r["path"], r["tag"]) for r in drift.alternatives(d).collect()}
+    assert {("photos[].url", "string"), ("photos[].url", "integer"), ("photos[].tags[]", "integer")} <= paths
+
+
+def test_names_are_learned_by_complement(spark, rows):
+    """A name that no list has stands for a field if it comes where the field's other names do not; a field beside it does not."""
+    known = lambda k: [obj(user=f"m-{100000 + i}", stars=i % 5, tip="a" * (i % 3)) for i in range(10)]
+    other = lambda k: [obj(user=f"m-{100000 + i}", verdictmark=i % 5, tip="a" * (i % 3)) for i in range(10)]
+    files = [(f"f{k}", no, "a.json", known(k) if no == 1 else other(k)) for k in range(4) for no in (1, 2)]
+    got = rows(drift.schema_changes(dumps(spark, files)), "file_no", "field", "change")
+    assert got == [(2, "rating", "renamed")] * 4
