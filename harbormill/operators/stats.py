@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harbormill.operators.split import numbered
 from harbormill.session import ship
 
 
@@ -35,22 +36,27 @@ def relative_drop(levels: DataFrame, by: str, level: str, value: str) -> DataFra
     return levels.withColumn("clean", clean).withColumn("drop_pct", F.when(F.col("clean") != 0, 100 * (F.col("clean") - F.col(value)) / F.col("clean")))
 
 
-def average_rank(c: str, by: list[str] | None = None) -> Column:
-    """Rank with ties at their mean."""
-    part = by or []
-    return F.rank().over(W.partitionBy(*part).orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*part, c)) - 1) / 2.0
+def average_ranks(df: DataFrame, col: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
+    """(by..., col, ``out``, __c): the mean rank of each distinct value within its group, and how often it stands there.
 
+    All rows are numbered in one global order by sorted range partitions; a value's mean number less the one before its
+    group is its rank, so no task sorts a whole group.
+    """
+    keys = list(by or [])
+    rows = numbered(df.select(*keys, col), [F.col(k) for k in keys] + [F.col(col)], "__no")
+    ranks = rows.groupBy(*keys, col).agg(F.avg("__no").alias("__mean"), F.count(F.lit(1)).alias("__c"))
+    if not keys:
+        return ranks.select(col, (F.col("__mean") + 1).alias(out), "__c")
+    starts = rows.groupBy(*keys).agg(F.min("__no").alias("__from"))
+    return ranks.join(starts, keys).select(*keys, col, (F.col("__mean") - F.col("__from") + 1).alias(out), "__c")
 
-def quartiles(df: DataFrame, col: str, out: str = "quartile") -> DataFrame:
-    """Q1-low .. Q4-high by average rank over the number of rows.
 
-    Values are ranked through their distinct counts, so the window runs on distinct values only.
-    """
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
-    before = F.coalesce(F.sum("__c").over(W.orderBy(col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__c").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    pct = (before + (F.col("__c") + 1) / 2.0) / total
-    named = counts.withColumn("__p", pct).select(col, F.when(F.col("__p") <= 0.25, "Q1-low").when(F.col("__p") <= 0.5, "Q2").when(F.col("__p") <= 0.75, "Q3").otherwise("Q4-high").alias(out))
+def quartiles(df: DataFrame, col: str, out: str = "quartile") -> DataFrame:
+    """Q1-low .. Q4-high by average rank over the number of rows."""
+    ranks = average_ranks(df, col)
+    total = df.agg(F.count(F.lit(1)).alias("__all"))
+    named = ranks.crossJoin(F.broadcast(total)).withColumn("__p", F.col("rank") / F.col("__all"))
+    named = named.select(col, F.when(F.col("__p") <= 0.25, "Q1-low").when(F.col("__p") <= 0.5, "Q2").when(F.col("__p") <= 0.75, "Q3").otherwise("Q4-high").alias(out))
     return df.join(named, col)
 
 
@@ -65,15 +71,22 @@ def quantile_bins(df: DataFrame, col: str, cuts: int = 4) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation per group, null for a constant side."""
-    r = df.withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
+    base = df.select(*by, x, y)
+    r = base.join(average_ranks(base, x, by, "rx").drop("__c"), [*by, x]).join(average_ranks(base, y, by, "ry").drop("__c"), [*by, y])
     flat = (F.coalesce(F.stddev_pop("rx"), F.lit(0.0)) < 1e-12) | (F.coalesce(F.stddev_pop("ry"), F.lit(0.0)) < 1e-12)
     rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return r.groupBy(*by).agg(F.when(~flat, rho).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def paired(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """(u, diff) of the users that both have; a and b hold (u, seed, value), averaged over seeds first."""
-    x, y = (t.groupBy("u").agg(F.avg(value).alias(v)) for t, v in ((a, "va"), (b, "vb")))
+def paired(a: DataFrame, b: DataFrame, value: str, seeds: int | None = None) -> DataFrame:
+    """(u, diff) of the users that both have; a and b hold (u, seed, value), averaged over seeds first.
+
+    With ``seeds`` a side with several seeds must have exactly so many for a user, or the user is left out; a side with one seed is deterministic.
+    """
+    x, y = (t.groupBy("u").agg(F.avg(value).alias(v), F.count_distinct("seed").alias("k")) for t, v in ((a, "va"), (b, "vb")))
+    if seeds is not None:
+        x, y = (t.filter(F.col("k").isin(1, seeds)) for t in (x, y))
+    x, y = x.drop("k"), y.drop("k")
     return x.join(y, "u").select("u", (F.col("va") - F.col("vb")).alias("diff"))
 
 
@@ -87,11 +100,11 @@ def difference_summary(diffs: DataFrame) -> DataFrame:
 def wilcoxon(diffs: DataFrame) -> DataFrame:
     """(n, w_plus, w_minus, ties, z): signed ranks with zeros split, ties at mean rank, normal approximation.
 
-    Ranks come from distinct absolute differences with their counts, so the global window runs on those only.
+    Ranks are those of ``average_ranks``, so no task sorts all differences.
     """
-    g = diffs.select(F.abs("diff").alias("a"), F.signum("diff").alias("s")).groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("s") > 0).alias("p"), F.count_if(F.col("s") < 0).alias("m"))
-    before = F.coalesce(F.sum("c").over(W.orderBy("a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("rank", before + (F.col("c") + 1) / 2.0)
+    base = diffs.select(F.abs("diff").alias("a"), F.signum("diff").alias("s"))
+    g = base.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("s") > 0).alias("p"), F.count_if(F.col("s") < 0).alias("m"))
+    r = g.join(average_ranks(base, "a").drop("__c"), "a")
     zero = F.col("c") - F.col("p") - F.col("m")
     t = r.agg(
         F.sum("c").alias("n"),

@@ -425,7 +425,7 @@ def gated_pair_scores(s, d):
 
 # --- corruption, ablation --------------------------------------------------------------------------------------------
 
-SEEDS, LEVELS = [2026, 2027], [0.0, 0.25, 0.5, 0.75]
+SEEDS, LEVELS = [2026, 2027, 2028, 2029, 2030], [0.0, 0.25, 0.5, 0.75]
 
 
 def nested_mask(s, d):
@@ -563,6 +563,88 @@ def best_so_far(s, d):
     return r.select("model", F.col("corruption_seed").cast("long").alias("corruption_seed"), F.round(F.max("value").over(W.partitionBy("model").orderBy("corruption_seed")), 8).alias("best"))
 
 
+def _rankings(s: SparkSession, d: str, salts: dict[int, str]) -> tuple[DataFrame, DataFrame]:
+    """Per-user metrics (u, seed, metrics...) on the validation pairs: of the propagated model for each seed, and of the most popular items."""
+    sp = written(_split(s, d), "split")
+    tr, val = (sp.filter(F.col("split") == x).select("u", "i") for x in ("train", "val"))
+    asked, a = val.select("u").distinct(), None
+    for seed, salt in salts.items():
+        u, i = models.light_vectors(tr, DIMS, salt=salt)
+        m = rank.user_metrics(graph.score_blocks(u.join(asked, "u", "left_semi"), i, 20, tr), val).select("u", F.lit(seed).alias("seed"), *_r(*rank.METRICS))
+        a = m if a is None else a.unionByName(m)
+    b = rank.user_metrics(rank.popular_unseen(tr, val), val).select("u", F.lit(-1).alias("seed"), *_r(*rank.METRICS))
+    return written(a, "metrics"), written(b, "metrics")
+
+
+def results_paired(s, d):
+    """Every metric of the propagated model against the most popular items, user by user: differences, wins, ties and signed ranks."""
+    a, b = _rankings(s, d, {42: "light"})
+    out = None
+    for m in rank.METRICS:
+        diffs = written(stats.paired(a, b, m).withColumn("diff", F.round("diff", 6)), "diffs")
+        w = stats.wilcoxon(diffs).select("w_plus", "w_minus", *_r("z"))
+        part = stats.difference_summary(diffs).crossJoin(F.broadcast(w)).select(F.lit(m).alias("metric"), "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "median", "win_rate", "tie_rate")], "w_plus", "w_minus", "z")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def results_significance(s, d):
+    """The same over three seeds of the model, with p values, their step-down adjustment over the metrics, and bootstrap intervals."""
+    a, b = _rankings(s, d, {1: "light-1", 7: "light-7", 42: "light"})
+    rows = []
+    for m in rank.METRICS:
+        diffs = written(stats.paired(a, b, m, seeds=3), "diffs")
+        # one row each
+        z, ci = stats.wilcoxon(diffs).first(), stats.bootstrap_mean(diffs).first()
+        rows.append((m, int(z["n"]), float(ci["mean"] or 0.0), float(ci["lo"] or 0.0), float(ci["hi"] or 0.0), stats.two_sided_p(z["z"])))
+    family = s.createDataFrame(rows, "test string, n long, mean double, lo double, hi double, p double")
+    return stats.holm(family).select(F.col("test").alias("metric"), "n", *_r("mean", "lo", "hi"), "p", F.col("adjusted").alias("p_adjusted"))
+
+
+def degradation_advantage(s, d):
+    """What the second model loses more than the first, for each model seed, corruption seed and level, against each one's clean run."""
+    r = _runs(s, d).filter(F.col("model").isin("dump_alpha", "dump_bravo"))
+    clean = r.filter("level = 0").groupBy("model", "model_seed").agg(F.avg("value").alias("clean"))
+    lost = r.filter("level > 0").join(F.broadcast(clean), ["model", "model_seed"]).withColumn("drop", F.when(F.col("clean") != 0, 100 * (F.col("clean") - F.col("value")) / F.col("clean")))
+    by = lost.groupBy("model_seed", "corruption_seed", "level").agg(F.max(F.when(F.col("model") == "dump_alpha", F.col("drop"))).alias("a"), F.max(F.when(F.col("model") == "dump_bravo", F.col("drop"))).alias("b"))
+    return _long(by.select("model_seed", "corruption_seed", "level", F.round("a", 6).alias("drop_a"), F.round("b", 6).alias("drop_b"), F.round(F.col("b") - F.col("a"), 6).alias("advantage")), "corruption_seed")
+
+
+def train_text(s, d):
+    """Words and reviews per item from the texts of training pairs only: held-out pairs' reviews never reach a feature."""
+    reg = table(s, d, "item_images_v3").select(F.trim("ta_hotel_id").alias("h"), clean_id(F.col("img_hotel_id")).alias("i")).filter("i is not null")
+    rows = table(s, d, "merged_hotelrec").select(F.trim("user_id").alias("u"), F.trim("hotel_id").alias("h"), names.clean_text(F.col("review_text")).alias("t"), "row_id").filter("u is not null and h is not null and t != ''")
+    kept = rows.join(reg, "h").join(_train(s, d), ["u", "i"], "left_semi")
+    first = kept.groupBy("u", "i").agg(F.min_by("t", "row_id").alias("t"))
+    return first.groupBy("i").agg(F.count(F.lit(1)).alias("n_reviews"), F.sum(names.word_count(F.col("t"))).alias("n_words"))
+
+
+def audits_planted(s, d):
+    """(audit, u, i): what the checks of a split say of one with planted faults: pairs copied into test, doubled pairs, an unknown user and item."""
+    sp = written(_split(s, d), "split").select("u", "i", "split")
+    mark = F.substring(F.md5(F.concat_ws("|", "u", "i")), 1, 1)
+    bad = sp.filter((mark == "0") & (F.col("split") == "train")).withColumn("split", F.lit("test"))
+    bad = bad.unionByName(sp.filter(mark == "1"))
+    bad = bad.unionByName(sp.filter((mark == "2") & (F.col("split") == "val")).select(F.lit("nobody").alias("u"), "i", "split"))
+    bad = bad.unionByName(sp.filter((mark == "3") & (F.col("split") == "val")).select("u", F.lit("nothing").alias("i"), "split"))
+    broken = written(sp.unionByName(bad), "broken")
+    index = split.dense_index(sp, "i")
+    none = F.lit(None).cast("string")
+    found = [
+        audit.overlaps(broken).select(F.lit("overlap").alias("audit"), "u", "i"),
+        audit.duplicates(broken).select(F.lit("duplicate").alias("audit"), "u", "i"),
+        audit.cold(broken, "u").select(F.lit("cold_user").alias("audit"), F.col("id").alias("u"), none.alias("i")),
+        audit.cold(broken, "i").select(F.lit("cold_item").alias("audit"), none.alias("u"), F.col("id").alias("i")),
+        audit.held_out_seen(broken).select(F.lit("held_out_seen").alias("audit"), "u", "i"),
+        audit.unmapped(broken, "i", index).select(F.lit("unmapped").alias("audit"), none.alias("u"), F.col("id").alias("i")),
+        audit.not_one_to_one(broken.select("u", "split").distinct(), "u", "split").filter("side = 'u'").select(F.lit("not_one_to_one").alias("audit"), F.col("id").alias("u"), none.alias("i")),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
 # --- joins, sets, summaries, tuning ----------------------------------------------------------------------------------
 
 
@@ -749,7 +831,7 @@ QUERIES = {
         nested_mask, nested_mask_audit, corrupted_state, evidence_ablation, evidence_shuffle, seed_summary, two_level_aggregate, relative_drop, pivot_delta, run_completeness,
         quartile_strata, qcut_bins, spearman, paired_difference, wilcoxon_statistic, holm_adjust, bootstrap_ci, hierarchical_bootstrap, case_selection, trial_best, best_so_far, checked_join, indexed_pairs, latest_review, display_order, missing_vectors, shared_names, all_users,
         evidence_summary, boolean_checks, ablation_table, early_stopping, trial_dedupe, score_parity, stress_summary, csv_source, json_source, headless_csv_source, id_map_source,
-        append_source, file_discovery, audit_index, audit_unmapped, audit_evidence_range, audit_metrics_range, audit_run_keys, audit_alignment, benchmark_sizes,
+        append_source, file_discovery, audit_index, audit_unmapped, audit_evidence_range, audit_metrics_range, audit_run_keys, audit_alignment, benchmark_sizes, results_paired, results_significance, degradation_advantage, train_text, audits_planted,
     )
 }
 QUERIES |= {"text_only_metrics": text_only_metrics, "two_branch_metrics": two_branch_metrics, "summed_metrics": summed_metrics, "pairwise_trained_metrics": pairwise_trained_metrics, "spectral_metrics": spectral_metrics, "mean_branch_metrics": mean_branch_metrics, "predicted_metrics": predicted_metrics}

@@ -164,7 +164,7 @@ neg AS (
 _IDS = "SELECT i AS id, row_number() OVER (ORDER BY i) - 1 AS idx FROM (SELECT DISTINCT i FROM {0})"
 _MASKS = """
 img AS (SELECT item, slot, count(*) OVER (PARTITION BY item) AS n FROM usable),
-mr AS (SELECT seed, item, slot, n, row_number() OVER (PARTITION BY seed, item ORDER BY md5(concat_ws('|', CAST(seed AS VARCHAR), item, CAST(slot AS VARCHAR))), slot) AS rn FROM img, (VALUES (2026), (2027)) s(seed)),
+mr AS (SELECT seed, item, slot, n, row_number() OVER (PARTITION BY seed, item ORDER BY md5(concat_ws('|', CAST(seed AS VARCHAR), item, CAST(slot AS VARCHAR))), slot) AS rn FROM img, (VALUES (2026), (2027), (2028), (2029), (2030)) s(seed)),
 masks AS (SELECT seed, level, item, slot FROM mr, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) l(level) WHERE rn <= greatest(1, least(n, CAST(round_even(n * (1 - level), 0) AS INT))))
 """
 _SLUG = "CASE WHEN contains(url, '-Reviews-') THEN regexp_replace(substr(url, strpos(url, '-Reviews-') + 9), '\\.html?$', '') END"
@@ -385,3 +385,40 @@ ORACLE |= {
     "benchmark_sizes": _w(BASE)
     + """SELECT count(*) AS n_rows, count(DISTINCT u) AS n_users, count(DISTINCT i) AS n_items, (SELECT count(*) FROM (SELECT u FROM val GROUP BY u HAVING count(*) > 1)) AS n_many_targets FROM split""",
 }
+_BOTH = f"""
+WITH p AS ({ORACLE['eval_user_metrics']}), l AS ({_w(BASE, _light('light', 4), _LIGHT_TOP, _METRICS) + _PER_USER}),
+long AS (
+  {' UNION ALL '.join(f"SELECT '{m}' AS metric, round(l.{m} - p.{m}, 6) AS diff FROM l JOIN p USING (u)" for m in ('hr10', 'hr20', 'ndcg10', 'ndcg20', 'mrr20'))})
+"""
+ORACLE |= {
+    "results_paired": _BOTH
+    + """, r AS (SELECT metric, diff, rank() OVER (PARTITION BY metric ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY metric, abs(diff)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY metric, abs(diff)) AS c FROM long),
+t AS (SELECT metric, count(*) AS n, avg(diff) AS mean, quantile_cont(diff, 0.5) AS median, avg(CASE WHEN diff > 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate, avg(CASE WHEN diff = 0 THEN 1.0::DOUBLE ELSE 0 END) AS tie_rate,
+  sum(CASE WHEN diff > 0 THEN rk WHEN diff = 0 THEN rk / 2 ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN rk WHEN diff = 0 THEN rk / 2 ELSE 0 END) AS w_minus, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM r GROUP BY metric)
+SELECT metric, n, round(mean, 6) + 0.0::DOUBLE AS mean, round(median, 6) + 0.0::DOUBLE AS median, round(win_rate, 6) AS win_rate, round(tie_rate, 6) AS tie_rate, w_plus, w_minus,
+  round((least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(nullif(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48, 0)), 6) AS z FROM t""",
+    "degradation_advantage": _w(_RUNS)
+    + """, c AS (SELECT model, model_seed, avg(value) AS clean FROM runs WHERE level = 0 GROUP BY 1, 2),
+l AS (SELECT r.*, 100 * (clean - value) / nullif(clean, 0) AS lost FROM runs r JOIN c USING (model, model_seed) WHERE level > 0),
+g AS (SELECT model_seed, corruption_seed, level, max(lost) FILTER (WHERE model = 'dump_alpha') AS a, max(lost) FILTER (WHERE model = 'dump_bravo') AS b FROM l GROUP BY 1, 2, 3)
+SELECT model_seed, corruption_seed, level, round(a, 6) AS drop_a, round(b, 6) AS drop_b, round(b - a, 6) AS advantage FROM g""",
+    "train_text": _w(BASE)
+    + f""", reg AS (SELECT trim(ta_hotel_id) AS h, {_clean('img_hotel_id')} AS i FROM item_images_v3),
+rv AS (SELECT trim(user_id) AS u, trim(hotel_id) AS h, trim(coalesce(review_text, '')) AS t, row_id FROM merged_hotelrec),
+kept AS (SELECT r.u, g.i, r.t, r.row_id FROM rv r JOIN reg g ON r.h = g.h WHERE g.i IS NOT NULL AND r.t <> '' AND (r.u, g.i) IN (SELECT (u, i) FROM train)),
+f AS (SELECT u, i, arg_min(t, row_id) AS t FROM kept GROUP BY u, i)
+SELECT i, count(*) AS n_reviews, sum(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')))::BIGINT AS n_words FROM f GROUP BY i""",
+    "audits_planted": _w(BASE)
+    + """, m AS (SELECT u, i, split, substr(md5(u || '|' || i), 1, 1) AS mark FROM split),
+broken AS (
+  SELECT u, i, split FROM m UNION ALL SELECT u, i, 'test' FROM m WHERE mark = '0' AND split = 'train' UNION ALL SELECT u, i, split FROM m WHERE mark = '1'
+  UNION ALL SELECT 'nobody', i, split FROM m WHERE mark = '2' AND split = 'val' UNION ALL SELECT u, 'nothing', split FROM m WHERE mark = '3' AND split = 'val'),
+known AS (SELECT DISTINCT u, i FROM broken WHERE split = 'train')
+SELECT 'overlap' AS audit, u, i FROM broken GROUP BY u, i HAVING count(DISTINCT split) > 1
+UNION SELECT 'duplicate', u, i FROM broken GROUP BY split, u, i HAVING count(*) > 1
+UNION SELECT 'cold_user', u, NULL FROM broken WHERE split <> 'train' AND u NOT IN (SELECT u FROM known)
+UNION SELECT 'cold_item', NULL, i FROM broken WHERE split <> 'train' AND i NOT IN (SELECT i FROM known)
+UNION SELECT 'held_out_seen', u, i FROM broken WHERE split <> 'train' AND (u, i) IN (SELECT (u, i) FROM known)
+UNION SELECT 'unmapped', NULL, i FROM broken WHERE i NOT IN (SELECT id FROM catalog)
+UNION SELECT 'not_one_to_one', u, NULL FROM broken GROUP BY u HAVING count(DISTINCT split) > 1""",
+}
