@@ -216,6 +216,12 @@ def negatives_online(s, d):
     return _long(sampling.negatives(tr, tr, split.dense_index(tr, "i"), 1, "online"), "k")
 
 
+def negatives_ranked(s, d):
+    """Negatives from one candidate a draw, so that many draws take the second way, a rank among the user's unseen items."""
+    sp = written(_split(s, d), "split")
+    return _long(sampling.negatives(sp.filter("split = 'train'"), sp, split.dense_index(sp, "i"), 2, "one", attempts=1), "k")
+
+
 def negative_audit(s, d):
     """Negatives that the user has seen: none."""
     sp = written(_split(s, d), "split")
@@ -825,7 +831,7 @@ QUERIES = {
         interactions_standardize, implicit_filter, pair_aggregate, item_kcore, name_normalize, slug_parse, entity_resolution_1to1, registry_collect_list, registry_lookup,
         invalid_user_removal, id_suffix_strip, resume_antijoin, config_signature, failure_histogram, text_coverage, format_metrics, split_v6, split_v3_rows, split_summary,
         audit_overlap, audit_duplicates, audit_cold_users, audit_cold_items, audit_held_out, audit_functional, audit_one_to_one, audit_vectors, dense_index_map, user_index_map,
-        train_history, seen_union, negatives_offline, negatives_online, negative_audit, user_subset, popularity_rank, popularity_topk, eval_user_metrics, eval_macro,
+        train_history, seen_union, negatives_offline, negatives_online, negatives_ranked, negative_audit, user_subset, popularity_rank, popularity_topk, eval_user_metrics, eval_macro,
         user_history_evidence, item_popularity_evidence, image_availability, visual_coherence, evidence_join, mean_pool_vectors, user_visual_profile, knn_graph, knn_normalized,
         graph_max_fusion, embedding_neighbours, bipartite_adjacency, mean_aggregation, lightgcn_propagate, lightgcn_score_topk, lightgcn_metrics, vbpr_score, tfidf_svd, gated_pair_scores,
         nested_mask, nested_mask_audit, corrupted_state, evidence_ablation, evidence_shuffle, seed_summary, two_level_aggregate, relative_drop, pivot_delta, run_completeness,

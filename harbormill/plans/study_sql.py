@@ -422,3 +422,15 @@ UNION SELECT 'held_out_seen', u, i FROM broken WHERE split <> 'train' AND (u, i)
 UNION SELECT 'unmapped', NULL, i FROM broken WHERE i NOT IN (SELECT id FROM catalog)
 UNION SELECT 'not_one_to_one', u, NULL FROM broken GROUP BY u HAVING count(DISTINCT split) > 1""",
 }
+ORACLE |= {
+    "negatives_ranked": _w(BASE)
+    + f""", size AS (SELECT count(*) AS size FROM catalog),
+draws AS (SELECT t.u, t.i, k, {_h("'one'", 't.u', 't.i', 'CAST(k AS VARCHAR)', "'1'")} % size AS idx, {_h("'one'", 't.u', 't.i', 'CAST(k AS VARCHAR)', "'rank'")} AS h, size FROM train t, range(1, 3) r(k), size),
+named AS (SELECT d.*, c.id AS candidate, (d.u, c.id) IN (SELECT (u, i) FROM split) AS seen FROM draws d JOIN catalog c USING (idx)),
+askers AS (SELECT DISTINCT u FROM named WHERE seen),
+unseen AS (
+  SELECT a.u, c.id, row_number() OVER (PARTITION BY a.u ORDER BY c.idx) - 1 AS r, count(*) OVER (PARTITION BY a.u) AS n
+  FROM askers a CROSS JOIN catalog c WHERE (a.u, c.id) NOT IN (SELECT (u, i) FROM split))
+SELECT u, i, k, candidate AS negative FROM named WHERE NOT seen
+UNION ALL SELECT n.u, n.i, n.k, x.id FROM named n JOIN unseen x ON n.u = x.u AND x.r = n.h % x.n WHERE n.seen""",
+}
