@@ -4,8 +4,8 @@
    distance follows the angle.
 2. The code is split into m substrings and each is indexed.  By the pigeonhole principle two codes within Hamming
    radius m - 1 agree in at least one substring, so a row's m buckets hold every code within that radius.  The length
-   of a substring follows log2(n / bucket) and so does their number, so that buckets stay as large, and a vector is
-   looked up m times, at any n.
+   of a substring follows log2(n / bucket), and so does their number from eight on, so that buckets stay as large, and a
+   vector is looked up m times, at any n.
 3. In a bucket the Hamming distances of the whole codes come first: each row takes the smallest radius that holds
    ``keep`` others, all of that radius, and only these are compared as floats.  Buckets larger than a piece are cut and
    every pair of pieces is compared, so a crowded region is neither capped nor held in one task.
@@ -27,8 +27,10 @@ from harbormill.session import ship, written
 
 #: Rows that a bucket is meant to hold; sets the length of a substring.
 BUCKET = 1024
-#: Bits of a substring, and substrings, at least.
+#: Substrings, at least, where there is more than one bucket; a vector's neighbours then have as many ways to be met.
 LEAST = 8
+#: Bits of a code, at least, for the Hamming distances inside a bucket.
+BITS = 64
 #: Others that a row's Hamming radius in a bucket has to hold.
 KEEP = 128
 #: Rows of one piece of a bucket.
@@ -61,9 +63,9 @@ def learn_rotation(x: np.ndarray, rounds: int = 40, seed: int = 11) -> tuple[np.
 
 
 def plan(n: int, bucket: int = BUCKET) -> tuple[int, int]:
-    """(bits of a substring, substrings) for n vectors."""
-    length = max(LEAST, math.ceil(math.log2(max(1, n / bucket))))
-    return length, length
+    """(bits of a substring, substrings) for n vectors; what fits one bucket is one bucket and compared whole."""
+    length = max(0, math.ceil(math.log2(max(1, n / bucket))))
+    return length, max(LEAST, length) if length else 1
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -132,8 +134,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     rows = vecs.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     x = np.array([np.asarray(v) for v in rows["vec"]], dtype=float).reshape(len(rows), dim)
     x /= np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
-    model = spark.sparkContext.broadcast(learn_rotations(x, m * length))
-    words = -(-m * length // 64)
+    bits = max(BITS, m * length)
+    model = spark.sparkContext.broadcast(learn_rotations(x, bits))
+    words = -(-bits // 64)
     # components travel in their own width and become unit vectors in doubles where they are compared
     kind = np.dtype("<f4" if vecs.schema["vec"].dataType.simpleString() == "array<float>" else "<f8")
 
@@ -149,7 +152,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
             code = np.zeros((len(b), 8 * words), dtype=np.uint8)
             packed = np.packbits(on, axis=1)
             code[:, : packed.shape[1]] = packed
-            subs = (on.reshape(len(b), m, length) * powers).sum(2)
+            subs = (on[:, : m * length].reshape(len(b), m, length) * powers).sum(2)
             flat = np.round(v, DIGITS - 1) + 0.0
             yield pd.DataFrame({"id": b["id"], "raw": [r.tobytes() for r in raw], "code": [r.tobytes() for r in code], "subs": list(subs), "direction": [r.tobytes() for r in flat]})
 

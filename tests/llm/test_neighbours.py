@@ -41,7 +41,7 @@ def test_recall_against_brute_force(spark, bucket, piece):
 
 def test_plan_follows_the_number_of_vectors():
     """Buckets stay as large at any n, and lookups a vector grow with its logarithm; nothing is switched or capped."""
-    assert plan(10_000) == plan(200_000) == (8, 8)
+    assert plan(1000) == (0, 1) and plan(10_000) == (4, 8) and plan(200_000) == (8, 8)
     lengths = [plan(n)[0] for n in (10**5, 3 * 10**5, 10**6, 10**7, 10**8, 10**9, 10**11)]
     assert lengths == sorted(lengths) and lengths[-2:] == [20, 27]
     assert all(n / 2 ** plan(n)[0] <= 1024 for n in (10**5, 10**6, 10**9, 10**11))
@@ -87,6 +87,12 @@ def test_unusable_vectors_are_on_neither_side(spark):
     assert set(got) <= set(range(1, 9)) and all(n <= 8 for v in got.values() for n in v)
 
 
+def test_few_vectors_are_exact(spark):
+    """Scattered vectors of a small table share no part of their codes and are still found."""
+    vecs = np.random.default_rng(9).normal(size=(40, 64))
+    assert answer(nearest(frame(spark, vecs), keep=40)) == {i + 1: w for i, w in enumerate(exact(vecs))}
+
+
 def test_few_and_no_vectors(spark):
     assert nearest(frame(spark, [])).count() == 0
     one = frame(spark, [np.ones(64)])
