@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,7 +22,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="harbormill-")) / f"{root.name}.zip"
+    folder = Path(tempfile.mkdtemp(prefix="harbormill-"))
+    atexit.register(shutil.rmtree, folder, True)
+    archive = folder / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
