@@ -108,3 +108,61 @@ def test_confidence_follows_the_labels():
     assert abs(slope - 0.7) < 0.08 and abs(shift + 1) < 0.15
     slope, shift = linkage.fit_confidence(np.zeros(0), np.zeros(0))
     assert abs(slope - 1) < 1e-3 and abs(shift) < 1e-6
+
+
+def test_towns_that_cannot_agree_never_meet(spark, monkeypatch):
+    """Thirty towns share a second word and hold hotels of one name; only each town's own pair is compared."""
+    compared, scored = [], linkage._scored
+    monkeypatch.setattr(linkage, "_scored", lambda edges, a, b: compared.append(edges.count()) or scored(edges, a, b))
+    firsts = [x + y for x in ("torel", "barmo", "casken", "draol", "elmer", "fensto") for y in ("ville", "bythorp", "holm", "wickham", "garth")]
+    a = [("saffron lantern", f"{t} heights", None, None, None) for t in firsts]
+    b = [(k, "saffron lantern", f"{t} heights", None, None, None) for k, t in enumerate(firsts)]
+    assert found(linkage.match_hotels(images(spark, a), registry(spark, b))) == [(k, k) for k in range(30)]
+    assert compared[0] == 30
+
+
+def test_agreeing_towns_are_all_that_the_comparison_accepts(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["torelville", "torelvile", "torel", "heights", "hieghts", "beach", "baech", "port", "porth", "bay", "barathaven", "brathavem", "alta"]
+    towns = [list(dict.fromkeys(rng.choice(words) for _ in range(rng.randint(1, 4)))) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in {tuple(t) for t in towns}], "town array<string>")
+    rows = rows.selectExpr("town", "case when size(filter(town, w -> length(w) > 3)) > 0 then xxhash64(array_join(filter(town, w -> length(w) > 3), ' ')) end th")
+    hashes = {tuple(r["town"]): r["th"] for r in rows.collect() if r["th"] is not None}
+    got = {r["th"]: set(r["towns"]) for r in linkage._agreeing_towns(rows, rows).collect()}
+    plain = {"names": [], "code": "", "lat": None, "lon": None}
+    for s, hs in hashes.items():
+        for t, ht in hashes.items():
+            rejected = linkage.compare(plain | {"town": list(s)}, plain | {"town": list(t)})[0] == -9.0
+            assert rejected or ht in got.get(hs, set()), (s, t)
+
+
+@pytest.mark.parametrize("lat,lon", [(10.0, 20.0), (10.0049, -0.0001), (-0.0051, 19.998)])
+def test_neighbouring_map_cells_meet(lat, lon):
+    own = set(linkage.attributes([], [], "", lat, lon, False))
+    for di in (-0.0049, 0, 0.0049):
+        for dj in (-0.0049, 0, 0.0049):
+            assert own & set(linkage.attributes([], [], "", lat + di, lon + dj, True))
+
+
+def test_lean_steps_leave_no_shuffle_files(spark):
+    import time
+
+    from harbormill.session import discard, written
+
+    def files():
+        all_files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {all_files.apply(k).getName() for k in range(all_files.size())}
+
+    before = files()
+    df = written(spark.range(1000).selectExpr("id % 7 k").groupBy("k").count(), "lean", lean=True)
+    for _ in range(50):
+        if not {f for f in files() - before if f.startswith("shuffle_")}:
+            break
+        time.sleep(0.2)
+    assert not {f for f in files() - before if f.startswith("shuffle_")}
+    assert df.count() == 7
+    discard(df)
+    with pytest.raises(Exception):
+        spark.read.parquet(*df.inputFiles()).count()
