@@ -89,22 +89,41 @@ def propagate(pairs: DataFrame, states: DataFrame, layers: int = 2) -> DataFrame
     return total.groupBy("node", "d").agg((F.sum("x") / (layers + 1)).alias("x"))
 
 
+def best_cells(s: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded value) of each row's k best cells after rounding, ties to the smaller column; cells that are not finite don't count.
+
+    Columns are folded into groups; the k-th of the groups' maxima is no larger than the row's k-th value, so only cells from there on are rounded and sorted.
+    """
+    fold = max(1, min(8, s.shape[1] // k))
+    groups = s[:, : s.shape[1] // fold * fold].reshape(len(s), fold, -1).max(1)
+    least = np.partition(groups, -k, axis=1)[:, -k] if groups.shape[1] > k else np.full(len(s), -np.inf)
+    row, col = np.nonzero(s >= (np.round(least, digits) - 10.0**-digits)[:, None])
+    val = np.round(s[row, col], digits)
+    row, col, val = (x[np.isfinite(val)] for x in (row, col, val))
+    order = np.lexsort((col, -val, row))
+    row, col, val = row[order], col[order], val[order]
+    first = np.searchsorted(row, np.arange(len(s)))
+    top = np.arange(len(row)) - first[row] < k
+    return row[top], col[top], val[top]
+
+
 def score_blocks(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, digits: int = 6, block_rows: int = 4000) -> DataFrame:
     """(u, i, score, rank): each user's k best items by the dot product of (u, vec) and (i, vec, bias).
 
-    Items are cut into pieces; users meet each piece in blocks and keep k a piece, so the full matrix never exists.
+    Items are cut into pieces and users into slices of up to four blocks; each slice meets each piece, a part of its users
+    at a time, and keeps k a piece, so the full matrix never exists and few copies of the vectors travel.
     ``seen`` (u, i) pairs are masked inside the blocks, from per-user lists bounded by the catalogue.
     """
     ship(items.sparkSession)
     n = items.count()
-    parts = max(1, -(-n // block_rows))
+    parts = max(1, -(-n // (4 * block_rows)))
     hist = seen.groupBy("u").agg(F.collect_set("i").alias("seen")) if seen is not None else users.select("u", F.array().cast("array<string>").alias("seen"))
     asked = users.join(hist, "u", "left")
-    # one row per piece, with the piece's vectors; at most block_rows of them
+    # one row per piece, with the piece's vectors
     pieces = items.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
     if "bias" not in items.columns:
         pieces = pieces.withColumn("bias", F.lit(0.0))
-    slices = max(1, -(-users.count() // 4000))
+    slices = max(1, -(-users.count() // (4 * block_rows)))
     left = asked.select(F.col("u").alias("u"), F.col("vec").alias("vec"), F.col("seen").alias("seen")).withColumn("slice", F.pmod(F.xxhash64("u"), F.lit(slices)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     # new names keep both sides apart where they come from one table
     right = pieces.select(F.col("i").alias("i"), F.col("vec").alias("ivec"), F.col("bias").alias("ibias"), F.col("part").alias("ipart")).withColumn("islice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
@@ -113,16 +132,19 @@ def score_blocks(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | N
         if not len(a) or not len(b):
             return pd.DataFrame({"u": [], "i": [], "score": []})
         b = b.sort_values("i")
-        ids = b["i"].to_numpy()
+        ids, bias = b["i"].to_numpy(), b["ibias"].to_numpy(float)[None]
         at = {x: j for j, x in enumerate(ids)}
-        s = np.round(np.array(a["vec"].tolist(), dtype=float) @ np.array(b["ivec"].tolist(), dtype=float).T + b["ibias"].to_numpy(float)[None], digits)
-        for r, h in enumerate(a["seen"]):
-            if h is not None:
-                s[r, [at[x] for x in h if x in at]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        val = np.take_along_axis(s, top, 1).ravel()
-        out = pd.DataFrame({"u": np.repeat(a["u"].to_numpy(), top.shape[1]), "i": ids[top.ravel()], "score": val})
-        return out[np.isfinite(out["score"])]
+        vecs, turned = np.array(a["vec"].tolist(), dtype=float), np.array(b["ivec"].tolist(), dtype=float).T
+        seen, names, step, out = a["seen"].to_numpy(), a["u"].to_numpy(), max(1, block_rows * 1000 // len(b)), []
+        for lo in range(0, len(a), step):
+            s = vecs[lo : lo + step] @ turned + bias
+            s[~np.isfinite(s)] = -np.inf
+            for r, h in enumerate(seen[lo : lo + step]):
+                if h is not None:
+                    s[r, [at[x] for x in h if x in at]] = -np.inf
+            row, col, val = best_cells(s, k, digits)
+            out.append(pd.DataFrame({"u": names[lo + row], "i": ids[col], "score": val}))
+        return pd.concat(out)
 
     found = left.groupBy("slice", "part").cogroup(right.groupBy("islice", "ipart")).applyInPandas(best, "u string, i string, score double")
     rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("score"), "i"))

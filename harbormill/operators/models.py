@@ -6,6 +6,7 @@ can compute it too.  Trained weights replace them through the same tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harbormill.operators.graph import propagate
+from harbormill.operators.split import dense_index
 from harbormill.session import ship, written
 
 
@@ -261,53 +263,111 @@ def _whole_users(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[str, li
         yield [held]
 
 
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """64 random bits for whole numbers, a function of these alone (splitmix64 over one after another)."""
+    out = np.zeros(1, np.uint64)
+    for p in parts:
+        z = (out ^ np.asarray(p).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out = z ^ (z >> np.uint64(31))
+    return out
+
+
+def _normals(seed: int, users: np.ndarray, dims: int) -> np.ndarray:
+    """A row of standard normal numbers for each user (Box and Muller)."""
+    cell = users[:, None], np.arange(dims)[None]
+    a, b = (((_mixed(seed, salt, *cell) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53 for salt in (0, 1))
+    return np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)
+
+
+def _draws(users: np.ndarray, sizes: np.ndarray, mine: np.ndarray, passes: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positives, negatives) of every pass, a row each: the items ``mine`` of each user, user by user, in an order
+    that is new in each pass, and for each an unseen one of ``n`` items.  No user may have seen all."""
+    own = np.repeat(np.arange(len(users)), sizes)
+    who, at = users[own], np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seen = np.sort(own * n + mine)
+    js, ks = np.empty((passes, len(own)), np.int64), np.empty((passes, len(own)), np.int64)
+    for c in range(passes):
+        js[c] = mine[np.lexsort((_mixed(seed, 2, who, c, mine), own))]
+        left, attempt = np.arange(len(own)), 0
+        while len(left):
+            k = (_mixed(seed, 3, who[left], c, at[left], attempt) % np.uint64(n)).astype(np.int64)
+            ks[c, left] = k
+            code = own[left] * n + k
+            left, attempt = left[seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] == code], attempt + 1
+    return js, ks
+
+
+def _user_steps(p: np.ndarray, v: np.ndarray, sizes: np.ndarray, js: np.ndarray, ks: np.ndarray, rate: float, decay: float) -> None:
+    """Takes the steps of the users' vectors ``p`` against items held fast: all users side by side, each through its own draws one after another."""
+    start, order = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable")
+    longest = sizes[order]
+    for c in range(len(js)):
+        for t in range(int(longest[0])):
+            on = order[: int(np.searchsorted(-longest, -t))]  # those with more than t items
+            d, q = v[js[c, start[on] + t]] - v[ks[c, start[on] + t]], p[on]
+            g = 1 / (1 + np.exp(np.minimum((q * d).sum(1), 700)))
+            p[on] = q + rate * (g[:, None] * d - decay * q)
+
+
+def _item_steps(p: np.ndarray, v: list[np.ndarray], sizes: np.ndarray, js: np.ndarray, ks: np.ndarray, rate: float, decay: float) -> None:
+    """Takes the steps of users and items one after another, in place; ``v`` holds the rows of the items' matrix."""
+    keep, lo = 1 - rate * decay, 0
+    for q, n in zip(p, sizes.tolist()):
+        for own, other in zip(js[:, lo : lo + n].ravel().tolist(), ks[:, lo : lo + n].ravel().tolist()):
+            x, y = v[own], v[other]
+            d = x - y
+            g = rate / (1 + math.exp(min(q.dot(d), 700.0)))
+            dj = g * q
+            d *= g
+            q *= keep
+            q += d
+            x *= keep
+            x += dj
+            y *= keep
+            y -= dj
+        lo += n
+
+
 def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: float = 0.05, decay: float = 1e-4, seed: int = 42, parts: int = 8) -> tuple[DataFrame, DataFrame]:
     """((u, vec), (i, vec)) of a factor model trained by Bayesian personalised ranking.
 
     Users are partitioned and their vectors never leave their task.  Item vectors, bounded by the catalogue, go to
     every task; after each round each task returns its item vectors with the number of updates, and
     their weighted mean starts the next round.  One negative is drawn for each positive, from unseen items.
+    Draws and start vectors are a function of the seed and the user, so they don't depend on who else is in a task.
     """
     spark = train.sparkSession
     distinct = written(train.select("u", "i").distinct(), "pairs")
     parts = max(parts, -(-distinct.count() // 250_000))
-    users = written(distinct.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("u", "i"), "bpr")
-    names = [r["i"] for r in users.select("i").distinct().orderBy("i").toLocalIterator()]
-    at = {x: k for k, x in enumerate(names)}
-    items = np.random.default_rng(seed).normal(scale=0.1, size=(len(names), dims))
-    index = spark.sparkContext.broadcast(at)
+    index = written(dense_index(distinct, "i"), "index")
+    n_items = index.count()
+    numbers = distinct.join(index.withColumnRenamed("id", "i"), "i").select("u", F.col("idx").alias("i"))
+    users = written(numbers.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")), "bpr")
+    items = np.random.default_rng(seed).normal(scale=0.1, size=(n_items, dims))
 
     def run_round(sent, no: int, final: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lut, v = index.value, sent.value.copy()
-            n = np.zeros(len(v))
+            v = sent.value if final else sent.value.copy()
+            rows, n = list(v), np.zeros(len(v))
             for group in _whole_users(batches):
-                for u, own in group:
-                    mine = np.array([lut[x] for x in own])
-                    seen = set(mine.tolist())
-                    if len(seen) >= len(v):
-                        continue
-                    # a user's vector is found anew from its own seed in each round, against the current items
-                    rng = np.random.default_rng([seed, int.from_bytes(_md5(str(u))[:4], "big")])
-                    p = rng.normal(scale=0.1, size=dims)
-                    for _ in range(no + 1):
-                        for j in rng.permutation(mine):
-                            k = int(rng.integers(len(v)))
-                            while k in seen:
-                                k = int(rng.integers(len(v)))
-                            d = v[j] - v[k]
-                            g = 1 / (1 + np.exp(p @ d))
-                            p, dj = p + rate * (g * d - decay * p), g * p
-                            if not final:
-                                v[j] += rate * (dj - decay * v[j])
-                                v[k] -= rate * (dj + decay * v[k])
-                                n[j] += 1
-                                n[k] += 1
-                    if final:
-                        yield pd.DataFrame({"u": [u], "vec": [p]})
-            if not final:
-                hit = np.flatnonzero(n)
-            if not final and len(hit):
+                group = [(u, own) for u, own in group if len(own) < len(v)]
+                if not group:
+                    continue
+                who = np.array([int.from_bytes(_md5(str(u))[:8], "big") for u, _ in group], np.uint64)
+                sizes = np.array([len(own) for _, own in group])
+                js, ks = _draws(who, sizes, np.array([i for _, own in group for i in own], np.int64), no + 1, len(v), seed)
+                # a user's vector is found anew from its own seed in each round, against the current items
+                p = 0.1 * _normals(seed, who, dims)
+                if final:
+                    _user_steps(p, v, sizes, js, ks, rate, decay)
+                    yield pd.DataFrame({"u": [u for u, _ in group], "vec": list(p)})
+                else:
+                    _item_steps(p, rows, sizes, js, ks, rate, decay)
+                    n += np.bincount(np.concatenate([js.ravel(), ks.ravel()]), minlength=len(v))
+            hit = np.flatnonzero(n)
+            if len(hit):
                 yield pd.DataFrame({"i": hit, "n": n[hit], "vec": list(v[hit] * n[hit, None])})
 
         return run
@@ -318,12 +378,18 @@ def train_pairwise(train: DataFrame, dims: int = 16, rounds: int = 4, rate: floa
     for no in range(rounds):
         sent = spark.sparkContext.broadcast(items)
         out = by_user().mapInPandas(run_round(sent, no, False), "i int, n double, vec array<double>")
-        sums = out.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("vec")[d]).alias(f"d{d}") for d in range(dims)]).toPandas()
+        sums = out.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("vec")[d]).alias(f"d{d}") for d in range(dims)]).toArrow().to_pandas()
         items = items.copy()
         items[sums["i"]] = sums[[f"d{d}" for d in range(dims)]].to_numpy() / sums[["n"]].to_numpy()
+        sent.unpersist()
     sent = spark.sparkContext.broadcast(items)
     user_vecs = by_user().mapInPandas(run_round(sent, rounds - 1, True), "u string, vec array<double>")
-    return written(user_vecs, "users"), spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, items)], "i string, vec array<double>")
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"i": b["id"], "vec": list(sent.value[b["idx"].to_numpy()])})
+
+    return written(user_vecs, "users"), written(index.mapInPandas(named, "i string, vec array<double>"), "items")
 
 
 #: English words that a text vector leaves out.

@@ -434,3 +434,46 @@ def test_signatures_tell_nulls_and_separators_apart(spark):
     rows = [("a", None, "b"), ("a", "b", None), ("a|b", "c", "d"), ("a", "b|c", "d"), ("\\N", "x", "y"), (None, "x", "y"), ("a", "", "b")]
     df = spark.createDataFrame(rows, "a string, b string, c string").select(signature(F.col("a"), F.col("b"), F.col("c")).alias("s"))
     assert len({r["s"] for r in df.collect()}) == len(rows)
+
+
+def test_draws_are_orders_of_the_own_and_unseen_items():
+    users, sizes = np.array([5, 9, 2**63 + 1], np.uint64), np.array([2, 1, 5])
+    mine = np.array([0, 3, 5, 0, 1, 2, 3, 4])
+    js, ks = models._draws(users, sizes, mine, 40, 6, 1)
+    for lo, hi in ((0, 2), (2, 3), (3, 8)):
+        assert all(sorted(j) == sorted(mine[lo:hi]) for j in js[:, lo:hi])
+        assert not set(ks[:, lo:hi].ravel()) & set(mine[lo:hi])
+    assert len({tuple(j) for j in js[:, 3:]}) > 20 and set(ks[:, 2]) == {0, 1, 2, 3, 4}
+    alone = models._draws(users[2:], sizes[2:], mine[3:], 40, 6, 1)
+    assert (alone[0] == js[:, 3:]).all() and (alone[1] == ks[:, 3:]).all()
+
+
+@pytest.mark.parametrize("final", [True, False])
+def test_steps_equal_the_written_out_rule(final):
+    rng = np.random.default_rng(3)
+    sizes, n = np.array([3, 1, 4, 2]), 9
+    js, ks = rng.integers(0, 5, (3, 10)), rng.integers(5, n, (3, 10))
+    p, v = rng.normal(size=(4, 5)), rng.normal(size=(n, 5))
+    p2, v2 = p.copy(), v.copy()
+    models._user_steps(p, v, sizes, js, ks, 0.05, 1e-4) if final else models._item_steps(p, list(v), sizes, js, ks, 0.05, 1e-4)
+    for u, lo in enumerate((0, 3, 4, 8)):
+        for j, k in ((j, k) for c in range(3) for j, k in zip(js[c, lo : lo + sizes[u]], ks[c, lo : lo + sizes[u]])):
+            d = v2[j] - v2[k]
+            g = 1 / (1 + np.exp(p2[u] @ d))
+            q, x, y = p2[u].copy(), v2[j].copy(), v2[k].copy()
+            p2[u] = q + 0.05 * (g * d - 1e-4 * q)
+            if not final:
+                v2[j] = x + 0.05 * (g * q - 1e-4 * x)
+                v2[k] = y - 0.05 * (g * q + 1e-4 * y)
+    assert np.allclose(p, p2, atol=1e-12) and np.allclose(v, v2, atol=1e-12)
+
+
+@pytest.mark.parametrize("n,k", [(3, 5), (40, 5), (203, 20), (41, 1)])
+def test_best_cells_equal_whole_sorts(n, k):
+    rng = np.random.default_rng(n)
+    s = rng.normal(size=(30, n)).round(1) + rng.normal(size=(30, n)) * 1e-8
+    s[rng.random(s.shape) < 0.3] = -np.inf
+    s[3] = -np.inf
+    got = list(zip(*(x.tolist() for x in graph.best_cells(s, k, 6))))
+    r = np.round(s, 6)
+    assert got == [(a, b, r[a, b]) for a in range(30) for b in np.argsort(-r[a], kind="stable")[:k] if np.isfinite(r[a, b])]
