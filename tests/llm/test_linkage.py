@@ -166,3 +166,31 @@ def test_lean_steps_leave_no_shuffle_files(spark):
     discard(df)
     with pytest.raises(Exception):
         spark.read.parquet(*df.inputFiles()).count()
+
+
+def test_spellings_of_two_words_do_not_multiply(spark, monkeypatch):
+    """Forty spellings of each of two words agree in every way, and no step makes a row for each pair of spellings."""
+    written, most = linkage.written, []
+
+    def counted(df, name, lean=False):
+        out = written(df, name, lean)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(linkage, "written", counted)
+    firsts = ["torelville"[:k] + c + "torelville"[k + 1 :] for k in range(2, 10) for c in "zqxkj"]
+    seconds = ["heights"[:k] + c + "heights"[k + 1 :] for k in range(7) for c in "zqxkjw"][:40]
+    towns = [["orimwold", x, y] for x, y in zip(firsts, seconds)]
+    far = [["pellorgate", y, x] for x, y in zip(firsts, seconds)]
+    frame = lambda t: spark.createDataFrame([(k, x) for k, x in enumerate(t)], "th long, town array<string>")
+    got = {r["th"]: set(r["towns"]) for r in linkage._agreeing_towns(frame(towns), frame(far)).collect()}
+    agree = lambda s, t: linkage._match(s, t) >= 2
+    assert got == {j: w for j, s in enumerate(towns) if (w := {k for k, t in enumerate(far) if agree(s, t)})}
+    assert most and max(most) <= 40 * 40 * 2
+
+
+def test_pieces_hold_few_rows():
+    import pandas as pd
+
+    got = list(linkage._pieces(iter([pd.DataFrame({"k": range(2500)}), pd.DataFrame({"k": range(3)})])))
+    assert [len(f) for f in got] == [1000, 1000, 500, 3] and [k for f in got for k in f["k"]] == [*range(2500), *range(3)]
